@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridloom.llm import mixing
+from gridloom.llm import mixing, pii
 
-QUERIES = {"op9_mixing": mixing.op9_mixing}
+QUERIES = {"op7_pii": pii.op7_pii, "op9_mixing": mixing.op9_mixing}
 ORACLE_SQL = {"op9_mixing": mixing.ORACLE_SQL}
