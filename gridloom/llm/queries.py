@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from gridloom.llm import mixing, pii
+from gridloom.llm import mixing, pii, sentencepiece_codec
 
-QUERIES = {"op7_pii": pii.op7_pii, "op9_mixing": mixing.op9_mixing}
+QUERIES = {
+    "op7_pii": pii.op7_pii,
+    "op8_sentencepiece": sentencepiece_codec.op8_sentencepiece,
+    "op9_mixing": mixing.op9_mixing,
+}
 ORACLE_SQL = {"op9_mixing": mixing.ORACLE_SQL}
