@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from gridloom.llm import mixing, pii, sentencepiece_codec
+from gridloom.llm import ann, mixing, pii, sentencepiece_codec, topk
 
 QUERIES = {
+    "op3_topk": topk.op3_topk,
     "op7_pii": pii.op7_pii,
     "op8_sentencepiece": sentencepiece_codec.op8_sentencepiece,
     "op9_mixing": mixing.op9_mixing,
+    "op10_ann": ann.op10_ann,
 }
-ORACLE_SQL = {"op9_mixing": mixing.ORACLE_SQL}
+ORACLE_SQL = {"op3_topk": topk.ORACLE_SQL, "op9_mixing": mixing.ORACLE_SQL}
