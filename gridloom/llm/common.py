@@ -124,10 +124,28 @@ def lower(raw: np.ndarray) -> np.ndarray:
     return _LOWER[raw]
 
 
-def word_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each part [start, end)."""
-    p = prefix_hash(raw)
-    return mix((p[end] - p[start]) * powers("down", len(raw) + 1)[start] + (end - start).astype(np.uint64))
+def word_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, most: int = 1 << 20) -> np.ndarray:
+    """A 64-bit hash of each part [start, end), in order of start; about ``most`` bytes are worked on at once."""
+    out = np.zeros(len(start), np.uint64)
+    at = 0
+    while at < len(start):
+        base = int(start[at])
+        stop = max(int(np.searchsorted(start, base + most)), at + 1)
+        s, e = start[at:stop] - base, end[at:stop] - base
+        p = prefix_hash(raw[base : base + int(e.max())])
+        out[at:stop] = mix((p[e] - p[s]) * powers("down", len(p))[s] + (e - s).astype(np.uint64))
+        at = stop
+    return out
+
+
+def numbered(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each value, in order of first appearance, and where each number first appears."""
+    import pandas as pd
+
+    which, values = pd.factorize(hashes)
+    first = np.empty(len(values), np.int64)
+    first[which[::-1]] = np.arange(len(which) - 1, -1, -1)
+    return which, first
 
 
 def pieces_of(batch_rows: int, lengths: np.ndarray, most: int):
