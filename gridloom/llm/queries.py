@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from gridloom.llm import ann, language_id, mixing, pii, quality, sentencepiece_codec, topk
+from gridloom.llm import ann, language_id, mixing, ngram_join, pii, quality, sentencepiece_codec, topk
 
 QUERIES = {
     "op2_quality": quality.op2_quality,
     "op3_topk": topk.op3_topk,
+    "op5_ngram_join": ngram_join.op5_ngram_join,
     "op6_language": language_id.op6_language,
     "op7_pii": pii.op7_pii,
     "op8_sentencepiece": sentencepiece_codec.op8_sentencepiece,
