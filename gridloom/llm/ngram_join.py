@@ -343,8 +343,10 @@ def set_links(sets: DataFrame, percent: int) -> DataFrame:
         rooted = C.keep(_rooted(sets.select(*light), links), "rooted")
         chosen = rooted.where("key = root") if leaders else rooted
         grams = C.keep(_prefix(sets.join(chosen.select("key"), "key", "left_semi") if leaders else sets).join(chosen.select("key", "root"), "key"), "meeting")
-        sizes = grams.groupBy("gram", "root").agg(F.count("*").alias("c"))
-        meeting = sizes.groupBy("gram").agg(F.max(F.struct("c", "root")).alias("top"), F.count("*").alias("roots"), F.sum("c").alias("all")).where("roots > 1")
+        sizes = grams.groupBy("gram", "root").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("key")).alias("x"), F.sum(F.pmod(F.xxhash64("key", F.lit(3)), F.lit(1 << 31))).alias("s"))
+        meeting = sizes.groupBy("gram").agg(F.max(F.struct("c", "root")).alias("top"), F.count("*").alias("roots"), F.sum("c").alias("all"), F.bit_xor("x").alias("x"), F.sum("s").alias("s")).where("roots > 1")
+        # n-grams held by the same sets would make the same comparisons: one of them does
+        meeting = meeting.groupBy("x", "s", "all", "roots").agg(F.min(F.struct("gram", "top")).alias("one")).select("one.*", "all")
         meeting = meeting.select("gram", F.col("top.root").alias("bulk"), F.ceil(F.col("top.c") / GROUP_SETS).alias("bulks"), F.ceil((F.col("all") - F.col("top.c")) / GROUP_SETS).alias("others"))
         placed = grams.join(meeting, "gram").withColumn("is_bulk", F.col("root") == F.col("bulk"))
         block = lambda upto: F.pmod(F.xxhash64("key"), F.col(upto)).cast("int")
