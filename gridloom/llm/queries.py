@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from gridloom.llm import ann, language_id, mixing, ngram_join, pii, quality, sentencepiece_codec, topk
+from gridloom.llm import ann, language_id, lm_score, mixing, ngram_join, pii, quality, sentencepiece_codec, topk
 
 QUERIES = {
+    "op1_lm_score": lm_score.op1_lm_score,
     "op2_quality": quality.op2_quality,
     "op3_topk": topk.op3_topk,
     "op5_ngram_join": ngram_join.op5_ngram_join,
