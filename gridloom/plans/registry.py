@@ -2,15 +2,8 @@
 
 from __future__ import annotations
 
-FLAGSHIP = "pricing_summary"
+from gridloom.plans import spatial_queries
 
-
-def _pricing_summary(spark, sf_dir):
-    from pyspark.sql import functions as F
-
-    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    return items.groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n_items"))
-
-
-QUERIES = {FLAGSHIP: _pricing_summary}
-ORACLE_SQL = {FLAGSHIP: "SELECT l_returnflag, l_linestatus, count(*) AS n_items FROM lineitem GROUP BY ALL"}
+FLAGSHIP = "contact_network"
+QUERIES = {**spatial_queries.QUERIES}
+ORACLE_SQL = {**spatial_queries.ORACLE_SQL}
