@@ -4,16 +4,19 @@ A document's set holds the hashes (64 bits) of its distinct runs of ``n`` lower-
 whole sequence. Sets are ordered globally: n-grams by the number of distinct sets that hold them, then by hash. Two sets are linked
 when 100 * intersection >= percent * union.
 
-1. Every n-gram of every set is dealt by hash range and counted; those of one set only can match nothing, and of the others
-   each set gets back a list in global order, with counts. A set whose unshared n-grams already rule out every link ends here.
-2. The rest meet in groups of one n-gram of their prefix (a linked pair shares one). A group's sets are stored in a trie in global order;
-   each set walks it, with the overlap so far shared by all sets below a node. A subtree is left out when its
-   remaining length, or that of the walking set, can't bring the overlap needed, when its set sizes can't match, or
-   when all of it is already connected with the walking set.
-3. Three passes bound the work where many sets share an n-gram: every set at its rarest prefix n-gram, in salted groups;
-   then one set of each component, at all prefix n-grams; last all sets at all prefix n-grams, but only where different
-   components meet: the largest component of an n-gram is dealt into blocks, against blocks of the others, so
-   nothing is compared within it. Components are joined after each pass. No link between components is lost.
+1. The n-grams of least hash of every set, about a quarter, are dealt by hash range and counted. A set that shares fewer of
+   them with other sets than any link would need ends here. What is left goes into a bit filter of fixed size; sets
+   that get through it by chance cost work only.
+2. All n-grams of the sets left are dealt and counted; each set gets back those that another set has, in global
+   order. Its unshared n-grams may rule out every link; then it ends here.
+3. Sets that share a prefix n-gram (linked pairs do) are chained to clusters. The sets of a cluster of at most :data:`CLUSTER_SETS`
+   meet in one task: they are stored in a trie in global order, and each set walks it, with the overlap so
+   far shared by all sets below a node. A subtree is left out when its remaining length, or that of the walking set, can't
+   bring the overlap needed, when its set sizes can't match, or when all of it is already connected with the walking set.
+4. Larger clusters take three passes: every set at its rarest prefix n-gram, in salted groups; then one set of each
+   component, at all prefix n-grams; last all sets at all prefix n-grams, but only where different components meet: the
+   largest component of an n-gram is dealt into blocks, against blocks of the others, so nothing is compared within
+   it. Components are joined after each pass. No link between components is lost.
 
 Equal sets are one. Null and empty texts, and texts without words, have an empty set and are linked with nothing. Texts are read whole. Rows that
 repeat are linked like any others; with a null doc_id they take the least other doc_id of their component. An empty
@@ -32,8 +35,10 @@ from gridloom.llm.components import components
 SLICE_BYTES = 12 << 20
 #: N-grams of a hash range, and of a group of sets, that one task holds at once.
 RANGE_GRAMS = 3_000_000
-#: Sets of a group or block.
-GROUP_SETS = 1024
+#: Sets of a group or block, and of a cluster that one task joins.
+GROUP_SETS, CLUSTER_SETS = 1024, 1500
+#: Bits of the filter, as a power of two.
+FILTER_BITS = 26
 _TURN = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
@@ -95,12 +100,103 @@ def _needed(a: int, b: int, percent: int) -> int:
     return -(-percent * (a + b) // (100 + percent))
 
 
+def _bits(grams: int) -> int:
+    """Hash ranges, as a power of two, for so many n-grams."""
+    return max(5, int(np.ceil(np.log2(max(grams, 1) / RANGE_GRAMS))))
+
+
+def _once(g, owner, key):
+    """The n-grams of a slice's different sets."""
+    _, first = C.numbered(key)
+    once = np.zeros(len(key), bool)
+    once[first] = True
+    some = once[owner]
+    return g[some], owner[some]
+
+
+def _places(keys: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The filter's bits of each key."""
+    return tuple((C.mix(keys + _TURN[j]) >> np.uint64(64 - FILTER_BITS)).astype(np.int64) for j in (4, 5, 6))
+
+
+def likely_sets(docs: DataFrame, n: int, percent: int, grams: int) -> np.ndarray:
+    """A bit filter that lets every set through that can have a link."""
+    bits = _bits(grams // 4)
+    groups = 1 << bits
+    extra = lambda size: np.maximum(1, size // 10)
+
+    def deal(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for part in _slices(batch):
+                g, owner, size, key = gram_sets(part.column("text"), n)
+                g, owner = _once(g, owner, key)
+                if not len(g):
+                    continue
+                turn = np.argsort(g)
+                turn = turn[np.argsort(owner[turn].astype(np.uint32), kind="stable")]
+                g, owner = g[turn], owner[turn]
+                rank = np.arange(len(g)) - np.searchsorted(owner, owner)
+                # a set and one linked with it share so many of their first n-grams (extra), whatever the order
+                first = size - -(-percent * size // 100) + extra(size)
+                some = rank < first[owner]
+                g, owner = g[some], owner[some]
+                at = (g >> np.uint64(64 - bits)).astype(np.uint16 if bits <= 16 else np.int64)
+                turn = np.argsort(at, kind="stable")
+                g, owner, at = g[turn], owner[turn], at[turn]
+                edges = np.searchsorted(at, np.arange(groups + 1))
+                rows = []
+                for r in range(groups):
+                    a, b = edges[r], edges[r + 1]
+                    if a < b:
+                        have, which = np.unique(owner[a:b], return_inverse=True)
+                        rows.append((r, key[have].tobytes(), which.astype(np.uint32 if len(have) > 65535 else np.uint16).tobytes(), g[a:b].tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], t) for k, t in enumerate((pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["r", "sets", "which", "g"])
+
+    def count(table):
+        import pyarrow as pa
+
+        keys, gs = [], []
+        for k, w, g in zip(*[table.column(c).to_pylist() for c in ("sets", "which", "g")], strict=True):
+            keys.append(np.frombuffer(k, np.uint64)[np.frombuffer(w, np.uint32 if len(k) // 8 > 65535 else np.uint16)])
+            gs.append(np.frombuffer(g, np.uint64))
+        keys, gs = np.concatenate(keys), np.concatenate(gs)
+        _, first = C.numbered(C.mix(gs ^ (keys * _TURN[2])))
+        keys, gs = keys[first], gs[first]
+        which, _ = C.numbered(gs)
+        keys = keys[np.bincount(which)[which] > 1]
+        which, first = C.numbered(keys)
+        return pa.table([pa.array(keys[first].view(np.int64)), pa.array(np.bincount(which, minlength=len(first)))], names=["key", "shared"])
+
+    dealt = docs.select("text").where(F.col("text").isNotNull()).mapInArrow(deal, "r int, sets binary, which binary, g binary")
+    shared = dealt.groupBy("r").applyInArrow(count, "key long, shared long").groupBy("key").agg(F.sum("shared").alias("shared"))
+    sizes = document_sets(docs, n).where("n > 0").select("key", "n").distinct()
+    least = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * percent / 100) / 10))
+    left = shared.join(sizes, "key").where(F.col("shared") >= least).select("key")
+
+    def words(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            at = np.concatenate(_places(np.asarray(batch.column("key")).view(np.uint64)))
+            yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array(np.left_shift(np.int64(1), at & 63))], ["word", "bit"])
+
+    # of a fixed number of words
+    got = left.mapInArrow(words, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    out[np.asarray(got.column("word"))] = np.asarray(got.column("bits"))
+    return out
+
+
 def shared_grams(docs: DataFrame, n: int, percent: int, grams: int) -> DataFrame:
-    """key, n, prefix, grams, counts: sets that can have a link, with their shared n-grams in global order.
+    """key, n, prefix, grams: sets that can have a link, with their shared n-grams in global order.
 
-    The arrays are packed, of 8 and 4 bytes an entry. ``prefix`` counts the entries that lie in the set's prefix.
+    An n-gram is packed into 8 bytes: the logarithm of the number of its sets, then its hash. ``prefix`` counts the
+    entries that lie in the set's prefix.
     """
-    bits = max(3, int(np.ceil(np.log2(max(grams, 1) / RANGE_GRAMS))) if grams else 3)
+    sent = docs.sparkSession.sparkContext.broadcast(likely_sets(docs, n, percent, grams))
+    bits = _bits(grams // 4)
     groups = 1 << bits
 
     def deal(batches):
@@ -111,11 +207,13 @@ def shared_grams(docs: DataFrame, n: int, percent: int, grams: int) -> DataFrame
                 g, owner, size, key = gram_sets(part.column("text"), n)
                 if not len(g):
                     continue
-                # equal sets of the slice once
-                _, first = C.numbered(key)
-                once = np.zeros(len(key), bool)
-                once[first] = True
-                g, owner = g[once[owner]], owner[once[owner]]
+                through = np.ones(len(key), bool)
+                for at in _places(key):
+                    through &= (sent.value[at >> 6] >> (at & 63)) & 1 == 1
+                some = through[owner]
+                g, owner = _once(g[some], owner[some], key)
+                if not len(g):
+                    continue
                 at = (g >> np.uint64(64 - bits)).astype(np.int32)
                 turn = np.argsort(at, kind="stable")
                 g, owner, at = g[turn], owner[turn], at[turn]
@@ -146,23 +244,24 @@ def shared_grams(docs: DataFrame, n: int, percent: int, grams: int) -> DataFrame
         which, _ = C.numbered(gs)
         counts = np.bincount(which)[which]
         some = counts > 1
-        keys, sizes, gs, counts = keys[some], sizes[some], gs[some], counts[some].astype(np.int32)
+        keys, sizes = keys[some], sizes[some]
+        gs = (np.log2(counts[some]).astype(np.uint64) << np.uint64(58)) | (gs[some] >> np.uint64(6))
         to = (keys % np.uint64(groups)).astype(np.int32)
         turn = np.argsort(to, kind="stable")
         edges = np.searchsorted(to[turn], np.arange(groups + 1))
-        rows = [[], [], [], [], []]
+        rows = [[], [], [], []]
         for r in range(groups):
             i = turn[edges[r] : edges[r + 1]]
             if len(i):
-                for x, y in zip(rows, (r, keys[i].tobytes(), sizes[i].tobytes(), gs[i].tobytes(), counts[i].tobytes()), strict=True):
+                for x, y in zip(rows, (r, keys[i].tobytes(), sizes[i].tobytes(), gs[i].tobytes()), strict=True):
                     x.append(y)
-        return pa.table([pa.array(rows[0], pa.int32()), *[pa.array(x, pa.binary()) for x in rows[1:]]], names=["r", "sets", "sizes", "g", "counts"])
+        return pa.table([pa.array(rows[0], pa.int32()), *[pa.array(x, pa.binary()) for x in rows[1:]]], names=["r", "sets", "sizes", "g"])
 
     def gather(table):
         import pyarrow as pa
 
-        kinds = (("sets", np.uint64), ("sizes", np.int32), ("g", np.uint64), ("counts", np.int32))
-        keys, sizes, gs, counts = (np.concatenate([np.frombuffer(x, t) for x in table.column(c).to_pylist()]) for c, t in kinds)
+        kinds = (("sets", np.uint64), ("sizes", np.int32), ("g", np.uint64))
+        keys, sizes, gs = (np.concatenate([np.frombuffer(x, t) for x in table.column(c).to_pylist()]) for c, t in kinds)
         which, first = C.numbered(keys)
         n_shared = np.bincount(which)
         size = sizes[first].astype(np.int64)
@@ -170,20 +269,20 @@ def shared_grams(docs: DataFrame, n: int, percent: int, grams: int) -> DataFrame
         prefix = size - -(-percent * size // 100) + 1 - (size - n_shared)
         fine = prefix > 0
         some = fine[which]
-        which, gs, counts = which[some], gs[some], counts[some]
-        turn = np.lexsort((gs, counts, which))
-        which, gs, counts = which[turn], gs[turn], counts[turn]
-        out = [[], [], [], [], []]
+        which, gs = which[some], gs[some]
+        turn = np.lexsort((gs, which))
+        which, gs = which[turn], gs[turn]
+        out = [[], [], [], []]
         ends = np.searchsorted(which, np.arange(len(first) + 1))
         for i in np.flatnonzero(fine):
             a, b = ends[i], ends[i + 1]
-            for x, y in zip(out, (int(keys[first[i]].view(np.int64)), int(size[i]), int(prefix[i]), gs[a:b].tobytes(), counts[a:b].tobytes()), strict=True):
+            for x, y in zip(out, (int(keys[first[i]].view(np.int64)), int(size[i]), int(prefix[i]), gs[a:b].tobytes()), strict=True):
                 x.append(y)
-        return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.binary()), pa.array(out[4], pa.binary())], names=["key", "n", "prefix", "grams", "counts"])
+        return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.binary())], names=["key", "n", "prefix", "grams"])
 
     dealt = docs.select("text").where(F.col("text").isNotNull()).mapInArrow(deal, "r int, sets binary, sizes binary, which binary, g binary")
-    counted = dealt.groupBy("r").applyInArrow(count, "r int, sets binary, sizes binary, g binary, counts binary")
-    return counted.groupBy("r").applyInArrow(gather, "key long, n long, prefix int, grams binary, counts binary")
+    counted = dealt.groupBy("r").applyInArrow(count, "r int, sets binary, sizes binary, g binary")
+    return counted.groupBy("r").applyInArrow(gather, "key long, n long, prefix int, grams binary")
 
 
 class Trie:
@@ -277,27 +376,22 @@ def linked_sets(sets: list[np.ndarray], size: np.ndarray, side: np.ndarray, grou
 
 
 def _link_groups(rows: DataFrame, keys: list[str], percent: int) -> DataFrame:
-    """Links (a, b) found in each group of rows (key, root, n, grams, counts, side)."""
+    """Links (a, b) found in each group of rows (key, root, n, grams, side)."""
 
     def run(table):
         import pyarrow as pa
 
         gs = [np.frombuffer(x, np.uint64) for x in table.column("grams").to_pylist()]
-        counts = [np.frombuffer(x, np.int32) for x in table.column("counts").to_pylist()]
         ids = np.asarray(table.column("key"))
         if len(ids) < 2:
             return pa.table([pa.array([], pa.int64())] * 2, names=["a", "b"])
         # ranks of this group's n-grams in global order
-        flat, many = np.concatenate(gs), np.concatenate(counts)
-        which, first = C.numbered(flat)
-        turn = np.lexsort((flat[first], many[first]))
-        rank = np.empty(len(turn), np.int64)
-        rank[turn] = np.arange(len(turn))
-        sets = np.split(rank[which], np.cumsum([len(x) for x in gs])[:-1])
+        which = np.unique(np.concatenate(gs), return_inverse=True)[1]
+        sets = np.split(which, np.cumsum([len(x) for x in gs])[:-1])
         found = linked_sets(sets, np.asarray(table.column("n")), np.asarray(table.column("side")), np.asarray(table.column("root")), percent)
         return pa.table([pa.array(ids[[x[i] for x in found]] if found else [], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    return rows.select(*keys, "key", "root", "n", "grams", "counts", "side").groupBy(*keys).applyInArrow(run, "a long, b long")
+    return rows.select(*keys, "key", "root", "n", "grams", "side").groupBy(*keys).applyInArrow(run, "a long, b long")
 
 
 def _prefix(sets: DataFrame, first_only: bool = False) -> DataFrame:
@@ -329,8 +423,26 @@ def _rooted(sets: DataFrame, links: DataFrame | None) -> DataFrame:
 
 def set_links(sets: DataFrame, percent: int) -> DataFrame:
     """Links between keys of sets, enough to join all that links join."""
+    payload = sets.select("key", "n", "grams")
+    # clusters of sets, chained by prefix n-grams
+    held = C.keep(_prefix(sets), "held")
+    least = held.groupBy("gram").agg(F.min("key").alias("least"), F.count("*").alias("c")).where("c > 1").drop("c")
+    chained = C.keep(components(held.join(least, "gram").select(F.col("key").alias("a"), F.col("least").alias("b"))), "clusters")
+    sizes = chained.groupBy("root").agg(F.count("*").alias("c"))
+    small = chained.join(sizes.where(F.col("c") <= CLUSTER_SETS), "root").select(F.col("node").alias("key"), F.col("root").alias("cluster"))
+    rows = small.join(payload, "key").select("*", F.col("key").alias("root"), F.lit(2).alias("side"))
+    links = C.keep(_link_groups(rows, ["cluster"], percent), "links-clusters")
+    large = C.keep(chained.join(sizes.where(F.col("c") > CLUSTER_SETS), "root").select(F.col("node").alias("key")), "large")
+    if large.isEmpty():
+        return links
+    sets = sets.join(large, "key", "left_semi")
+    return links.unionByName(_large_links(sets, percent))
+
+
+def _large_links(sets: DataFrame, percent: int) -> DataFrame:
+    """:func:`set_links` for clusters of any size."""
     light = ["key", "n", "prefix"]
-    payload = sets.select("key", "n", "grams", "counts")
+    payload = sets.select("key", "n", "grams")
     # all sets, at their rarest prefix n-gram, in salted groups
     first = C.keep(_prefix(sets, True), "first")
     often = first.groupBy("gram").agg(F.ceil(F.count("*") / GROUP_SETS).alias("salts")).where("salts > 1")
