@@ -1,0 +1,67 @@
+"""Identities of changing sets over frames: links by overlap, matched greedily, with births, deaths, splits and merges.
+
+Links come from a join. Matching is sequential over frames, so it runs in Python over the links and the sets' names of one
+tracking key; that input has a row for each set and link, not for each member. The same step serves streams.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from gridloom.operators.joins import overlap_links
+
+
+def step(state: dict, frame: int, sets: list, links: list) -> tuple[list, list]:
+    """One frame: assignments (frame, set, track, reason) and events (frame, event, track).
+
+    ``links``: (previous set, set, jaccard, overlap). ``state`` holds the tracks of the previous frame and the next number.
+    """
+    first = not state
+    old = state.get("tracks", {})
+    number = state.get("next", 0)
+    order = sorted(links, key=lambda x: (-x[2], -x[3], x[0], x[1]))
+    used, new = set(), {}
+    for prev, cur, _, _ in order:
+        if prev not in used and cur not in new:
+            used.add(prev)
+            new[cur] = (old[prev], "continued")
+    linked = {cur for _, cur, _, _ in links}
+    events = []
+    for s in sorted(sets):
+        if s not in new:
+            reason = "first_frame" if first else "split" if s in linked else "birth"
+            new[s] = (number, reason)
+            number += 1
+            if reason == "birth":
+                events.append((frame, "birth", new[s][0]))
+    for prev in sorted(old):
+        out = [x for x in links if x[0] == prev]
+        if not out:
+            events.append((frame, "death", old[prev]))
+        elif len(out) > 1:
+            events.append((frame, "split", old[prev]))
+    for cur in sorted(sets):
+        if sum(x[1] == cur for x in links) > 1:
+            events.append((frame, "merge", new[cur][0]))
+    state["tracks"], state["next"] = {s: t for s, (t, _) in new.items()}, number
+    return [(frame, s, *new[s]) for s in sorted(sets)], events
+
+
+def track(sets: DataFrame, events: bool = False) -> DataFrame:
+    """Assignments (frame, grp, track, reason) of sets (frame, grp, member), or events (frame, event, track)."""
+    import pandas as pd
+
+    names = sets.select("frame", "grp").distinct().select("frame", F.lit(None).cast("long").alias("prev"), F.col("grp").cast("long").alias("cur"), F.lit(0.0).alias("jaccard"), F.lit(0).cast("long").alias("overlap"))
+    links = overlap_links(sets).select(F.col("cur_frame").alias("frame"), F.col("prev").cast("long").alias("prev"), F.col("cur").cast("long").alias("cur"), "jaccard", "overlap")
+    schema = "frame long, event string, track long" if events else "frame long, grp long, track long, reason string"
+
+    def run(pdf):
+        state, out = {}, []
+        for frame, rows in pdf.groupby("frame", sort=True):
+            own, tied = rows[rows.prev.isna()], rows[rows.prev.notna()]
+            done, seen = step(state, int(frame), [int(x) for x in own.cur], [(int(p), int(c), float(j), int(o)) for p, c, j, o in zip(tied.prev, tied.cur, tied.jaccard, tied.overlap, strict=True)])
+            out += seen if events else done
+        return pd.DataFrame(out, columns=["frame", "event", "track"] if events else ["frame", "grp", "track", "reason"])
+
+    return names.unionByName(links).withColumn("_key", F.lit(0)).groupBy("_key").applyInPandas(run, schema)

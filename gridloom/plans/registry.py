@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from gridloom.plans import spatial_queries
+from gridloom.plans import ordered_queries, spatial_queries
 
 FLAGSHIP = "contact_network"
-QUERIES = {**spatial_queries.QUERIES}
-ORACLE_SQL = {**spatial_queries.ORACLE_SQL}
+QUERIES = {**spatial_queries.QUERIES, **ordered_queries.QUERIES}
+ORACLE_SQL = {**spatial_queries.ORACLE_SQL, **ordered_queries.ORACLE_SQL}

@@ -158,12 +158,12 @@ def matched_split(spark, d):
     return tally(yes, True).unionByName(tally(no, False))
 
 
-def paired_months(spark, d):
-    """Order value of two segments by month: second less first, with full pairing."""
+def paired_years(spark, d):
+    """Order value of two segments by year: second less first, with full pairing."""
     customers = J.small(T.table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment"))
-    orders = T.table(spark, d, "orders").join(customers, "o_custkey").select(F.trunc("o_orderdate", "MM").cast("string").alias("month"), "c_mktsegment", "o_totalprice")
-    one = lambda s: orders.where(F.col("c_mktsegment") == s).groupBy("month").agg(F.avg("o_totalprice").alias("v"))
-    return J.paired(one("BUILDING"), one("MACHINERY"), ["month"], "v").select("month", _r("left_value", 2), _r("right_value", 2), _r("difference", 2))
+    orders = T.table(spark, d, "orders").join(customers, "o_custkey").select(F.year("o_orderdate").cast("long").alias("year"), "c_mktsegment", "o_totalprice")
+    one = lambda s: orders.where(F.col("c_mktsegment") == s).groupBy("year").agg(F.avg("o_totalprice").alias("v"))
+    return J.paired(one("BUILDING"), one("MACHINERY"), ["year"], "v").select("year", _r("left_value", 2), _r("right_value", 2), _r("difference", 2))
 
 
 def price_density(spark, d):
@@ -296,7 +296,7 @@ m AS (SELECT node, avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM f GROUP BY node
 
 QUERIES = {f.__name__: f for f in (
     contact_network, contact_degrees, contact_surface, contact_metrics, distance_pairs, periodic_pairs, nearest_surface, within_surface, segment_clearance, group_annotation, shared_boundary, lattice_members, voxel_keys,
-    exposed_area, bounding_boxes, covariances, principal_axes, rigid_transform, radius_fallback, matched_split, paired_months, price_density, set_links, set_jaccard, persistent_edges, edge_occupancy, shared_bridges,
+    exposed_area, bounding_boxes, covariances, principal_axes, rigid_transform, radius_fallback, matched_split, paired_years, price_density, set_links, set_jaccard, persistent_edges, edge_occupancy, shared_bridges,
     group_matrix, series_description, series_halves, circular_values, profile_summary, profile_resistance, profile_features, axial_energy, cutoff_sensitivity, component_decisions, even_sample, void_classes, dynamics, cross_correlation,
 )}
 
@@ -341,8 +341,8 @@ ORACLE_SQL = {
     "radius_fallback": """WITH f AS (SELECT l_partkey, l_suppkey, max(l_tax) AS v FROM lineitem WHERE l_discount > 0.09 GROUP BY ALL), c AS (SELECT p_partkey, p_retailprice AS v FROM part WHERE p_size < 20)
       SELECT l_orderkey, l_linenumber, l.l_partkey, l.l_suppkey, l_extendedprice, coalesce(f.v, c.v, -1) AS value FROM lineitem l LEFT JOIN f ON l.l_partkey = f.l_partkey AND l.l_suppkey = f.l_suppkey LEFT JOIN c ON l.l_partkey = c.p_partkey WHERE l_quantity > 45""",
     "matched_split": "SELECT c_mktsegment, count(*) AS n, c_custkey IN (SELECT o_custkey FROM orders) AS matched FROM customer GROUP BY ALL",
-    "paired_months": """WITH o AS (SELECT date_trunc('month', o_orderdate)::DATE::VARCHAR AS month, c_mktsegment AS s, avg(o_totalprice) AS v FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL)
-      SELECT a.month, round(a.v, 2) AS left_value, round(b.v, 2) AS right_value, round(b.v - a.v, 2) AS difference FROM o a JOIN o b ON a.month = b.month AND a.s = 'BUILDING' AND b.s = 'MACHINERY'""",
+    "paired_years": """WITH o AS (SELECT year(o_orderdate)::BIGINT AS year, c_mktsegment AS s, avg(o_totalprice) AS v FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL)
+      SELECT a.year, round(a.v, 2) AS left_value, round(b.v, 2) AS right_value, round(b.v - a.v, 2) AS difference FROM o a JOIN o b ON a.year = b.year AND a.s = 'BUILDING' AND b.s = 'MACHINERY'""",
     "price_density": """WITH k AS (SELECT floor(l_extendedprice / 1000 / 10)::BIGINT AS c_px, floor((l_discount * 100 + 0.5) / 2)::BIGINT AS c_pd, l_shipdate::DATE AS frame FROM lineitem)
       SELECT c_px, c_pd, count(*) AS n, count(DISTINCT frame) AS occupied, round(count(*) / 20000::DOUBLE, 9) AS density, round(count(DISTINCT frame) / 1000::DOUBLE, 9) AS occupancy FROM k GROUP BY ALL""",
     "set_links": f"""WITH {T.MEMBERS_SQL}, t AS (SELECT *, dense_rank() OVER (ORDER BY frame) AS turn FROM members), n AS (SELECT frame, grp, count(*) AS n FROM members GROUP BY ALL),
