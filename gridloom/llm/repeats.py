@@ -31,7 +31,8 @@ LENGTH = 400
 CUT_BYTES, CUT_BITS = 12, 5
 #: Phrases of the runs ranked, round by round.
 ROUNDS = (1, 2, 4)
-FILTER_BITS = 27
+#: The filter's bits, as a power of two: eight for each entry expected, and no more than this.
+MOST_BITS = 27
 SLICE_BYTES = 2 << 20
 #: Positions that one range ranks at once.
 RANGE_POSITIONS = 3_000_000
@@ -54,9 +55,13 @@ def text_keys(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 # ------------------------------------------------------------- bit filters
 
 
-def bit_rows(hashes: np.ndarray):
-    """Words of the filter and the bits that these hashes set in them."""
-    at = np.concatenate([(C.mix(hashes + t) >> np.uint64(64 - FILTER_BITS)).astype(np.int64) for t in _TURN[:3]])
+def filter_size(entries: float) -> int:
+    return min(MOST_BITS, max(10, int(np.ceil(np.log2(8 * max(1, entries))))))
+
+
+def bit_rows(hashes: np.ndarray, size: int):
+    """Words of a filter of 2**size bits and the bits that these hashes set in them."""
+    at = np.concatenate([(C.mix(hashes + t) >> np.uint64(64 - size)).astype(np.int64) for t in _TURN[:3]])
     word, bit = at >> 6, np.left_shift(np.int64(1), at & 63)
     order = np.argsort(word, kind="stable")
     word, bit = word[order], bit[order]
@@ -64,18 +69,18 @@ def bit_rows(hashes: np.ndarray):
     return word[first], np.bitwise_or.reduceat(bit, first) if len(first) else bit
 
 
-def gathered_filter(rows: DataFrame) -> np.ndarray:
+def gathered_filter(rows: DataFrame, size: int) -> np.ndarray:
     """The filter from rows (word, bits): of a fixed number of words."""
     got = rows.groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    out = np.zeros(1 << (size - 6), np.int64)
     out[np.asarray(got.column("word"))] = np.asarray(got.column("bits"))
     return out
 
 
 def passes(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    out = np.ones(len(hashes), bool)
+    out, size = np.ones(len(hashes), bool), len(bits).bit_length() + 5
     for t in _TURN[:3]:
-        at = (C.mix(hashes + t) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+        at = (C.mix(hashes + t) >> np.uint64(64 - size)).astype(np.int64)
         out &= (bits[at >> 6] >> (at & 63)) & 1 == 1
     return out
 
@@ -156,7 +161,7 @@ def _dealt(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(at[order], np.arange((1 << bits) + 1))
 
 
-def _ranked(docs: DataFrame, keep: np.ndarray, filters: list[np.ndarray], m: int, bits: int) -> np.ndarray:
+def _ranked(docs: DataFrame, keep: np.ndarray, filters: list[np.ndarray], m: int, bits: int, size: int) -> np.ndarray:
     """The filter of ranks of runs of m phrases that stand more than once."""
     sent = docs.sparkSession.sparkContext.broadcast((keep, filters))
 
@@ -182,11 +187,13 @@ def _ranked(docs: DataFrame, keep: np.ndarray, filters: list[np.ndarray], m: int
 
         ranks = np.sort(np.frombuffer(b"".join(table.column("ranks").to_pylist()), np.uint64))
         again = np.unique(ranks[1:][ranks[1:] == ranks[:-1]])
-        word, bit = bit_rows(again)
+        word, bit = bit_rows(again, size)
         return pa.table([pa.array(word), pa.array(bit)], names=["word", "bits"])
 
     dealt = docs.select("doc_id", "text").mapInArrow(deal, "r int, ranks binary")
-    return gathered_filter(dealt.groupBy("r").applyInArrow(count, "word long, bits long"))
+    out = gathered_filter(dealt.groupBy("r").applyInArrow(count, "word long, bits long"), size)
+    sent.destroy()
+    return out
 
 
 def _named(key: np.ndarray, doc_id) -> np.ndarray:
@@ -223,20 +230,21 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     rows = C.keep(docs.mapInArrow(describe, "doc_id long, n_bytes long, key long, named long, sha string"), "described")
     texts = rows.where(F.col("n_bytes") >= LENGTH).groupBy("key").agg(F.min("named").alias("named"), F.count("*").alias("copies"))
-    total = rows.agg(F.sum("n_bytes")).first()[0] or 0
+    total, number = rows.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)), F.count("*")).first()
+    size = filter_size(number)
 
     def set_bits(batches):
         import pyarrow as pa
 
         for batch in batches:
-            word, bit = bit_rows(np.asarray(batch.column("named")).view(np.uint64))
+            word, bit = bit_rows(np.asarray(batch.column("named")).view(np.uint64), size)
             yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(bit)], ["word", "bits"])
 
-    keep = gathered_filter(texts.select("named").mapInArrow(set_bits, "word long, bits long"))
+    keep = gathered_filter(texts.select("named").mapInArrow(set_bits, "word long, bits long"), size)
     filters: list[np.ndarray] = []
     for m in ROUNDS:
         bits = max(4, int(np.ceil(np.log2(max(1, total / 32 / m / RANGE_POSITIONS)))))
-        filters.append(_ranked(docs, keep, filters, m, bits))
+        filters.append(_ranked(docs, keep, filters, m, bits, filter_size(total / 256 / m)))
     sent = docs.sparkSession.sparkContext.broadcast((keep, filters))
 
     def left(batches):
@@ -266,6 +274,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 turn += 1
 
     slices = C.keep(docs.mapInArrow(left, "slice long, raw binary, offsets binary, runs binary, positions long"), "left")
+    sent.destroy()
     positions = slices.agg(F.sum("positions")).first()[0] or 0
     bits = max(4, int(np.ceil(np.log2(max(1, positions / RANGE_POSITIONS)))))
 
