@@ -123,9 +123,9 @@ class CoTrained:
     """The two views, their calibration and their joint score."""
 
     def __init__(self, views: list[np.ndarray], label: np.ndarray, loss: float = 0.003):
-        """``label``: 0 or 1, or -1 in the pool. Every fifth labelled row is held out for calibration."""
-        rows = np.flatnonzero(label >= 0)
-        held, train = rows[::5], np.delete(rows, np.s_[::5])
+        """``label``: 0 or 1, or -1 in the pool. Every fifth row of either label is held out for calibration."""
+        held = np.sort(np.concatenate([np.flatnonzero(label == side)[::5] for side in (0, 1)]))
+        train = np.setdiff1d(np.flatnonzero(label >= 0), held)
         pool = np.flatnonzero(label < 0)
         own = [(train, label[train].astype(float)) for _ in views]
         self.models = [Logistic(v[i], y) for v, (i, y) in zip(views, own, strict=True)]
