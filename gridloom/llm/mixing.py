@@ -11,8 +11,8 @@ range in which the sample ends is sorted, to find the last rank taken. Then each
 
 Null texts are empty and count no words. A null source is a source of its own, after all others. Documents without
 words are taken or left by rank and add nothing. Rows with the same doc_id and text share a rank and are taken or
-left together. An empty table gives an empty mix. Columns of other names pass through; columns named like the
-operator's own (they begin with ``mix_``) are replaced.
+left together. An empty table gives an empty mix. Columns of other names pass through; columns named like the operator's own
+(they begin with ``mix_``) are left out.
 """
 
 from __future__ import annotations
@@ -101,7 +101,7 @@ def _sizes(docs: DataFrame, seed: int) -> DataFrame:
 
 def decided(rows: DataFrame, plan: DataFrame) -> DataFrame:
     """Rows of :func:`_sizes` or of documents with the same keys, with ``mix_copies`` and what the plan says."""
-    plan = plan.drop("source")
+    plan = plan.select("mix_key", *[F.col(c).alias(f"mix_{c}") for c in ("source_size", "target", "whole", "inclusion", "last", "cut_u")])
     if plan.count() <= BROADCAST_SOURCES:
         joined = rows.join(F.broadcast(plan), "mix_key")
     else:
@@ -109,13 +109,13 @@ def decided(rows: DataFrame, plan: DataFrame) -> DataFrame:
         joined = rows.withColumn("mix_salt", F.floor(F.col("mix_u") * 1e6 % SALTS).cast("int")).join(salted, ["mix_key", "mix_salt"]).drop("mix_salt")
     mine = F.struct("mix_u", "mix_id", "mix_tie")
     # below the range of the cut every rank is taken, in it those up to the last
-    # ("cut_u" is null where the source has nothing left to sample)
-    taken = (F.col("cut_u").isNotNull()) & ((F.col("mix_u") < F.col("cut_u")) | F.coalesce(mine <= F.col("last"), F.lit(False)))
+    # ("mix_cut_u" is null where the source has nothing left to sample)
+    taken = (F.col("mix_cut_u").isNotNull()) & ((F.col("mix_u") < F.col("mix_cut_u")) | F.coalesce(mine <= F.col("mix_last"), F.lit(False)))
     odds = lambda p: p / (1 - p)
     return joined.withColumns(
         {
-            "mix_copies": F.col("whole") + F.when(taken, 1).otherwise(0),
-            "mix_rank": F.when((F.col("inclusion") > 0) & (F.col("inclusion") < 1), odds(F.col("mix_u")) / odds(F.col("inclusion"))),
+            "mix_copies": F.col("mix_whole") + F.when(taken, 1).otherwise(0),
+            "mix_rank": F.when((F.col("mix_inclusion") > 0) & (F.col("mix_inclusion") < 1), odds(F.col("mix_u")) / odds(F.col("mix_inclusion"))),
         }
     )
 
@@ -127,10 +127,10 @@ def mix_report(docs: DataFrame, **options) -> DataFrame:
     return decided(rows, plan).select(
         "doc_id",
         F.col("mix_size").alias("size"),
-        "source_size",
-        "target",
+        F.col("mix_source_size").alias("source_size"),
+        F.col("mix_target").alias("target"),
         (F.col("mix_copies") * F.col("mix_size")).alias("taken"),
-        "inclusion",
+        F.col("mix_inclusion").alias("inclusion"),
         F.col("mix_rank").alias("pareto_rank"),
         F.col("mix_copies").alias("copies"),
     )
@@ -139,6 +139,7 @@ def mix_report(docs: DataFrame, **options) -> DataFrame:
 def mix_sources(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as it is taken, with the columns of ``docs``."""
     plan = source_plan(docs, **options)
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if not c.startswith("mix_")])
     rows = _ranked(docs, options.get("seed", 7)).withColumn("mix_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     mixed = decided(rows, plan).where("mix_copies > 0")
     return mixed.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
