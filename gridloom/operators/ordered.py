@@ -156,3 +156,15 @@ def blocks(rows: DataFrame, by: list[str], value: str, count: int) -> DataFrame:
     """Means of ``count`` contiguous blocks; the first of them have one row more when rows don't divide evenly."""
     w = Window.partitionBy(*by).orderBy("frame")
     return rows.withColumn("block", F.ntile(count).over(w) - 1).groupBy(*by, "block").agg(F.count("*").alias("n"), F.avg(value).alias("mean"))
+
+
+def resample_polyline(rows: DataFrame, by: list[str], order: str, step: float) -> DataFrame:
+    """Points at multiples of ``step`` along a polyline of points x, y, z; each segment makes its own."""
+    along = arc_length(rows, by, order)
+    w = Window.partitionBy(*by).orderBy(order)
+    seg = along.withColumns({"_a": F.lead("arc").over(w), **{f"_{c}": F.lead(c).over(w) for c in "xyz"}})
+    last = F.col("_a").isNull()
+    lo, hi = F.ceil(F.col("arc") / step), F.when(last, F.floor(F.col("arc") / step)).otherwise(F.ceil(F.col("_a") / step) - 1)
+    g = seg.withColumn("g", F.explode(F.when(hi >= lo, F.sequence(lo, hi)).otherwise(F.array().cast("array<bigint>"))))
+    k = F.when(last | (F.col("_a") == F.col("arc")), F.lit(0.0)).otherwise((F.col("g") * step - F.col("arc")) / (F.col("_a") - F.col("arc")))
+    return g.select(*by, "g", *[F.when(last, F.col(c)).otherwise(F.col(c) + (F.col(f"_{c}") - F.col(c)) * k).alias(c) for c in "xyz"])

@@ -141,3 +141,24 @@ def test_unpaired_keys_are_errors(spark):
     a, b = spark.createDataFrame([(1, 2.0)], "k int, v double"), spark.createDataFrame([(2, 2.0)], "k int, v double")
     with pytest.raises(Exception, match="partner"):
         J.paired(a, b, ["k"], "v").collect()
+
+
+def test_bands_and_blocks():
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((800, 3)) + [0.0, 1.0, 2.0]
+    x[3, 2] = np.nan
+    got = S.block_mean_bands(x)
+    assert got["status"] == "estimated" and np.isnan(got["low"][2])
+    assert (got["wide_low"][:2] <= got["low"][:2]).all() and (got["low"][:2] < x[:, :2].mean(0)).all() and (got["high"][:2] > x[:, :2].mean(0)).all()
+    assert S.block_mean_bands(x[:10])["status"] == "insufficient_frames"
+    assert S.disjoint_block_bootstrap(np.ones(100), 10)["status"] == "no_variation"
+    one_ = S.disjoint_block_bootstrap(x[:, 0], 20)
+    assert one_["low"] < x[:, 0].mean() < one_["high"]
+    current = S.net_current(np.ones((100, 1)), np.zeros((100, 1)), [2.0], 50.0)
+    assert current["current"] == 4.0 and current["low"] < 4.0 < current["high"]
+
+
+def test_polyline_is_resampled_along_its_length(spark):
+    df = spark.createDataFrame([(0, 0, 0.0, 0.0, 0.0), (0, 1, 1.0, 0.0, 0.0), (0, 2, 1.0, 1.0, 0.0)], "k long, n long, x double, y double, z double")
+    got = [(r.g, r.x, r.y) for r in O.resample_polyline(df, ["k"], "n", 0.5).orderBy("g").collect()]
+    assert got == [(0, 0.0, 0.0), (1, 0.5, 0.0), (2, 1.0, 0.0), (3, 1.0, 0.5), (4, 1.0, 1.0)]
