@@ -23,6 +23,7 @@ training rows the base's counts are zero and the model is uniform. An empty tabl
 from __future__ import annotations
 
 import base64
+import uuid
 from pathlib import Path
 
 import numpy as np
@@ -451,13 +452,13 @@ def score_texts(docs: DataFrame, train: DataFrame, vocabulary_path: str = VOCABU
     gathered = C.keep(gather(train, place, vocabulary), "gathered")
     model = fit(gathered, len(top) + 2)
     often = _often(words)
-    sent = spark.sparkContext.broadcast(pickle.dumps((model, place, log_rest, often), protocol=5))
+    sent, name = spark.sparkContext.broadcast(pickle.dumps((model, place, log_rest, often), protocol=5)), uuid.uuid4().hex
 
     def run(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        mine, where, log_other, (hash_often, count_often) = _loaded(sent)
+        mine, where, log_other, (hash_often, count_often) = _loaded(name, sent)
         table, part_of, turn = subwords(vocabulary), TaskContext.get().partitionId(), 0
         names = ["kind", "slice", "i", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "r", "hashes", "texts", "tf"]
         kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
@@ -530,17 +531,17 @@ def score_texts(docs: DataFrame, train: DataFrame, vocabulary_path: str = VOCABU
     return rows.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
 
 
-_models: dict[int, tuple] = {}
+_models: dict[str, tuple] = {}
 
 
-def _loaded(sent):
+def _loaded(name: str, sent):
+    """What a broadcast holds, unpacked once in a Python process; ``name`` is of this broadcast alone."""
     import pickle
 
-    key = id(sent)
-    if key not in _models:
+    if name not in _models:
         _models.clear()
-        _models[key] = pickle.loads(sent.value)
-    return _models[key]
+        _models[name] = pickle.loads(sent.value)
+    return _models[name]
 
 
 def _often(words: DataFrame) -> tuple[np.ndarray, np.ndarray]:
