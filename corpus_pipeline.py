@@ -7,6 +7,8 @@
 4. mixture: sources are mixed to target weights; a document stands in the mix as often as it is taken.
 5. pieces: doc_id, source, lang and the SentencePiece ids of each document of the mix.
 
+Stages that hand texts to Python do so at most :data:`BATCH_ROWS` rows at once, by the session's setting.
+
 Stages but the last return the columns of ``documents``. Documents with null or empty texts pass through the stages
 that don't reject them; an empty table gives an empty corpus.
 """
@@ -19,8 +21,15 @@ from pyspark.sql import functions as F
 from gridloom.llm import mixing, ngram_join, pii, quality, sentencepiece_codec
 from gridloom.llm.common import keep
 
+BATCH_ROWS = 2000
+
+
+def _bounded(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _bounded(spark)
     return quality.filter_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
@@ -38,6 +47,7 @@ def mixture_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def piece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _bounded(spark)
     coded = sentencepiece_codec.encode(docs.select("doc_id", "source", "lang", "text"))
     return coded.select("doc_id", "source", "lang", F.coalesce(F.size("piece_ids"), F.lit(0)).cast("long").alias("n_pieces"), "piece_ids")
 

@@ -26,17 +26,19 @@ table gives no rows; other columns are not read.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm import common as C
 from gridloom.llm.components import components
 
-SLICE_BYTES = 12 << 20
+SLICE_BYTES = 3 << 20
 #: N-grams of a hash range, and of a group of sets, that one task holds at once.
-RANGE_GRAMS = 3_000_000
+RANGE_GRAMS = 1_000_000
 #: Sets of a group or block, and of a cluster that one task joins.
 GROUP_SETS, CLUSTER_SETS = 1024, 1500
+#: Numbers of documents to drop up to which they are broadcast, of eight bytes each.
+BROADCAST_IDS = 500_000
 #: Bits of the filter, as a power of two.
 FILTER_BITS = 26
 _TURN = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
@@ -79,6 +81,7 @@ def _slices(batch):
     sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
     for a, b in C.pieces_of(batch.num_rows, sizes, SLICE_BYTES):
         yield batch.slice(a, b - a)
+    C.trim()
 
 
 def document_sets(docs: DataFrame, n: int) -> DataFrame:
@@ -167,6 +170,8 @@ def likely_sets(docs: DataFrame, n: int, percent: int, grams: int) -> np.ndarray
         which, _ = C.numbered(gs)
         keys = keys[np.bincount(which)[which] > 1]
         which, first = C.numbered(keys)
+        del gs
+        C.trim()
         return pa.table([pa.array(keys[first].view(np.int64)), pa.array(np.bincount(which, minlength=len(first)))], names=["key", "shared"])
 
     dealt = docs.select("text").where(F.col("text").isNotNull()).mapInArrow(deal, "r int, sets binary, which binary, g binary")
@@ -246,6 +251,7 @@ def shared_grams(docs: DataFrame, n: int, percent: int, grams: int) -> DataFrame
         some = counts > 1
         keys, sizes = keys[some], sizes[some]
         gs = (np.log2(counts[some]).astype(np.uint64) << np.uint64(58)) | (gs[some] >> np.uint64(6))
+        C.trim()
         to = (keys % np.uint64(groups)).astype(np.int32)
         turn = np.argsort(to, kind="stable")
         edges = np.searchsorted(to[turn], np.arange(groups + 1))
@@ -272,6 +278,7 @@ def shared_grams(docs: DataFrame, n: int, percent: int, grams: int) -> DataFrame
         which, gs = which[some], gs[some]
         turn = np.lexsort((gs, which))
         which, gs = which[turn], gs[turn]
+        C.trim()
         out = [[], [], [], []]
         ends = np.searchsorted(which, np.arange(len(first) + 1))
         for i in np.flatnonzero(fine):
@@ -478,6 +485,11 @@ def _large_links(sets: DataFrame, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles and component_id of each row of ``docs``."""
+    with C.batch_rows(docs.sparkSession, 2000):
+        return _near_duplicates(docs, n, percent)
+
+
+def _near_duplicates(docs: DataFrame, n: int, percent: int) -> DataFrame:
     rows = C.keep(document_sets(docs, n), "sets")
     grams = rows.agg(F.sum("n")).first()[0] or 0
     sets = C.keep(shared_grams(docs, n, percent, grams), "shared")
@@ -495,13 +507,19 @@ def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
 
     Rows without doc_id stay. Of rows with the same doc_id and text one stays.
     """
-    found = near_duplicates(docs, n, percent)
-    drop = found.where("component_id <> doc_id").select("doc_id").distinct()
-    left = docs.join(drop, "doc_id", "left_anti")
-    again = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    found = C.keep(near_duplicates(docs, n, percent), "found")
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    once = left.join(again, "doc_id", "left_anti").select(*columns)
-    return once.unionByName(left.join(again, "doc_id", "left_semi").select(*columns).dropDuplicates(["doc_id", "text"]))
+    left = _without(docs, found.where("component_id <> doc_id").select("doc_id").distinct()).select(*columns)
+    again = C.keep(found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
+    if again.isEmpty():
+        return left
+    return _without(left, again).unionByName(left.join(again, "doc_id", "left_semi").select(*columns).dropDuplicates(["doc_id", "text"]))
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows whose doc_id is not among distinct ids; up to BROADCAST_IDS of them are sent to all tasks."""
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_anti")
 
 
 def op5_ngram_join(spark, sf_dir: str) -> DataFrame:
