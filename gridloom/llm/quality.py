@@ -26,10 +26,10 @@ from pyspark.sql import types as T
 
 from gridloom.llm import common as C
 
-LABELLED_ROWS, POOL_ROWS = 20_000, 10_000
+LABELLED_ROWS, POOL_ROWS = 12_000, 6_000
 ROUNDS, SURE, PER_ROUND = 4, 0.95, 500
-HASHED, SOURCES, LANGS, LENGTHS = 192, 128, 32, 20
-SLICE_BYTES = 4 << 20
+HASHED, SOURCES, LANGS, LENGTHS = 128, 64, 24, 20
+SLICE_BYTES = 2 << 20
 
 #: Byte classes: letters of either case, digits, white space, other signs, and bytes beyond ASCII.
 _CLASS = np.full(256, 4, np.int64)
@@ -170,6 +170,7 @@ def _slices(batch):
     for a, b in C.pieces_of(batch.num_rows, sizes, SLICE_BYTES):
         for at in range(a, b, 2000):
             yield batch.slice(at, min(2000, b - at))
+    C.trim()
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> CoTrained | None:
@@ -199,9 +200,19 @@ def fit(docs: DataFrame, labels: DataFrame) -> CoTrained | None:
     ids, label = np.asarray(got.column("doc_id")), np.asarray(got.column("label"))
     if len(set(label[label >= 0].tolist())) < 2 or min(np.bincount(label[label >= 0])) < 10:
         return None
-    views = [np.frombuffer(b"".join(got.column(c).to_pylist()), np.float32).reshape(len(ids), -1) for c in ("a", "b")]
     turn = np.lexsort((label, ids))
-    return CoTrained([v[turn] for v in views], label[turn])
+    model = CoTrained([_packed_rows(got.column(c))[turn] for c in ("a", "b")], label[turn])
+    del got
+    C.trim()
+    return model
+
+
+def _packed_rows(column) -> np.ndarray:
+    """Rows of equal length from an Arrow column of packed single-precision numbers."""
+    column = column.combine_chunks()
+    column = column.chunk(0) if hasattr(column, "chunk") else column
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(np.float32).reshape(len(column), -1)
 
 
 def score(docs: DataFrame, model: CoTrained | None) -> DataFrame:
