@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridloom.llm.common import keep
-from gridloom.llm.vectors import best, dealt, matrix, spread, usable
+from gridloom.llm.vectors import best, matrix, spread, usable
 
 #: Rows that the tree is fitted on, queries that visits are calibrated on, and rows up to which a search is complete.
 SAMPLE_ROWS, SAMPLE_QUERIES, SMALL_ROWS = 20_000, 400, 2_000

@@ -10,7 +10,6 @@ from collections import Counter
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from gridloom.llm import ann, language_id, lm_score, mixing, ngram_join, pii, quality, repeats, topk
 from tests.llm import cases

@@ -8,6 +8,29 @@ from gridloom.llm import sentencepiece_codec
 FOLDER = "/root/testdata/sf0.001"
 
 
+def survivors(docs):
+    """By brute force: the least doc_id of each group linked by five-word shingles at 0.8 or more."""
+    sets = {}
+    for r in docs:
+        w = (r.text or "").encode().lower().split()
+        sets[r.doc_id] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    up = {d: d for d in sets}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    ids = sorted(sets)
+    for n, a in enumerate(ids):
+        for b in ids[:n]:
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+                x, y = find(a), find(b)
+                up[max(x, y)] = min(x, y)
+    return {d for d in sets if find(d) == d}
+
+
 def test_stages_take_effect(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     rows = {"documents": docs}
@@ -19,6 +42,7 @@ def test_stages_take_effect(spark):
     bad = spark.read.parquet(f"{FOLDER}/labels.parquet").where("quality = 0")
     assert rows["quality"].join(bad, "doc_id").count() <= 0.2 * max(1, bad.count())
     assert rows["near_duplicates"].count() < rows["quality"].count()
+    assert {r.doc_id for r in rows["near_duplicates"].collect()} == survivors(rows["quality"].collect())
     assert not [r for r in rows["personal_data"].collect() if re.search(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r.text or "")]
     assert rows["mixture"].count() > 0 and rows["pieces"].count() == rows["mixture"].count()
     texts = sorted(r.text or "" for r in rows["mixture"].select("text").collect())
