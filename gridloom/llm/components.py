@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.common import keep
 
+#: Links that one file of a round holds, about.
+FILE_LINKS = 100_000
+
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
     """``links``: (a, b) with a > b, distinct."""
@@ -35,5 +38,6 @@ def components(links: DataFrame) -> DataFrame:
         if seen == mark or not seen[0]:
             break
         mark = seen
-        now = keep(_star(_star(now, True), False), "links")
+        # few links need few files; the number grows with theirs
+        now = keep(_star(_star(now, True), False).coalesce(1 + seen[0] // FILE_LINKS), "links")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

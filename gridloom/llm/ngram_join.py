@@ -76,8 +76,10 @@ def gram_sets(column, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
 
 
 def _slices(batch):
+    import pyarrow as pa
     import pyarrow.compute as pc
 
+    pa.set_memory_pool(pa.system_memory_pool())  # what is freed there can be given back
     sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
     for a, b in C.pieces_of(batch.num_rows, sizes, SLICE_BYTES):
         yield batch.slice(a, b - a)
@@ -122,8 +124,8 @@ def _places(keys: np.ndarray) -> tuple[np.ndarray, ...]:
     return tuple((C.mix(keys + _TURN[j]) >> np.uint64(64 - FILTER_BITS)).astype(np.int64) for j in (4, 5, 6))
 
 
-def likely_sets(docs: DataFrame, n: int, percent: int, grams: int) -> np.ndarray:
-    """A bit filter that lets every set through that can have a link."""
+def likely_sets(docs: DataFrame, rows: DataFrame, n: int, percent: int, grams: int) -> np.ndarray:
+    """A bit filter that lets every set through that can have a link. ``rows``: :func:`document_sets`, written."""
     bits = _bits(grams // 4)
     groups = 1 << bits
     extra = lambda size: np.maximum(1, size // 10)
@@ -176,7 +178,7 @@ def likely_sets(docs: DataFrame, n: int, percent: int, grams: int) -> np.ndarray
 
     dealt = docs.select("text").where(F.col("text").isNotNull()).mapInArrow(deal, "r int, sets binary, which binary, g binary")
     shared = dealt.groupBy("r").applyInArrow(count, "key long, shared long").groupBy("key").agg(F.sum("shared").alias("shared"))
-    sizes = document_sets(docs, n).where("n > 0").select("key", "n").distinct()
+    sizes = rows.where("n > 0").select("key", "n").distinct()
     least = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * percent / 100) / 10))
     left = shared.join(sizes, "key").where(F.col("shared") >= least).select("key")
 
@@ -194,13 +196,13 @@ def likely_sets(docs: DataFrame, n: int, percent: int, grams: int) -> np.ndarray
     return out
 
 
-def shared_grams(docs: DataFrame, n: int, percent: int, grams: int) -> DataFrame:
+def shared_grams(docs: DataFrame, rows: DataFrame, n: int, percent: int, grams: int) -> DataFrame:
     """key, n, prefix, grams: sets that can have a link, with their shared n-grams in global order.
 
     An n-gram is packed into 8 bytes: the logarithm of the number of its sets, then its hash. ``prefix`` counts the
     entries that lie in the set's prefix.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(likely_sets(docs, n, percent, grams))
+    sent = docs.sparkSession.sparkContext.broadcast(likely_sets(docs, rows, n, percent, grams))
     bits = _bits(grams // 4)
     groups = 1 << bits
 
@@ -492,7 +494,7 @@ def near_duplicates(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame
 def _near_duplicates(docs: DataFrame, n: int, percent: int) -> DataFrame:
     rows = C.keep(document_sets(docs, n), "sets")
     grams = rows.agg(F.sum("n")).first()[0] or 0
-    sets = C.keep(shared_grams(docs, n, percent, grams), "shared")
+    sets = C.keep(shared_grams(docs, rows, n, percent, grams), "shared")
     roots = components(set_links(sets, percent)).select(F.col("node").alias("key"), "root")
     least = rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"))
     least = least.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
