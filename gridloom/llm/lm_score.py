@@ -7,9 +7,9 @@ texts have a place of their own in the model, all others share one.
 Next-subword probabilities have two parts. Counts of neighbouring subwords over all training texts give P(next | last),
 smoothed. Self-attention over the subwords before (queries, keys and values are linear in count-based embeddings, and there is a
 learned bias for each distance) raises or lowers classes of next subwords: P(next | before) is P(next | last) times
-exp(attention's logit of next's class), normalised. The attention's weights are trained in numpy by Adam on windows from all
-training texts (of every :data:`EVERY` windows one), each partition by itself, averaged between rounds; so what is gathered grows with
-the input. A text is scored in windows of :data:`WINDOW` subwords that overlap: each scores its last
+exp(attention's logit of next's class), normalised. The attention's weights are trained in numpy by Adam on all windows of all
+training texts, each partition by itself, averaged between rounds. Windows are cut text by text, so that every subword and
+every end is predicted in one of them, short texts are filled up. A text is scored in windows of :data:`WINDOW` subwords that overlap: each scores its last
 :data:`STRIDE` subwords, the ones before are context, so every subword and the end are scored once.
 
 The base is sum of log10((c + 1) / (N + V + 1)) over tokens, with c, N and V counted over all training texts. Words
@@ -37,7 +37,10 @@ from gridloom.llm.language_id import held_out
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 ACTIVE, OFTEN = 3072, 65_536
 WINDOW, STRIDE = 32, 24
-EVERY = 24
+#: Fills windows up: an end as context, nothing to predict.
+PAD = 65_535
+#: Windows trained on in one run of Adam.
+RUN = 4096
 DIM, VALUES, CLASSES = 32, 32, 64
 SLICE_BYTES, RANGE_BYTES = 10 << 20, 32 << 20
 UNIT = 64
@@ -183,6 +186,20 @@ def subword_counts(words: DataFrame, vocabulary: bytes) -> np.ndarray:
     return out
 
 
+def windows_of(x: np.ndarray, offsets: np.ndarray):
+    """Blocks of windows of WINDOW + 1 places in which each place of each text is predicted once; before a text stand ends, as when it is scored."""
+    back = WINDOW - STRIDE
+    size = np.diff(offsets)
+    many = -(-(size + back) // WINDOW)
+    text = np.repeat(np.arange(len(size)), many)
+    begin = (np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)) * WINDOW - back - 1  # in its text
+    for a in range(0, len(text), RUN):
+        own = text[a : a + RUN, None]
+        at = begin[a : a + RUN, None] + np.arange(WINDOW + 1)
+        inside = (at >= 0) & (at < size[own])
+        yield np.where(inside, x[np.where(inside, at + offsets[own], 0)], PAD).astype(np.uint16)
+
+
 def gather(train: DataFrame, place: np.ndarray, vocabulary: bytes) -> DataFrame:
     """Packed counts of neighbouring places (kind 0, by group of rows) and windows to train on (kind 1)."""
     size = int(place.max()) + 1
@@ -201,10 +218,10 @@ def gather(train: DataFrame, place: np.ndarray, vocabulary: bytes) -> DataFrame:
                 last[1:] = x[:-1]  # a text begins after an end
                 last[offsets[:-1]] = 0
                 np.add.at(total, last.astype(np.int64) * size + x, 1)
-                # of every EVERY windows of the slice one
-                begin = np.arange(WINDOW * (EVERY // 2), len(x) - WINDOW, WINDOW * EVERY)
-                whole = x[begin[:, None] - 1 + np.arange(WINDOW + 1)].astype(np.uint16)
-                yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([0], pa.int32()), pa.array([whole.tobytes()], pa.binary()), pa.array([b""], pa.binary())], ["kind", "r", "a", "b"])
+                del w, last
+                C.trim()
+                for whole in windows_of(x, offsets):
+                    yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([0], pa.int32()), pa.array([whole.tobytes()], pa.binary()), pa.array([b""], pa.binary())], ["kind", "r", "a", "b"])
         some = np.flatnonzero(total)
         edges = np.searchsorted(some, np.arange(0, size + per, per) * size)
         for r, (a, b) in enumerate(zip(edges, edges[1:])):
@@ -292,17 +309,19 @@ class Model:
 
     def gradient(self, x: np.ndarray, target: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         w = self.weights
+        some = target != PAD
+        x, target = np.where(x == PAD, 0, x), np.where(some, target, 0)
         z, (e, q, k, v, s, h, gap) = self.forward(x)
         z += self.log_group[x]
         z -= z.max(2, keepdims=True)
         p = np.exp(z)
         p /= p.sum(2, keepdims=True)
         goal = self.group[target]
-        n = np.float32(target.size)
+        n = np.float32(max(1, np.count_nonzero(some)))
         b, t = np.indices(target.shape)
-        loss = -np.log(p[b, t, goal] + 1e-30).mean()
+        loss = -(np.log(p[b, t, goal] + 1e-30) * some).sum() / n
         p[b, t, goal] -= 1
-        p /= n
+        p *= (some / n)[:, :, None].astype(np.float32)
         flat = lambda a: a.reshape(-1, a.shape[-1])
         dh = p @ w["out"].T
         da = dh @ v.transpose(0, 2, 1)
@@ -395,12 +414,15 @@ def average(models: list[tuple[dict, int]]) -> dict:
 
 def fit(gathered: DataFrame, size: int, rounds: int = 2, rate: float = 0.02) -> Model:
     """The model: counts from all training texts, attention from their windows."""
+    import copy
     import pickle
 
     model = Model(neighbour_counts(gathered, size))
     windows = gathered.where("kind = 1").select("a")
     for turn in range(rounds):
-        sent = gathered.sparkSession.sparkContext.broadcast(pickle.dumps(model, protocol=5))
+        lean = copy.copy(model)
+        lean.log_next = None  # only scores need it
+        sent = gathered.sparkSession.sparkContext.broadcast(pickle.dumps(lean, protocol=5))
 
         def train(batches, sent=sent, turn=turn):
             import pyarrow as pa
@@ -412,6 +434,8 @@ def fit(gathered: DataFrame, size: int, rounds: int = 2, rate: float = 0.02) ->
                     if len(rows):
                         mine.train(rows, rate / (1 + turn))
                         n += len(rows)
+                        del rows
+            C.trim()
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(mine.weights)], pa.binary()), pa.array([n], pa.int64())], ["w", "n"])
 
         # weights are a few thousand numbers; partitions' averages are averaged in groups before they reach the driver
@@ -422,7 +446,8 @@ def fit(gathered: DataFrame, size: int, rounds: int = 2, rate: float = 0.02) ->
             return pa.table([pa.array([pickle.dumps(average(got))], pa.binary()), pa.array([sum(n for _, n in got)], pa.int64())], names=["w", "n"])
 
         each = windows.mapInArrow(train, "w binary, n long").where("n > 0")
-        got = each.groupBy(F.pmod(F.xxhash64("w"), F.lit(16))).applyInArrow(merge, "w binary, n long").collect()
+        with C.batch_rows(gathered.sparkSession, 32):  # of RUN windows each
+            got = each.groupBy(F.pmod(F.xxhash64("w"), F.lit(16))).applyInArrow(merge, "w binary, n long").collect()
         if got:
             model.weights = average([(pickle.loads(w), n) for w, n in got])
         sent.unpersist()
@@ -458,6 +483,7 @@ def score_texts(docs: DataFrame, train: DataFrame, vocabulary_path: str = VOCABU
         import pyarrow as pa
         from pyspark import TaskContext
 
+        C.trim()
         mine, where, log_other, (hash_often, count_often) = _loaded(name, sent)
         table, part_of, turn = subwords(vocabulary), TaskContext.get().partitionId(), 0
         names = ["kind", "slice", "i", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "r", "hashes", "texts", "tf"]
@@ -490,6 +516,7 @@ def score_texts(docs: DataFrame, train: DataFrame, vocabulary_path: str = VOCABU
                     none = [None] * len(rows)
                     columns = [[1] * len(rows), [number] * len(rows), *[none] * 7, [r for r, _ in rows], [hashes[i].tobytes() for _, i in rows], [text[i].tobytes() for _, i in rows], [tf[i].tobytes() for _, i in rows]]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
+                C.trim()
 
     schema = "kind int, slice long, i int, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, r int, hashes binary, texts binary, tf binary"
     made = C.keep(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", "text").mapInArrow(run, schema), "scored")

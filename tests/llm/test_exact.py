@@ -281,3 +281,26 @@ def test_gradient_of_attention():
             loss.append(model.gradient(w[:, :-1], w[:, 1:])[0])
         model.weights[name][at] = old
         assert (loss[0] - loss[1]) / 2e-2 == pytest.approx(float(g[name][at]), rel=0.1, abs=2e-4)
+
+
+def test_windows_cover_every_text_once():
+    rng = np.random.default_rng(9)
+    texts = [np.append(rng.integers(1, 900, n), 0) for n in (0, 1, 5, 23, 24, 31, 32, 33, 200, 2000)]
+    x, offsets = np.concatenate(texts).astype(np.int32), np.cumsum([0, *map(len, texts)])
+    windows = np.concatenate(list(lm_score.windows_of(x, offsets))).astype(np.int64)
+    target = windows[:, 1:].ravel()
+    assert target[target != lm_score.PAD].tolist() == x.tolist()
+    one = np.concatenate(list(lm_score.windows_of(x[offsets[8] : offsets[9]], np.array([0, 201])))).astype(np.int64)
+    assert any((windows[i : i + len(one)] == one).all() for i in range(len(windows) - len(one) + 1))
+
+
+def test_short_texts_in_many_partitions_train_the_attention(spark):
+    rows = [(f"light house {i % 7} under the river of stone",) for i in range(60)]
+    texts = spark.createDataFrame(rows, "text string").repartition(20)
+    place = np.ones(lm_score.subwords(open(lm_score.VOCABULARY, "rb").read()).size + 1, np.int32)
+    place[:3000] = np.arange(3000) % 40 + 2
+    place[-1] = 0
+    gathered = lm_score.gather(texts, place, open(lm_score.VOCABULARY, "rb").read())
+    start = lm_score.Model(lm_score.neighbour_counts(gathered, 42)).weights
+    after = lm_score.fit(gathered, 42).weights
+    assert all((start[k] != after[k]).any() for k in ("query", "key", "value", "out"))
