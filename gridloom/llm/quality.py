@@ -2,14 +2,14 @@
 
 Content features come from the whole text: shares of byte classes, repetition of words, word pairs and lines, word
 lengths, and shares of hashed words. Metadata features are source, language and length. Both views are fitted by
-logistic regression on labelled rows; in each round each view gives the documents of a pool without labels that it is surest of, on
-either side, to the other view as further examples. Each view is then calibrated (Platt scaling) on labelled rows held out
+logistic regression on labelled rows; in each round each view gives the documents without labels that it is surest of, on
+either side, to the other view as further examples; all documents without labels are gone through in each round. Each view is then calibrated (Platt scaling) on labelled rows held out
 from the rounds, and a logistic regression on the two calibrated log odds joins them. The joint score is a probability of
 quality 1. Documents below ``limit`` are rejected; it is the lower of 0.5 and that score below which only ``loss`` of the
 good held-out rows lie.
 
-Fitting uses at most :data:`LABELLED_ROWS` labelled rows and a pool of at most :data:`POOL_ROWS` others, in both
-cases those of the smallest hash of doc_id. Everything is scored, each row by itself.
+Fitting uses at most :data:`LABELLED_ROWS` labelled rows, those of the smallest hash of doc_id, and of each round at most
+:data:`PER_ROUND` documents of either side for each view. Everything is scored, each row by itself.
 
 Null texts are empty; null metadata is a value of its own; so are unknown sources and languages. Labels that are null
 or contradict each other are left out. Without labels of both kinds everything scores 0.5 and is kept. Very long
@@ -26,9 +26,9 @@ from pyspark.sql import types as T
 
 from gridloom.llm import common as C
 
-LABELLED_ROWS, POOL_ROWS = 12_000, 6_000
+LABELLED_ROWS = 20_000
 ROUNDS, SURE, PER_ROUND = 4, 0.95, 500
-HASHED, SOURCES, LANGS, LENGTHS = 128, 64, 24, 20
+HASHED, SOURCES, LANGS, LENGTHS = 192, 128, 32, 20
 SLICE_BYTES = 2 << 20
 
 #: Byte classes: letters of either case, digits, white space, other signs, and bytes beyond ASCII.
@@ -122,25 +122,21 @@ class Logistic:
 class CoTrained:
     """The two views, their calibration and their joint score."""
 
-    def __init__(self, views: list[np.ndarray], label: np.ndarray, loss: float = 0.003):
-        """``label``: 0 or 1, or -1 in the pool. Every fifth row of either label is held out for calibration."""
+    def __init__(self, views: list[np.ndarray], label: np.ndarray, pool: DataFrame | None = None, loss: float = 0.003):
+        """``label``: 0 or 1. Every fifth row of either label is held out for calibration. ``pool``: rows (key, a, b) without labels."""
         held = np.sort(np.concatenate([np.flatnonzero(label == side)[::5] for side in (0, 1)]))
-        train = np.setdiff1d(np.flatnonzero(label >= 0), held)
-        pool = np.flatnonzero(label < 0)
-        own = [(train, label[train].astype(float)) for _ in views]
-        self.models = [Logistic(v[i], y) for v, (i, y) in zip(views, own, strict=True)]
-        taken = [np.zeros(len(pool), bool) for _ in views]
-        for _ in range(ROUNDS if len(pool) else 0):
-            for teacher, pupil in ((0, 1), (1, 0)):
-                odds = self.models[teacher].odds(views[teacher][pool])
-                edge = np.log(SURE / (1 - SURE))
-                for side, sure in ((1.0, odds >= edge), (0.0, odds <= -edge)):
-                    give = np.flatnonzero(sure & ~taken[pupil])
-                    give = give[np.argsort(-np.abs(odds[give]), kind="stable")][:PER_ROUND]
-                    taken[pupil][give] = True
-                    i, y = own[pupil]
-                    own[pupil] = (np.append(i, pool[give]), np.append(y, np.full(len(give), side)))
-            self.models = [Logistic(v[i], y) for v, (i, y) in zip(views, own, strict=True)]
+        train = np.setdiff1d(np.arange(len(label)), held)
+        own = [(v[train], label[train].astype(float)) for v in views]
+        self.models = [Logistic(x, y) for x, y in own]
+        taken = [np.zeros(0, np.int64) for _ in views]
+        for _ in range(ROUNDS if pool is not None else 0):
+            more = surest(pool, self.models, taken)
+            if not any(len(keys) for keys, _, _ in more):
+                break
+            for pupil, (keys, x, y) in enumerate(more):
+                taken[pupil] = np.append(taken[pupil], keys)
+                own[pupil] = (np.concatenate([own[pupil][0], x]), np.append(own[pupil][1], y))
+            self.models = [Logistic(x, y) for x, y in own]
         truth = label[held].astype(float)
         held_odds = [m.odds(v[held]) for m, v in zip(self.models, views, strict=True)]
         self.platt = [Logistic(o[:, None], truth, ridge=1.0) for o in held_odds]
@@ -173,43 +169,86 @@ def _slices(batch):
     C.trim()
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> CoTrained | None:
-    """The co-trained views; None without labels of both kinds."""
-    order = F.xxhash64("doc_id"), "doc_id"
-    clean = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("label"), F.max("quality").alias("most"))
-    clean = clean.where("label = most").select("doc_id", F.col("label").cast("int"))
-    labelled = clean.orderBy(*order).limit(LABELLED_ROWS)
-    pool = docs.select("doc_id").where("doc_id IS NOT NULL").distinct().orderBy(*order).limit(POOL_ROWS)
-    pool = C.keep(pool, "quality-pool")
-    known = labels.select("doc_id").join(F.broadcast(pool), "doc_id", "left_semi")
-    pool = pool.join(known, "doc_id", "left_anti").select("doc_id", F.lit(-1).alias("label"))
-    # at most LABELLED_ROWS + POOL_ROWS numbers
-    chosen = F.broadcast(C.keep(labelled.unionByName(pool), "quality-chosen"))
-    rows = docs.select("doc_id", "text", "source", "lang", F.col("n_chars").cast("long").alias("n_chars")).join(chosen, "doc_id")
+def _features(rows: DataFrame, names: str) -> DataFrame:
+    """Packed features of both views, a and b, of rows with the named columns (as in a schema), text, source, lang, n_chars."""
+    first = [x.split()[0] for x in names.split(", ")]
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             for part in _slices(batch):
-                a, b = _views(part)
-                views = [pa.array([r.tobytes() for r in v], pa.binary()) for v in (a, b)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), *views], ["doc_id", "label", "a", "b"])
+                views = [pa.array([r.tobytes() for r in v], pa.binary()) for v in _views(part)]
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in first], *views], [*first, "a", "b"])
+
+    return rows.select(*first, "text", "source", "lang", "n_chars").mapInArrow(run, f"{names}, a binary, b binary")
 
-    got = rows.select("doc_id", "label", "text", "source", "lang", "n_chars").mapInArrow(run, "doc_id long, label int, a binary, b binary").toArrow()
+
+def surest(pool: DataFrame, models: list[Logistic], taken: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each view as a pupil: keys, features and sides of the PER_ROUND rows of either side that the other view is surest of.
+
+    ``pool``: key and packed features a, b. Keys in ``taken``, by pupil, are left out.
+    """
+    edge = np.log(SURE / (1 - SURE))
+
+    def run(batches):
+        import pyarrow as pa
+
+        best = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = np.asarray(batch.column("key"))
+            views = [_packed_rows(batch.column(c)) for c in ("a", "b")]
+            for teacher, pupil in ((0, 1), (1, 0)):
+                odds = models[teacher].odds(views[teacher])
+                left = ~np.isin(key, taken[pupil])
+                for side, sure in ((1, odds >= edge), (0, odds <= -edge)):
+                    give = np.flatnonzero(sure & left)
+                    old = best.get((pupil, side))
+                    rows = (key[give], np.abs(odds[give]), views[pupil][give])
+                    if old:
+                        rows = tuple(np.concatenate(x) for x in zip(old, rows, strict=True))
+                    turn = np.lexsort((rows[0], -rows[1]))[:PER_ROUND]
+                    best[pupil, side] = tuple(x[turn] for x in rows)
+        for (pupil, side), (key, strength, x) in best.items():
+            n = len(key)
+            yield pa.RecordBatch.from_arrays([pa.array([pupil] * n, pa.int32()), pa.array([side] * n, pa.int32()), pa.array(key), pa.array(strength), pa.array([r.tobytes() for r in x], pa.binary())], ["pupil", "side", "key", "strength", "x"])
+
+    found = C.keep(pool.select("key", "a", "b").mapInArrow(run, "pupil int, side int, key long, strength double, x binary"), "quality-surest")
+    out = []
+    for pupil in (0, 1):
+        rows = [found.where((F.col("pupil") == pupil) & (F.col("side") == side)).orderBy(F.desc("strength"), "key").limit(PER_ROUND) for side in (1, 0)]
+        got = rows[0].unionByName(rows[1]).select("key", "x", "side").toArrow()
+        x = _packed_rows(got.column("x")) if len(got) else np.zeros((0, len(models[pupil].mean)), np.float32)
+        out.append((np.asarray(got.column("key")), x, np.asarray(got.column("side")).astype(float)))
+    return out
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> CoTrained | None:
+    """The co-trained views; None without labels of both kinds."""
+    clean = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("label"), F.max("quality").alias("most"))
+    clean = clean.where("label = most").select("doc_id", F.col("label").cast("int"))
+    # at most LABELLED_ROWS numbers
+    chosen = F.broadcast(C.keep(clean.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED_ROWS), "quality-chosen"))
+    docs = docs.select("doc_id", "text", "source", "lang", F.col("n_chars").cast("long").alias("n_chars")).where("doc_id IS NOT NULL")
+    got = _features(docs.join(chosen, "doc_id"), "doc_id long, label int").toArrow()
     ids, label = np.asarray(got.column("doc_id")), np.asarray(got.column("label"))
-    if len(set(label[label >= 0].tolist())) < 2 or min(np.bincount(label[label >= 0])) < 10:
+    if len(set(label.tolist())) < 2 or min(np.bincount(label)) < 10:
         return None
     turn = np.lexsort((label, ids))
-    model = CoTrained([_packed_rows(got.column(c))[turn] for c in ("a", "b")], label[turn])
+    views = [_packed_rows(got.column(c))[turn] for c in ("a", "b")]
     del got
     C.trim()
-    return model
+    # features are dealt, not texts; by one plan at every size
+    free = _features(docs, "doc_id long").join(labels.select("doc_id").hint("merge"), "doc_id", "left_anti")
+    pool = C.keep(free.select(F.xxhash64("doc_id", "a", "b").alias("key"), "a", "b"), "quality-pool")
+    return CoTrained(views, label[turn], pool)
 
 
 def _packed_rows(column) -> np.ndarray:
     """Rows of equal length from an Arrow column of packed single-precision numbers."""
-    column = column.combine_chunks()
+    column = column.combine_chunks() if hasattr(column, "combine_chunks") else column
     column = column.chunk(0) if hasattr(column, "chunk") else column
     ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
     return np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(np.float32).reshape(len(column), -1)

@@ -304,3 +304,42 @@ def test_short_texts_in_many_partitions_train_the_attention(spark):
     start = lm_score.Model(lm_score.neighbour_counts(gathered, 42)).weights
     after = lm_score.fit(gathered, 42).weights
     assert all((start[k] != after[k]).any() for k in ("query", "key", "value", "out"))
+
+
+def test_co_training_goes_through_all_documents_without_labels(spark, monkeypatch):
+    order = [r.doc_id for r in documents(spark).orderBy(F.xxhash64("doc_id"), "doc_id").select("doc_id").collect()]
+    docs = documents(spark).withColumn("text", F.when(F.col("doc_id") % 2 == 0, F.col("text")).otherwise(F.concat(F.repeat(F.lit("BUY NOW!! "), 40), F.substring("text", 1, 50))))
+    labels = spark.createDataFrame([(i, 1 - i % 2, 0) for i in order[:100]], "doc_id long, quality int, toxic int")
+    monkeypatch.setattr(quality, "POOL_ROWS", 100, raising=False)  # as before, when the labelled ones were all of the pool
+    fitted = []
+
+    class Seen(quality.Logistic):
+        def __init__(self, x, y, *more, **named):
+            super().__init__(x, y, *more, **named)
+            fitted.append(len(y))
+
+    monkeypatch.setattr(quality, "Logistic", Seen)
+    quality.fit(docs, labels)
+    assert max(fitted) > 100
+
+
+def test_surest_documents_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(quality, "PER_ROUND", 7)
+    rng = np.random.default_rng(3)
+    a, b = rng.standard_normal((300, 4)).astype(np.float32), rng.standard_normal((300, 3)).astype(np.float32)
+    y = (rng.random(300) < 0.5).astype(float)
+    models = [quality.Logistic(v + y[:, None].astype(np.float32), y) for v in (a, b)]
+    for m in models:
+        m.w *= 5
+    pool = spark.createDataFrame([(i, a[i].tobytes(), b[i].tobytes()) for i in range(300)], "key long, a binary, b binary").repartition(5)
+    taken = [np.arange(0, 300, 3), np.arange(0, 300, 4)]
+    edge = math.log(quality.SURE / (1 - quality.SURE))
+    for pupil, (keys, x, side) in enumerate(quality.surest(pool, models, taken)):
+        odds = models[1 - pupil].odds((a, b)[1 - pupil])
+        want = set()
+        for s, sign in ((1.0, 1), (0.0, -1)):
+            some = [i for i in range(300) if sign * odds[i] >= edge and i not in taken[pupil]]
+            assert len(some) > 7
+            want |= {(i, s) for i in sorted(some, key=lambda i: (-abs(odds[i]), i))[:7]}
+        assert set(zip(keys.tolist(), side.tolist(), strict=True)) == want
+        assert (x == (a, b)[pupil][keys]).all()
