@@ -32,8 +32,10 @@ from gridloom.llm.sentencepiece_codec import BYTE, CONTROL, MARK, MODEL, UNKNOWN
 UNIT_BYTES = 64
 #: Longer pieces are left out of the vocabulary.
 PIECE_BYTES = 16
-#: Each byte's scale in sums of products, so that no unit's probability underflows.
+#: Each byte's scale in sums of products, so that few units' sums leave the range below.
 SCALE = 2.0**8
+#: Beyond these, sums are divided by themselves and the logarithm is kept.
+LEAST, MOST = 1e-100, 1e100
 SLICE_BYTES, SIDE_BY_SIDE = 24 << 20, 16_384
 #: The tables must stay small; more languages than this are an error.
 MOST_LANGUAGES = 500
@@ -114,6 +116,13 @@ def distinct_units(column):
     return raw, begin[first], size[first], which, text
 
 
+def _out_of_range(x: np.ndarray) -> np.ndarray | None:
+    """What to divide sums by that are near the ends of double precision, 1 for others; None if there are no such ones."""
+    if x.min() >= LEAST and x.max() <= MOST:
+        return None
+    return np.where((x > 0) & ((x < LEAST) | (x > MOST)), x, 1.0)
+
+
 def sums(pieces: Pieces, probability: np.ndarray, raw, begin, size, counts=None):
     """Log probability of each unit in each language; with ``counts`` of units, also expected counts of pieces.
 
@@ -133,8 +142,14 @@ def sums(pieces: Pieces, probability: np.ndarray, raw, begin, size, counts=None)
             prefix = pieces.prefix(raw[begin[rows][:, None] + np.arange(n)])
             forward = np.zeros((n + 1, len(rows), languages))
             forward[0] = 1
+            shift = None  # log of what each position's sums are divided by
+            reach = PIECE_BYTES + 1
             arcs = []
             for a in range(n):
+                if (ratio := _out_of_range(forward[a])) is not None:
+                    shift = np.zeros_like(forward) if shift is None else shift
+                    forward[a : a + reach] /= ratio
+                    shift[a:] += np.log(ratio)
                 for step in pieces.lengths[pieces.lengths <= n - a].tolist():
                     ids = pieces.find(pieces.part(prefix, a, step))
                     some = np.flatnonzero(ids >= 0)
@@ -144,17 +159,29 @@ def sums(pieces: Pieces, probability: np.ndarray, raw, begin, size, counts=None)
                         if counts is not None:
                             arcs.append((a, step, some, ids))
             total = forward[n]
-            logs[rows] = np.log(total) - n * np.log(SCALE)
+            log_total = np.log(total) + (0 if shift is None else shift[n])
+            logs[rows] = log_total - n * np.log(SCALE)
             if counts is None:
                 continue
             weight = counts[rows] / total
+            back = None  # as shift, for the backward sums
             backward = np.zeros_like(forward)
             backward[n] = 1
-            got, what = [], []
+            got, what, last = [], [], n
             for a, step, some, ids in reversed(arcs):
+                if a != last:  # the sums at last are complete
+                    if (ratio := _out_of_range(backward[last])) is not None:
+                        back = np.zeros_like(total) if back is None else back
+                        backward[last : last + reach] /= ratio
+                        back += np.log(ratio)
+                    last = a
                 after = backward[a + step, some] * probability[ids]
                 backward[a, some] += after
-                got.append(forward[a, some] * after * weight[some])
+                if shift is None and back is None:
+                    got.append(forward[a, some] * after * weight[some])
+                else:
+                    off = (0 if shift is None else shift[a, some]) + (0 if back is None else back[some]) - log_total[some]
+                    got.append(np.exp(np.log(np.maximum(forward[a, some] * after, 1e-300)) + off) * counts[rows][some])
                 what.append(ids)
             got, what = np.concatenate(got), np.concatenate(what)
             for k in range(languages):

@@ -343,3 +343,27 @@ def test_surest_documents_equal_brute_force(spark, monkeypatch):
             want |= {(i, s) for i in sorted(some, key=lambda i: (-abs(odds[i]), i))[:7]}
         assert set(zip(keys.tolist(), side.tolist(), strict=True)) == want
         assert (x == (a, b)[pupil][keys]).all()
+
+
+def test_sums_of_unlikely_units_stay_finite():
+    from pathlib import Path
+
+    pieces = language_id.vocabulary(Path(language_id.MODEL).read_bytes())
+    rng = np.random.default_rng(12)
+    lengths = np.array([len(x) for x in pieces.pieces])
+    p = rng.random((len(pieces.pieces), 3)) * np.array([1e-9, 1e-3, 1.0])
+    p[lengths > 1, 0] *= 1e-9
+    words = [bytes(rng.integers(128, 256, 64).astype(np.uint8)), b" " + b"q" * 63, b" internationalisation of everything in one unit of many letter", b" the"]
+    size = np.array([len(w) for w in words])
+    table = p * language_id.SCALE ** lengths.astype(float)[:, None]
+    logs, expected = language_id.sums(pieces, table, np.frombuffer(b"".join(words), np.uint8), np.cumsum(size) - size, size, np.ones((len(words), 3)))
+    number = {x: i for i, x in enumerate(pieces.pieces)}
+    for w, got in zip(words, logs, strict=True):
+        for k in range(3):
+            best = [0.0] + [-math.inf] * len(w)
+            for b in range(1, len(w) + 1):
+                terms = [best[b - n] + math.log(p[number[w[b - n : b]], k]) for n in range(1, min(b, language_id.PIECE_BYTES) + 1) if w[b - n : b] in number]
+                best[b] = max(terms) + math.log(sum(math.exp(x - max(terms)) for x in terms))
+            assert got[k] == pytest.approx(best[-1], rel=1e-9)
+    assert np.isfinite(expected).all()
+    assert (expected * lengths[:, None]).sum(0) == pytest.approx([size.sum()] * 3)
