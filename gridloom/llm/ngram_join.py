@@ -302,9 +302,18 @@ class Trie:
         self.order = sorted(range(len(sets)), key=lambda i: sets[i].tolist())
         # node: depth of its segment's begin and end, a set that runs through it, first and last place in the order,
         # children, least and greatest size, greatest length below
-        self.root = self._node(0, len(sets), 0) if sets else None
+        top: list[tuple] = []
+        # copies of a long text may part one after another, deeper than Python's own stack
+        todo = [(0, len(sets), 0, top)] if sets else []
+        while todo:
+            lo, hi, depth, siblings = todo.pop()
+            node, runs = self._node(lo, hi, depth)
+            siblings.append(node)
+            todo += [(*run, node[1], node[6]) for run in reversed(runs)]
+        self.root = top[0] if top else None
 
     def _node(self, lo: int, hi: int, depth: int):
+        """A node, its children still to come, and the places in the order where each of them begins and ends."""
         first, last = self.sets[self.order[lo]], self.sets[self.order[hi - 1]]
         # sorted, so what the first and the last share all share
         m = min(len(first), len(last))
@@ -312,7 +321,7 @@ class Trie:
         end = depth + int(differ[0]) if len(differ) else m
         members = self.order[lo:hi]
         sizes = self.size[members]
-        children = []
+        runs = []
         at = lo
         while at < hi and len(self.sets[self.order[at]]) == end:
             at += 1
@@ -326,9 +335,9 @@ class Trie:
                     low = mid + 1
                 else:
                     high = mid
-            children.append(self._node(at, low, end))
+            runs.append((at, low))
             at = low
-        return depth, end, self.order[lo], lo, hi, here, children, int(sizes.min()), int(sizes.max()), max(len(self.sets[i]) for i in members)
+        return (depth, end, self.order[lo], lo, hi, here, [], int(sizes.min()), int(sizes.max()), max(len(self.sets[i]) for i in members)), runs
 
 
 def linked_sets(sets: list[np.ndarray], size: np.ndarray, side: np.ndarray, group: np.ndarray, percent: int) -> list[tuple[int, int]]:

@@ -367,3 +367,12 @@ def test_sums_of_unlikely_units_stay_finite():
             assert got[k] == pytest.approx(best[-1], rel=1e-9)
     assert np.isfinite(expected).all()
     assert (expected * lengths[:, None]).sum(0) == pytest.approx([size.sum()] * 3)
+
+
+
+def test_copies_of_a_long_text_edited_at_one_place_each_are_linked():
+    """Each part from the others at a place of their own, one after another: a trie deeper than Python's stack."""
+    sets = [np.delete(np.arange(3000), 2 * i) for i in range(1500)]
+    n = len(sets)
+    found = ngram_join.linked_sets(sets, np.full(n, 2999), np.full(n, 2), np.arange(n), 85)
+    assert len(found) == n - 1 and len({x for pair in found for x in pair}) == n
