@@ -12,7 +12,7 @@ are segmented one by one and remembered: a bounded memo that changes no result.
 
 Encoding puts a space mark first if the model says so and writes spaces as marks. Decoding joins pieces, reads
 byte pieces as UTF-8 and takes that first mark away: it gives the text back exactly, except that a space mark
-(U+2581) in the text comes back as a space. Null texts give a null list, empty texts an empty one. Very long texts
+(U+2581) in the text comes back as a space (``check`` is false there). Null texts give a null list, empty texts an empty one. Very long texts
 are worked on whole. Repeated rows repeat; empty tables stay empty; other columns pass through, and columns that have
 the names of the outputs are replaced.
 """
@@ -200,7 +200,7 @@ def encode(df: DataFrame, model_path: str = MODEL, text: str = "text", ids: str
                 column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat), mask=pa.array([x is None for x in lists]))
                 columns = [part.column(c) for c in names] + [column]
                 if check:
-                    columns.append(pa.array([None if t is None else coder.decode(x) == t.replace(MARK, " ") for t, x in zip(texts, lists, strict=True)], pa.bool_()))
+                    columns.append(pa.array([None if t is None else coder.decode(x) == t for t, x in zip(texts, lists, strict=True)], pa.bool_()))
                 yield pa.RecordBatch.from_arrays(columns, names + new)
 
     return df.select(*[F.col(f"`{c}`") for c in names]).mapInArrow(run, schema)
