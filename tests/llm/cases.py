@@ -6,9 +6,9 @@ from pyspark.sql import types as T
 
 SCHEMA = T.StructType(
     [T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType())]
-    + [T.StructField(c, T.StringType()) for c in ("key", "n", "score", "weight", "mix_u", "pii_base", "quality_score", "label", "kind")]
+    + [T.StructField(c, T.StringType()) for c in ("key", "n", "score", "weight", "mix_u", "pii_base", "quality_score", "label", "kind", "row", "spans", "source_size", "copies", "fold")]
 )
-_EXTRA = ("k",) * 9
+_EXTRA = ("k",) * 14
 
 
 def row(doc_id, text, lang="en", source="a"):

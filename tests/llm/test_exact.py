@@ -157,11 +157,11 @@ def passes(kind, v):
 def test_base_spans_equal_the_patterns(spark):
     texts = ["a@b.com@c.de x_a@b.c_d@e.f", "a.b+c@d-e.f.g.", "1.2.3.4.5.6.7.8 256.1.1.1 0255.01.1.1", "4111 1111-1111 1111 4111111111111112", "+1 (555) 010-2345- +44 20 7946 0958 +12", "é+49-30-1234567\U0001f600 q@r.st", "", None, "1" * 3000, "a" * 3000 + "@b.cc"]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").unionByName(documents(spark).select((F.col("doc_id") + 1000).alias("doc_id"), "text"))
-    found = {r.doc_id: r for r in pii.find(docs).collect()}
+    found = {r.row.doc_id: r for r in pii.find(docs).collect()}
     for r in docs.collect():
         want = sorted((m.start(), k, m.end()) for k, p in enumerate(BASE.values()) for m in re.finditer(p, r.text or "") if passes(pii.KINDS[k], m[0]))
-        assert [(x.s, x.kind, x.e) for x in found[r.doc_id].pii_base] == want, r.text
-        assert {tuple(x) for x in found[r.doc_id].pii_base} <= {tuple(x) for x in found[r.doc_id].pii_spans}
+        assert [(x.s, x.kind, x.e) for x in found[r.doc_id].base] == want, r.text
+        assert {tuple(x) for x in found[r.doc_id].base} <= {tuple(x) for x in found[r.doc_id].spans}
 
 
 def test_boosting_adds_spans_like_the_base_ones(spark):
@@ -173,11 +173,50 @@ def test_boosting_adds_spans_like_the_base_ones(spark):
     for i in range(900, 1200):
         rows.append((i, f"pages {rng.randint(10, 99)} {rng.randint(100, 999)} {rng.randint(100, 999)} of the report"))
     found = pii.find(spark.createDataFrame(rows, "doc_id long, text string"), precision=0.9).collect()
-    assert all(len(r.pii_spans) == (1 if r.doc_id < 900 else 0) for r in found if r.doc_id % 30 or r.doc_id >= 900)
-    added = [r for r in found if r.doc_id < 900 and r.doc_id % 30 == 0 and r.pii_spans]
+    assert all(len(r.spans) == (1 if r.row.doc_id < 900 else 0) for r in found if r.row.doc_id % 30 or r.row.doc_id >= 900)
+    added = [r for r in found if r.row.doc_id < 900 and r.row.doc_id % 30 == 0 and r.spans]
     assert len(added) >= 20
 
 
+def test_spans_that_no_base_pattern_gives_are_added(spark):
+    rng = random.Random(4)
+
+    def card():
+        digits = "4" + "".join(rng.choice("0123456789") for _ in range(14))
+        return next(digits + c for c in "0123456789" if passes("card", digits + c))
+
+    rows = [(i, f"paid with {card()} at once") for i in range(100)]
+    rows += [(100, f"both {card()} {card()} were charged")]  # the base pattern reads them as one number of 32 digits
+    rows += [(i, f'set token = "{rng.randbytes(20).hex()}" there') for i in range(200, 300)]
+    rows += [(300, f'it said "{rng.randbytes(20).hex()}" there'), (301, "a-long-word-without-any-numeral and Internationalisierungs1")]
+    found = {r.row.doc_id: r for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(found[100].base) == 0 and [(x.kind, x.s, x.e) for x in found[100].spans] == [(2, 5, 21), (2, 22, 38)]
+    assert all(len(found[i].spans) == 1 and found[i].spans[0].kind == 4 for i in range(200, 301)) and not found[301].spans
+    assert pii.redact(spark.createDataFrame(rows[100:101], "doc_id long, text string")).first().text == rows[100][1]  # nothing to learn from
+
+
+def test_mix_prefers_by_size_and_cuts_on_the_pareto_rank(spark):
+    report = mixing.mix_report(documents(spark)).collect()
+    by = {}
+    for r in report:
+        by.setdefault((r.source_size, r.target), []).append(r)
+    for (size, target), rows in by.items():
+        whole = math.floor(target / size)
+        if whole < 2:
+            assert sum(r.inclusion * r.size for r in rows) == pytest.approx(target - whole * size, rel=1e-9)
+        taken = [r.pareto_rank for r in rows if r.pareto_rank is not None and r.copies > whole]
+        left = [r.pareto_rank for r in rows if r.pareto_rank is not None and r.copies == whole]
+        assert not taken or not left or max(taken) < min(left)
+        assert all(r.copies == whole + 1 for r in rows if r.inclusion == 1)
+        short, long = (np.mean([r.inclusion for r in rows if (r.size > 60) == side] or [0]) for side in (False, True))
+        assert short <= long + 1e-9 or whole == 2
+
+
+def test_numbering_by_ranges(spark):
+    rows = mixing.numbered(spark.range(0, 5000).selectExpr("id * 7919 % 5000 AS x").repartition(7), F.col("x")).collect()
+    assert sorted((r.x, r.place) for r in rows) == [(i, i) for i in range(5000)]
+
+
 def test_mix_meets_its_targets(spark):
     report = mixing.mix_report(cases.awkward(spark)).collect()
     assert sum({r.source_size: r.target for r in report}.values()) <= 1.5 * sum(r.size for r in report) + 1e-6
