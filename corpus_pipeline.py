@@ -7,10 +7,11 @@
 4. mixture: sources are mixed to target weights; a document stands in the mix as often as it is taken.
 5. pieces: doc_id, source, lang and the SentencePiece ids of each document of the mix.
 
-Stages that hand texts to Python do so at most :data:`BATCH_ROWS` rows at once, by the session's setting.
+:func:`run` hands texts to Python at most :data:`BATCH_ROWS` rows at once, and leaves the session's own setting as it was.
 
-Stages but the last return the columns of ``documents``. Documents with null or empty texts pass through the stages
-that don't reject them; an empty table gives an empty corpus.
+Stages but the last return the columns of ``documents``, further ones included, whatever their names. Documents with
+null or empty texts pass through the stages that don't reject them. Of near copies that tie the least doc_id stays; of
+rows with the same doc_id and text one stays; rows without doc_id stay. An empty table gives an empty corpus.
 """
 
 from __future__ import annotations
@@ -19,17 +20,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import mixing, ngram_join, pii, quality, sentencepiece_codec
-from gridloom.llm.common import keep
+from gridloom.llm.common import batch_rows, keep
 
 BATCH_ROWS = 2000
 
 
-def _bounded(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-
-
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    _bounded(spark)
     return quality.filter_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
@@ -47,7 +43,6 @@ def mixture_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def piece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    _bounded(spark)
     coded = sentencepiece_codec.encode(docs.select("doc_id", "source", "lang", "text"))
     return coded.select("doc_id", "source", "lang", F.coalesce(F.size("piece_ids"), F.lit(0)).cast("long").alias("n_pieces"), "piece_ids")
 
@@ -67,6 +62,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = keep(stage(spark, docs, sf_dir), name)
+    with batch_rows(spark, BATCH_ROWS):
+        for name, stage in STAGES:
+            docs = keep(stage(spark, docs, sf_dir), name)
     return docs
