@@ -76,15 +76,18 @@ _IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
 _rng = np.random.default_rng(20240229)
 _BYTE_CODE = _rng.integers(1, 2**63, 256, dtype=np.uint64)
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_BASE_INV = np.uint64(pow(int(_BASE), -1, 2**64))
-_powers: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
+#: A second hash, by other codes and another base, for those who need 128 bits.
+_BYTE_CODE_2 = _rng.integers(1, 2**63, 256, dtype=np.uint64)
+_BASE_2 = np.uint64(0xD1B54A32D192ED03)
+_bases = {"up": _BASE, "down": np.uint64(pow(int(_BASE), -1, 2**64)), "up2": _BASE_2, "down2": np.uint64(pow(int(_BASE_2), -1, 2**64))}
+_powers: dict[str, np.ndarray] = {k: np.ones(1, np.uint64) for k in _bases}
 
 
 def powers(kind: str, n: int) -> np.ndarray:
-    """The first n powers, modulo 2**64, of the hash base ("up") or of its inverse ("down")."""
+    """The first n powers, modulo 2**64, of the hash base ("up") or of its inverse ("down"); "up2" and "down2": of the second hash."""
     have = _powers[kind]
     if len(have) < n:
-        step = np.full(max(n, 1 << 20), _BASE if kind == "up" else _BASE_INV, np.uint64)
+        step = np.full(max(n, 1 << 20), _bases[kind], np.uint64)
         step[0] = 1
         with np.errstate(over="ignore"):
             have = _powers[kind] = np.multiply.accumulate(step)
@@ -115,10 +118,11 @@ def flat_texts(column) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets - offsets[0]
 
 
-def prefix_hash(raw: np.ndarray) -> np.ndarray:
+def prefix_hash(raw: np.ndarray, second: bool = False) -> np.ndarray:
     """Cumulative hash: the part [a, b) has the hash (p[b] - p[a]) * base**-a, modulo 2**64."""
     out = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_BYTE_CODE[raw] * powers("up", len(raw)), out=out[1:])
+    code, up = (_BYTE_CODE_2, "up2") if second else (_BYTE_CODE, "up")
+    np.cumsum(code[raw] * powers(up, len(raw)), out=out[1:])
     return out
 
 

@@ -3,7 +3,8 @@
 A position is repeated if the ``length`` bytes from it also stand at another position, of any text. Every byte of
 repeated positions' strings is removed. Positions are ranked by ever longer strings: the rank of a string of twice the
 length is the pair of the ranks of its halves, at an offset of the half; pairs are dealt to ranges, sorted and counted there,
-and positions whose pair is alone drop out. The name of a rank is a 64-bit hash of its string.
+and positions whose pair is alone drop out. The name of a rank is a hash of its string: of 64 bits in the rounds that only
+rule positions out, of 128 bits (two independent polynomial hashes) in the last one, which decides what is removed.
 
 To start with, only content-defined positions are ranked: a place is a cut where the hash of the bytes before it says so.
 Round by round, runs of 1, 2, 4 phrases between cuts are ranked. A phrase run that is alone in the corpus rules out each
@@ -11,9 +12,10 @@ position whose string holds it with the bytes that place its cuts. The ranks tha
 tasks look up in the next round; what gets through it by chance costs work only. In the last rounds every byte
 position left is ranked by the pair of its two halves of the full length.
 
-Texts that are equal are one: all but one of them stay out of the ranking (again by a bit filter), and if they are long enough all their bytes
+Texts that are equal (by 128 bits) are one: all but one of them stay out of the ranking (again by a bit filter), and if they are long enough all their bytes
 are removed. Null texts are empty. Texts shorter than the length lose nothing. Very long texts are ranked whole. Strings never
-cross texts, but may overlap in one. An empty table gives no rows; other columns are not read.
+cross texts, but may overlap in one. The text that is left is the bytes left, less any character that has lost some of its
+bytes. An empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -47,9 +49,9 @@ def _slices(batch):
         yield batch.slice(a, b - a)
 
 
-def text_keys(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each text."""
-    return np.array([int.from_bytes(hashlib.blake2b(raw[a:b].tobytes(), digest_size=8).digest(), "little") for a, b in zip(offsets, offsets[1:])], np.uint64)
+def text_keys(raw: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+    """A 128-bit hash of each text."""
+    return [hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(offsets, offsets[1:])]
 
 
 # ------------------------------------------------------------- bit filters
@@ -149,10 +151,16 @@ class Phrases:
         out[ends] = False
         return np.flatnonzero(out)
 
-    def pairs(self, at: np.ndarray, length: int) -> np.ndarray:
-        """The rank of the full length at each position, from the ranks of its halves at an offset of one half."""
-        half = length // 2
-        return C.mix(C.mix(self._hash(at, half)) * _TURN[3] + C.mix(self._hash(at + half, length - half)))
+
+
+def last_ranks(raw: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The rank of the full length at each position, from the ranks of its halves at an offset of one half: two 64-bit parts."""
+    half, out = length // 2, []
+    for second in (False, True):
+        prefix, down = C.prefix_hash(raw, second), C.powers("down2" if second else "down", len(raw) + 1)
+        here, there = ((prefix[at + a + n] - prefix[at + a]) * down[at + a] for a, n in ((0, half), (half, length - half)))
+        out.append(C.mix(C.mix(here) * _TURN[3] + C.mix(there)))
+    return out[0], out[1]
 
 
 def _dealt(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -196,8 +204,9 @@ def _ranked(docs: DataFrame, keep: np.ndarray, filters: list[np.ndarray], m: int
     return out
 
 
-def _named(key: np.ndarray, doc_id) -> np.ndarray:
+def _named(keys: list[bytes], doc_id) -> np.ndarray:
     """A hash of text and doc_id, by which one of several equal texts is chosen."""
+    key = np.frombuffer(b"".join(keys), np.uint64)[::2]
     ids = np.asarray(doc_id.fill_null(-1).to_numpy(zero_copy_only=False), np.int64).view(np.uint64)
     return C.mix(key ^ C.mix(ids))
 
@@ -213,22 +222,28 @@ def _taken(raw: np.ndarray, offsets: np.ndarray, some: np.ndarray) -> tuple[np.n
     return raw[np.repeat(some, np.diff(offsets))], np.concatenate([[0], np.cumsum(np.diff(offsets)[some])])
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row of ``docs``."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def _described(docs: DataFrame) -> DataFrame:
+    """doc_id, text (null: empty), size, 128-bit key, name and SHA-256 of each row."""
 
     def describe(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         for batch in batches:
             for part in _slices(batch):
                 raw, offsets = C.flat_texts(part.column("text"))
-                key = text_keys(raw, offsets)
-                sha = [hashlib.sha256(raw[a:b].tobytes()).hexdigest() for a, b in zip(offsets, offsets[1:])]
-                named = _named(key, part.column("doc_id"))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(offsets)), pa.array(key.view(np.int64)), pa.array(named.view(np.int64)), pa.array(sha)], ["doc_id", "n_bytes", "key", "named", "sha"])
+                keys = text_keys(raw, offsets)
+                sha = [hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(offsets, offsets[1:])]
+                named = _named(keys, part.column("doc_id"))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pc.fill_null(part.column("text"), ""), pa.array(np.diff(offsets)), pa.array(keys, pa.binary()), pa.array(named.view(np.int64)), pa.array(sha)], ["doc_id", "text", "n_bytes", "key", "named", "sha"])
+
+    return docs.mapInArrow(describe, "doc_id long, text string, n_bytes long, key binary, named long, sha string")
 
-    rows = C.keep(docs.mapInArrow(describe, "doc_id long, n_bytes long, key long, named long, sha string"), "described")
+
+def remove_repeats(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and what is left of the text, of each row of ``docs``."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = C.keep(_described(docs).drop("text", "sha"), "described")
     texts = rows.where(F.col("n_bytes") >= LENGTH).groupBy("key").agg(F.min("named").alias("named"), F.count("*").alias("copies"))
     total, number = rows.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)), F.count("*")).first()
     size = filter_size(number)
@@ -282,8 +297,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         runs = np.frombuffer(runs, np.int64).reshape(-1, 2)
         at = np.repeat(runs[:, 0], runs[:, 1]) + np.arange(runs[:, 1].sum()) - np.repeat(np.cumsum(runs[:, 1]) - runs[:, 1], runs[:, 1])
         raw, offsets = np.frombuffer(raw, np.uint8), np.frombuffer(offsets, np.int64)
-        rank = Phrases(raw, offsets).pairs(at, LENGTH)
-        return raw, offsets, at, rank, *_dealt(rank, bits)
+        ranks = last_ranks(raw, at, LENGTH)
+        return raw, offsets, at, ranks, *_dealt(ranks[0], bits)
 
     def deal(batches):
         import pyarrow as pa
@@ -291,26 +306,28 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 number, *packed = (batch.column(c)[i].as_py() for c in ("slice", "raw", "offsets", "runs"))
-                _, _, _, rank, order, edges = last_pairs(*packed)
-                rows = [(r, rank[order[a:b]].tobytes()) for r, (a, b) in enumerate(zip(edges, edges[1:])) if a < b]
-                yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in rows], pa.int32()), pa.array([number] * len(rows), pa.int64()), pa.array([x for _, x in rows], pa.binary())], ["r", "slice", "ranks"])
+                _, _, _, ranks, order, edges = last_pairs(*packed)
+                some = [(r, order[a:b]) for r, (a, b) in enumerate(zip(edges, edges[1:])) if a < b]
+                yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in some], pa.int32()), pa.array([number] * len(some), pa.int64()), *[pa.array([x[i].tobytes() for _, i in some], pa.binary()) for x in ranks]], ["r", "slice", "ranks", "seconds"])
 
     def again(table):
         import pyarrow as pa
 
         lists = [np.frombuffer(x, np.uint64) for x in table.column("ranks").to_pylist()]
         which, _ = C.numbered(np.concatenate(lists))
+        second, _ = C.numbered(np.frombuffer(b"".join(table.column("seconds").to_pylist()), np.uint64))
+        which, _ = C.numbered(which.astype(np.uint64) * np.uint64(len(second) + 1) + second.astype(np.uint64))
         more = (np.bincount(which) > 1)[which]
         flags = [np.packbits(x).tobytes() for x in np.split(more, np.cumsum([len(x) for x in lists])[:-1])]
         return pa.table([table.column("slice"), table.column("r"), pa.array(flags, pa.binary())], names=["slice", "r", "flags"])
 
-    dealt = slices.select("slice", "raw", "offsets", "runs").mapInArrow(deal, "r int, slice long, ranks binary")
+    dealt = slices.select("slice", "raw", "offsets", "runs").mapInArrow(deal, "r int, slice long, ranks binary, seconds binary")
     flags = dealt.groupBy("r").applyInArrow(again, "slice long, r int, flags binary")
 
     def cut_out(table, said):
         import pyarrow as pa
 
-        out = [[], [], [], []]
+        out = [[], [], [], [], []]
         if table.num_rows:
             raw, offsets, at, _, order, edges = last_pairs(*(table.column(c)[0].as_py() for c in ("raw", "offsets", "runs")))
             repeated = np.zeros(len(at), bool)
@@ -325,17 +342,18 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             rise[1:] &= ~gone[:-1]
             begins = offsets[:-1][np.diff(offsets) > 0]
             rise[begins] = gone[begins]
-            keys = text_keys(raw, offsets).view(np.int64)
+            keys = text_keys(raw, offsets)
             for i, (a, b) in enumerate(zip(offsets, offsets[1:])):
                 if gone[a:b].any():
-                    for x, y in zip(out, (int(keys[i]), int(gone[a:b].sum()), int(rise[a:b].sum()), hashlib.sha256(raw[a:b][~gone[a:b]].tobytes()).hexdigest()), strict=True):
+                    left = raw[a:b][~gone[a:b]].tobytes()
+                    for x, y in zip(out, (keys[i], int(gone[a:b].sum()), int(rise[a:b].sum()), hashlib.sha256(left).hexdigest(), left.decode("utf-8", "ignore")), strict=True):
                         x.append(y)
-        return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.string())], names=["key", "removed", "spans", "kept"])
+        return pa.table([pa.array(x, t) for x, t in zip(out, (pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], names=["key", "removed", "spans", "kept", "rest"])
 
-    found = slices.select("slice", "raw", "offsets", "runs").groupBy("slice").cogroup(flags.groupBy("slice")).applyInArrow(cut_out, "key long, removed long, spans long, kept string")
-    once = found.dropDuplicates(["key"])
+    found = slices.select("slice", "raw", "offsets", "runs").groupBy("slice").cogroup(flags.groupBy("slice")).applyInArrow(cut_out, "key binary, removed long, spans long, kept string, rest string")
+    once = C.keep(found, "cut").dropDuplicates(["key"])
     many = texts.where("copies > 1").select("key", F.lit(True).alias("copied"))
-    told = rows.join(once.join(many, "key", "full_outer"), "key", "left")
+    told = _described(docs).drop("named").join(once.join(many, "key", "full_outer"), "key", "left")
     copied = F.coalesce("copied", F.lit(False)) & (F.col("n_bytes") >= LENGTH)
     return told.select(
         "doc_id",
@@ -343,6 +361,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         F.when(copied, F.col("n_bytes")).otherwise(F.coalesce("removed", F.lit(0))).alias("n_removed"),
         F.when(copied, F.lit(1)).otherwise(F.coalesce("spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(copied, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("kept", "sha")).alias("kept_sha256"),
+        F.when(copied, F.lit("")).otherwise(F.coalesce("rest", "text")).alias("text"),
     )
 
 

@@ -102,6 +102,26 @@ def test_repeats_equal_brute_force(spark, monkeypatch):
         kept = bytes(c for c, g in zip(b, gone, strict=False) if not g)
         spans = sum(bool(gone[p]) and not (p and gone[p - 1]) for p in range(len(b)))
         assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == (len(b), int(gone[: len(b)].sum()), spans, hashlib.sha256(kept).hexdigest())
+        assert got[i].text == kept.decode("utf-8", "ignore")
+
+
+def test_repeats_equal_brute_force_on_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id IS NOT NULL")
+    raw = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    got = {r.doc_id: r for r in repeats.remove_repeats(docs).collect()}
+    seen = Counter()
+    for b in raw.values():
+        seen.update(hash(b[p : p + 400]) for p in range(len(b) - 399))
+    for i, b in raw.items():
+        gone = np.zeros(len(b) + 1, np.int32)
+        for p in range(len(b) - 399):
+            if seen[hash(b[p : p + 400])] > 1:
+                gone[p] += 1
+                gone[p + 400] -= 1
+        gone = np.cumsum(gone)[:-1] > 0
+        kept = np.frombuffer(b, np.uint8)[~gone].tobytes()
+        spans = int(np.count_nonzero(np.diff(gone.astype(int), prepend=0) == 1))
+        assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == (len(b), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest())
 
 
 @pytest.mark.parametrize("cluster", [1500, 1])
