@@ -3,17 +3,18 @@
 The tree is fitted with numpy on at most :data:`SAMPLE_ROWS` rows, those of the smallest hash of their id: each node's rows
 are split by k-means into ``branches`` children, down to leaves. Every row of the table is then put in its leaf. For a
 query a priority queue holds nodes by the inner product with their centres; the best is taken off, its children are
-put on, and a leaf taken off is visited. How many leaves a query visits is widened, on sample queries against the sample, until the
-mean recall reaches ``recall``; that number holds for all queries.
+put on, and a leaf taken off is visited. How many leaves a query visits is widened until the mean recall of
+:data:`SAMPLE_QUERIES` queries, measured against all rows, reaches ``recall``; that number holds for all queries, but a query goes on
+until its leaves hold more rows than are asked for.
 
-Rows of a leaf and the queries that visit it meet in blocks of bounded size, so a leaf that holds a third of all rows,
+Rows of a leaf and the queries that visit it meet in packed blocks of bounded size, so a leaf that holds a third of all rows,
 or one that all queries visit, is many tasks. Each block gives a query's best rows; they are ranked together. Scores are
 inner products of the original vectors in double precision, added in one order everywhere, so that copies tie exactly.
 
 Null vectors, empty and zero ones and those with null or non-finite components take no part, nor do rows without id.
 Shorter vectors end in zeros. A candidate with the query's id is the query's own row. Ties go to the smaller id. Repeated
-query rows count once. With fewer rows than asked for, all are returned that the leaves visited hold; up to
-:data:`SMALL_ROWS` rows every leaf is visited. An empty table gives no rows; other columns are not read.
+query rows count once. With fewer rows than asked for, all are returned. An empty table gives no rows; other columns are
+not read.
 """
 
 from __future__ import annotations
@@ -26,12 +27,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridloom.llm.common import keep
-from gridloom.llm.vectors import best, matrix, spread, usable
+from gridloom.llm.vectors import best, matrix, packed, spread, unpacked, usable
 
-#: Rows that the tree is fitted on, queries that visits are calibrated on, and rows up to which a search is complete.
-SAMPLE_ROWS, SAMPLE_QUERIES, SMALL_ROWS = 20_000, 400, 2_000
+#: Rows that the tree is fitted on, and queries that visits are calibrated on.
+SAMPLE_ROWS, SAMPLE_QUERIES = 20_000, 256
 #: Rows and queries of a block.
-BLOCK_ROWS, BLOCK_QUERIES = 8192, 1024
+BLOCK_ROWS, BLOCK_QUERIES = 16_384, 4096
 
 
 def kmeans(x: np.ndarray, k: int, rng, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
@@ -88,36 +89,52 @@ class Tree:
             todo += [(child, rows[near == c]) for c, child in enumerate(self.children[node])]
         return out
 
-    def visits(self, query: np.ndarray, most: int) -> list[int]:
-        """Leaves in the order in which best-bin-first search visits them."""
+    def visits(self, query: np.ndarray, most: int, rows: np.ndarray | None = None, least: int = 0) -> list[int]:
+        """Leaves in the order in which best-bin-first search visits them: ``most``, or more until they hold ``least`` rows."""
         value = self.centre @ query
-        queue, out = [(-value[0], 0)], []
-        while queue and len(out) < most:
+        queue, out, held = [(-value[0], 0)], [], 0
+        while queue and (len(out) < most or held < least):
             _, node = heapq.heappop(queue)
             if self.children[node]:
                 for child in self.children[node]:
                     heapq.heappush(queue, (-value[child], child))
             else:
                 out.append(self.leaf[node])
+                held += int(rows[self.leaf[node]]) if rows is not None else 0
         return out
 
 
-def calibrated(tree: Tree, x: np.ndarray, ids: np.ndarray, k: int, recall: float) -> int:
-    """The fewest leaves whose visit finds the share ``recall`` of the k nearest, over sample queries."""
-    leaf = tree.leaf_of(x)
-    asks = np.linspace(0, len(x) - 1, min(SAMPLE_QUERIES, len(x))).astype(int)
-    found = np.zeros(tree.leaves)
-    total = 0
-    for a in asks:
-        scores = x @ x[a]
-        scores[a] = -np.inf
-        true = best(scores, ids, min(k, len(x) - 1))
-        place = np.empty(tree.leaves, np.int64)
-        place[tree.visits(x[a], tree.leaves)] = np.arange(tree.leaves)
-        np.add.at(found, place[leaf[true]], 1)
-        total += len(true)
-    reached = np.cumsum(found) >= recall * total
-    return int(np.argmax(reached)) + 1 if total else tree.leaves
+def nearest_leaves(placed: DataFrame, asks: np.ndarray, own: np.ndarray, k: int, width: int, dtype) -> tuple[np.ndarray, np.ndarray]:
+    """For a bounded number of queries, the leaves of their true k nearest among all rows: (query's place, leaf)."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        kept = [(np.zeros(0),) * 3 for _ in own]
+        for batch in batches:
+            for i in range(batch.num_rows):
+                ids, values = unpacked(pa.Table.from_batches([batch.slice(i, 1)]), width, dtype)
+                for q, (scores, mine) in enumerate(zip((values @ asks.T).T, own, strict=True)):
+                    scores = np.where(ids == mine, -np.inf, scores)
+                    s, d, leaf = (np.concatenate(x) for x in zip(kept[q], (scores, ids, np.full(len(ids), batch.column("key")[i].as_py()))))
+                    top = best(s, d, k)
+                    kept[q] = (s[top], d[top], leaf[top])
+        for q, (s, d, leaf) in enumerate(kept):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.full(len(s), q, np.int64), s.astype(np.float64), d.astype(np.int64), leaf.astype(np.int64))], ["q", "score", "id", "leaf"])
+
+    found = placed.select("key", "ids", "vecs").mapInArrow(run, "q long, score double, id long, leaf long").where(F.col("score") > float("-inf"))
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))
+    got = found.withColumn("rank", rank).where(F.col("rank") <= k).select("q", "leaf").toArrow()
+    return np.asarray(got.column("q")), np.asarray(got.column("leaf"))
+
+
+def calibrated(tree: Tree, asks: np.ndarray, query: np.ndarray, leaf: np.ndarray, recall: float) -> int:
+    """The fewest leaves whose visit finds the share ``recall`` of the queries' nearest rows, which are in these leaves."""
+    place = np.empty((len(asks), tree.leaves), np.int64)
+    for q, ask in enumerate(asks):
+        place[q, tree.visits(ask, tree.leaves)] = np.arange(tree.leaves)
+    found = np.bincount(place[query, leaf], minlength=tree.leaves)
+    return int(np.argmax(np.cumsum(found) >= recall * len(leaf))) + 1 if len(leaf) else 1
 
 
 def exact_scores(values: np.ndarray, query: np.ndarray) -> np.ndarray:
@@ -128,11 +145,13 @@ def exact_scores(values: np.ndarray, query: np.ndarray) -> np.ndarray:
     return out
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int, recall: float = 0.97, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, k: int, recall: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: for each query the k nearest rows found.
 
     ``is_query`` is a condition on a column named ``id``.
     """
+    single = vectors.select(F.col(f"`{vector_col}`")).schema[0].dataType.simpleString() == "array<float>"
+    dtype = np.float32 if single else np.float64
     rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").cast("array<double>").alias("v"))
     rows = keep(rows.where(F.col("id").isNotNull() & usable(F.col("v")) & F.exists("v", lambda x: x != 0)), "ann-rows")
     schema = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.DoubleType())])
@@ -142,41 +161,43 @@ def nearest(vectors: DataFrame, is_query: Column, k: int, recall: float = 0.97,
     sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS).toArrow()
     x, ids = matrix(sample.column("v"), width), np.asarray(sample.column("id"))
     tree = Tree(x)
-    most = tree.leaves if total <= SMALL_ROWS else calibrated(tree, x, ids, k, recall)
-
-    def assign(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(tree.leaf_of(matrix(b.column("v"), width)).astype(np.int32))], [*b.schema.names, "leaf"])
-
-    def ask(batches):
-        import pyarrow as pa
 
-        for b in batches:
-            lists = [tree.visits(q, most) for q in matrix(b.column("v"), width)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lists, pa.list_(pa.int32()))], [*b.schema.names, "leaves"])
-
-    placed = keep(rows.mapInArrow(assign, "id long, v array<double>, leaf int"), "ann-placed")
-    asked = rows.where(is_query).dropDuplicates(["id", "v"]).mapInArrow(ask, "id long, v array<double>, leaves array<int>")
-    asked = keep(asked.select("id", "v", F.explode("leaves").alias("leaf")), "ann-asked")
-    # a bounded number of leaves, each with its number of blocks
-    size = placed.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("blocks"))
-    size = F.broadcast(size.join(asked.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK_QUERIES).alias("parts")), "leaf"))
-    number = lambda name, upto: F.pmod(F.xxhash64("id", F.lit(name)), F.col(upto)).cast("int").alias(name)
-    left = placed.join(size, "leaf").select("id", "v", "leaf", number("block", "blocks"), "parts")
+    def by_leaf(values):
+        leaf = tree.leaf_of(values)
+        order = np.argsort(leaf, kind="stable")
+        return [(int(leaf[rows[0]]), rows) for rows in np.split(order, np.flatnonzero(np.diff(leaf[order])) + 1) if len(rows)]
+
+    placed = keep(packed(rows, width, dtype, BLOCK_ROWS // 4, by_leaf), "ann-placed")
+    # a bounded number of leaves
+    held = np.zeros(tree.leaves, np.int64)
+    for leaf, n in placed.groupBy("key").agg(F.sum("n")).collect():
+        held[leaf] = n
+    asks, own = x[:SAMPLE_QUERIES], ids[:SAMPLE_QUERIES]
+    most = calibrated(tree, asks, *nearest_leaves(placed, asks, own, k, width, dtype), recall)
+
+    def by_visit(values):
+        visits: dict[int, list[int]] = {}
+        for i, query in enumerate(values):
+            for leaf in tree.visits(query, most, held, k + 1):
+                visits.setdefault(leaf, []).append(i)
+        return [(leaf, np.array(rows)) for leaf, rows in visits.items()]
+
+    asked = keep(packed(rows.where(is_query).dropDuplicates(["id", "v"]), width, dtype, BLOCK_QUERIES // 4, by_visit), "ann-asked")
+    size = placed.groupBy("key").agg(F.ceil(F.sum("n") / BLOCK_ROWS).alias("blocks"))
+    size = F.broadcast(size.join(asked.groupBy("key").agg(F.ceil(F.sum("n") / BLOCK_QUERIES).alias("parts")), "key"))
+    number = lambda name, upto: F.pmod(F.xxhash64("turn"), F.col(upto)).cast("int").alias(name)
+    left = placed.join(size, "key").select("ids", "vecs", F.col("key").alias("leaf"), number("block", "blocks"), "parts")
     left = spread(left, "part", F.col("parts"))
-    right = asked.join(size, "leaf").select("id", "v", "leaf", number("part", "parts"), "blocks")
+    right = asked.join(size, "key").select("ids", "vecs", F.col("key").alias("leaf"), number("part", "parts"), "blocks")
     right = spread(right, "block", F.col("blocks"))
 
     def run(a, b):
         import pyarrow as pa
 
         out = [[], [], []]
-        have = np.asarray(a.column("id"))
-        if len(have) and b.num_rows:
-            values = matrix(a.column("v"), width)
-            for own, query in zip(np.asarray(b.column("id")), matrix(b.column("v"), width), strict=True):
+        if a.num_rows and b.num_rows:
+            have, values = unpacked(a, width, dtype)
+            for own, query in zip(*unpacked(b, width, dtype), strict=True):
                 rough = values @ query
                 rough[have == own] = -np.inf
                 if len(rough) > k:
@@ -194,7 +215,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int, recall: float = 0.97,
         return pa.table([np.concatenate(x) if x else np.zeros(0, t) for x, t in zip(out, kinds, strict=True)], names=["query_id", "vec_id", "score"])
 
     keys = ("leaf", "block", "part")
-    found = left.select("id", "v", *keys).groupBy(*keys).cogroup(right.select("id", "v", *keys).groupBy(*keys)).applyInArrow(run, schema)
+    found = left.select("ids", "vecs", *keys).groupBy(*keys).cogroup(right.select("ids", "vecs", *keys).groupBy(*keys)).applyInArrow(run, schema)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

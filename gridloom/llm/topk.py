@@ -8,8 +8,9 @@ least its accumulator, and at most that plus the best impact still to come in ea
 levels. The reading stops only when that proves that all but a few rows can't be among the k best (or at the end);
 rows that still can are scored exactly. Blocks' winners are then ranked together.
 
-Queries are those rows that the caller marks; they too are dealt into blocks, and every pair of a query block and an
-index block is one task, so no task grows with the input. Null vectors, empty ones and those with null or
+Queries are those rows that the caller marks; they too are packed into blocks, and every pair of a query block and an
+index block is one group, so no task grows with the input. A packed index block travels once for each query block, a
+packed query block once for each index block; blocks of these sizes hold both down. Null vectors, empty ones and those with null or
 non-finite components take no part, nor do rows without id. Shorter vectors end in zeros. A candidate with the query's
 id is the query's own row. Copies of vectors tie, and the smaller id wins. Repeated query rows count once. An empty
 table gives no rows; other columns are not read.
@@ -23,10 +24,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridloom.llm.common import keep
-from gridloom.llm.vectors import best, dealt, matrix, spread, usable
+from gridloom.llm.vectors import best, packed, spread, unpacked, usable
 
 #: Values of a level, rows of an index block and queries of a query block.
-STEP, INDEX_ROWS, QUERY_ROWS = 4, 8192, 1024
+STEP, INDEX_ROWS, QUERY_ROWS = 4, 32_768, 8192
 #: Segments between two looks at the bound, and the share of a block that may be left to score exactly.
 LOOK, FEW = 128, 1 / 64
 
@@ -101,23 +102,26 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, id_col: str = "vec_id",
     ``is_query`` is a condition on a column named ``id``.
     """
     rows = keep(integers(vectors, id_col, vector_col), "topk-rows")
-    queries = rows.where(is_query).dropDuplicates(["id", "v"])
-    total, width = rows.agg(F.count("*"), F.max(F.size("v"))).first()
-    asked = queries.count()
-    blocks, parts = max(6, -(-total // INDEX_ROWS)), max(1, -(-asked // QUERY_ROWS))
-    index = spread(rows.withColumn("block", dealt(F.col("id"), blocks)), "part", F.lit(parts))
-    queries = spread(queries.withColumn("part", dealt(F.col("id"), parts, 12)), "block", F.lit(blocks))
+    queries = keep(rows.where(is_query).dropDuplicates(["id", "v"]), "topk-queries")
+    total, width, high = rows.agg(F.count("*"), F.max(F.size("v")), F.max(F.array_max(F.transform("v", F.abs)))).first()
+    asked, width = queries.count(), width or 1
+    dtype = np.int16 if (high or 0) < 2**15 else np.int64
     schema = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.LongType())])
-    width = width or 1
+    # blocks are numbered by partition: as many as it takes for their size, and for several cores to be busy
+    blocks, parts = max(6, -(-total // INDEX_ROWS)), max(1, -(-asked // QUERY_ROWS))
+    number = lambda upto: F.pmod(F.xxhash64("turn"), F.lit(upto)).cast("int")
+    index = packed(rows, width, dtype, max(1, INDEX_ROWS // 16)).select(number(blocks).alias("block"), "ids", "vecs")
+    index = spread(index, "part", F.lit(parts))
+    asks = packed(queries, width, dtype, max(1, QUERY_ROWS // 16)).select(number(parts).alias("part"), "ids", "vecs")
+    asks = spread(asks, "block", F.lit(blocks))
 
     def run(left, right):
         import pyarrow as pa
 
-        ids, asks = (np.asarray(x.column("id").to_numpy(), np.int64) for x in (left, right))
         out = [[], [], []]
-        if len(ids) and len(asks):
-            block = ImpactBlock(ids, matrix(left.column("v"), width, np.int64))
-            for own, query in zip(asks, matrix(right.column("v"), width, np.int64), strict=True):
+        if left.num_rows and right.num_rows:
+            block = ImpactBlock(*unpacked(left, width, dtype, np.int64))
+            for own, query in zip(*unpacked(right, width, dtype, np.int64), strict=True):
                 found, scores = block.search(query, own, k)
                 out[0].append(np.full(len(found), own, np.int64))
                 out[1].append(found)
@@ -125,7 +129,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, id_col: str = "vec_id",
         flat = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in out]
         return pa.table(flat, names=["query_id", "vec_id", "score"])
 
-    found = index.groupBy("block", "part").cogroup(queries.groupBy("block", "part")).applyInArrow(run, schema)
+    found = index.groupBy("block", "part").cogroup(asks.groupBy("block", "part")).applyInArrow(run, schema)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -26,9 +26,34 @@ def matrix(column, width: int, dtype=np.float64) -> np.ndarray:
     return out
 
 
-def dealt(ids: Column, groups: int, seed: int = 11) -> Column:
-    """A group number from 0, by hash."""
-    return F.pmod(F.xxhash64(ids, F.lit(seed)), F.lit(groups)).cast("int")
+def packed(rows: DataFrame, width: int, dtype, most: int, key=None) -> DataFrame:
+    """Rows (id, v) as packed blocks: turn (a number of its own), n, ids and vecs as bytes, of at most ``most`` rows.
+
+    With ``key``, a function from a matrix to lists of row numbers by key, there are blocks for each key, and rows may be in several.
+    """
+    kind = np.dtype(dtype)
+
+    def run(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        turn = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            ids, values = np.asarray(batch.column("id").to_numpy(zero_copy_only=False), np.int64), matrix(batch.column("v"), width)
+            for k, rows in ((0, np.arange(len(ids))),) if key is None else key(values):
+                for at in range(0, len(rows), most):
+                    some = rows[at : at + most]
+                    columns = [pa.array([x], t) for x, t in ((int(k), pa.int32()), (turn, pa.int64()), (len(some), pa.int64()), (ids[some].tobytes(), pa.binary()), (values[some].astype(kind).tobytes(), pa.binary()))]
+                    yield pa.RecordBatch.from_arrays(columns, ["key", "turn", "n", "ids", "vecs"])
+                    turn += 1
+
+    return rows.select("id", "v").mapInArrow(run, "key int, turn long, n long, ids binary, vecs binary")
+
+
+def unpacked(table, width: int, dtype, to=np.float64) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors of an Arrow table of packed blocks."""
+    ids = np.frombuffer(b"".join(table.column("ids").to_pylist()), np.int64)
+    return ids, np.frombuffer(b"".join(table.column("vecs").to_pylist()), dtype).reshape(-1, width).astype(to)
 
 
 def spread(df: DataFrame, name: str, upto: Column) -> DataFrame:

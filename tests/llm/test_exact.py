@@ -83,6 +83,23 @@ def test_neighbours_are_exact_and_recall_is_reached(spark, monkeypatch):
     assert len(few) == 5
 
 
+def test_recall_on_the_given_vectors_without_visiting_all_leaves(spark, monkeypatch):
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    most = []
+    monkeypatch.setattr(ann, "calibrated", lambda tree, *a, real=ann.calibrated: most.append((real(tree, *a), tree.leaves)) or most[-1][0])
+    found = {}
+    for r in ann.nearest(table, F.col("id") % 20 == 0, 20).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    rows = table.orderBy("vec_id").collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
+    hits = 0
+    for q in np.flatnonzero(ids % 20 == 0):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits += len(found[int(ids[q])] & set(ids[np.argsort(-s)[:20]].tolist()))
+    assert hits / (20 * len(found)) >= 0.9 and most[0][0] < most[0][1]
+
+
 def test_repeats_equal_brute_force(spark, monkeypatch):
     rng = random.Random(8)
     line = lambda n: "".join(rng.choice("abcdeé fgh") for _ in range(n))
