@@ -105,23 +105,29 @@ def profile_summary(profile: DataFrame, by: list[str]) -> DataFrame:
     return out.withColumn("bottleneck", F.col("_b.i")).drop("_b")
 
 
-#: Access resistance is divided by this, the reference conductivity's factor.
-ACCESS = 5.594
+#: Fixed value: what the geometric conductance is divided by to meet measured ones.
+EMPIRICAL_DIVISOR = 5.594
 
 
 def resistance(profile: DataFrame, by: list[str], resistivity: float = 1.0) -> DataFrame:
-    """Integral of 1 / (pi r^2) by trapezoids, and the conductance with access terms; occluded where a radius is not positive."""
+    """Integral of 1 / (pi r^2) by trapezoids, and conductances: geometric, with access terms, and geometric corrected.
+
+    Where a radius is not positive the profile is occluded: it has no integral and conducts nothing.
+    """
     w = Window.partitionBy(*by).orderBy("i")
     inverse = lambda r: 1 / (F.lit(math.pi) * F.col(r) * F.col(r))
     nxt = profile.withColumns({"_s": F.lead("s").over(w), "_r": F.lead("r").over(w)})
     step = F.when(F.col("_s").isNotNull() & (F.col("r") > 0) & (F.col("_r") > 0), (inverse("r") + inverse("_r")) / 2 * F.abs(F.col("_s") - F.col("s")))
     out = nxt.groupBy(*by).agg((F.min("r") <= 0).alias("occluded"), F.coalesce(F.sum(step), F.lit(0.0)).alias("integral"), F.min(F.struct("i", "r")).alias("_a"), F.max(F.struct("i", "r")).alias("_z"))
     access = 1 / (4 * F.col("_a.r")) + 1 / (4 * F.col("_z.r"))
+    conducts = lambda resistance_: F.when(F.col("occluded"), 0.0).when(resistance_ > 0, 100 / (F.lit(resistivity) * resistance_))
     return out.select(
         *by,
         "occluded",
         F.when(~F.col("occluded"), F.col("integral")).alias("resistance_integral"),
-        F.when(F.col("occluded"), 0.0).otherwise(100 / (F.lit(resistivity) * (F.col("integral") + access))).alias("conductance"),
+        conducts(F.col("integral")).alias("geometric"),
+        conducts(F.col("integral") + access).alias("conductance"),
+        (conducts(F.col("integral")) / EMPIRICAL_DIVISOR).alias("corrected"),
     )
 
 
@@ -158,14 +164,31 @@ def jaccard_matrix(sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "shared", (F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).alias("jaccard"))
 
 
-def free_energy(rows: DataFrame, width: float, low: float, high: float, edge: float) -> DataFrame:
-    """-ln of the count of each bin over the mean count of bins within ``edge`` of either end."""
-    b = F.floor((F.col("s") - low) / width).cast("long")
-    counts = rows.where((F.col("s") >= low) & (F.col("s") < high)).groupBy(b.alias("bin")).agg(F.count("*").alias("n"))
+def free_energy(rows: DataFrame, width: float, low: float, high: float, edge: float, blocks: int = 0, level: float = 0.95) -> DataFrame:
+    """-ln of the count of each bin over the mean count of the bins within ``edge`` of either end, empty ones included.
+
+    With ``blocks`` (rows then have a ``block`` from 0 and each block as many frames) a Student interval from the blocks' own
+    energies, where every block has rows in the bin and in the bins at the ends.
+    """
+    from gridloom.operators.estimators import t_quantile
+
+    bins = round((high - low) / width)
+    outer = [i for i in range(bins) if min(abs(low + (i + 0.5) * width - low), abs(low + (i + 0.5) * width - high)) <= edge]
+    own = F.floor((F.col("s") - low) / width).cast("long")
+    by = ["block"] if blocks else []
+    at_end = lambda n: F.sum(F.when(F.col("bin").isin(*outer), F.col(n)))
+    each = rows.where((F.col("s") >= low) & (F.col("s") < high)).groupBy(own.alias("bin"), *by).agg(F.count("*").alias("m"))
+    counts = each.groupBy("bin").agg(F.sum("m").alias("n"))
+    reference = F.broadcast(counts.agg((at_end("n") / len(outer)).alias("reference")))  # one row
     centre = F.lit(low) + (F.col("bin") + 0.5) * width
-    outer = (centre <= low + edge) | (centre >= high - edge)
-    reference = counts.agg(F.avg(F.when(outer, F.col("n"))).alias("reference"))
-    return counts.crossJoin(F.broadcast(reference)).select("bin", "n", centre.alias("centre"), (-F.log(F.col("n") / F.col("reference"))).alias("energy"))  # one row
+    out = counts.crossJoin(reference).select("bin", "n", centre.alias("centre"), (-F.log(F.col("n") / F.col("reference"))).alias("energy"))
+    if not blocks:
+        return out
+    # a row for each block
+    ends = F.broadcast(each.groupBy("block").agg((at_end("m") / len(outer)).alias("reference")))
+    spread = each.join(ends, "block").withColumn("g", -F.log(F.col("m") / F.col("reference"))).groupBy("bin").agg(F.count("g").alias("_k"), F.stddev_samp("g").alias("_sd"))
+    half = F.when(F.col("_k") == blocks, F.lit(t_quantile((1 + level) / 2, blocks - 1)) * F.col("_sd") / math.sqrt(blocks))
+    return out.join(spread, "bin", "left").select("bin", "n", "centre", "energy", (F.col("energy") - half).alias("low"), (F.col("energy") + half).alias("high"))
 
 
 def spread(variants: DataFrame, baseline: str) -> DataFrame:

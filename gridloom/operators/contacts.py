@@ -65,14 +65,19 @@ def nearest_inside(points: DataFrame, centres: DataFrame, keys: list[str] = ())
     return best.where("b.distance <= b.r").select(*keys, "id", "b.centre", "b.distance")
 
 
-def contact_class(charge_a: Column, charge_b: Column, hydrophobic: Column, polar: Column, gap: Column) -> Column:
-    """One class for a contact: the first rule that holds."""
+def contact_class(left: Column, right: Column, gap: Column) -> Column:
+    """One class for a contact of residues of these names, ``gap`` between their surfaces: the first rule that holds.
+
+    Opposite charges: there are a positive and a negative one among both residues' properties, which are not the same.
+    """
+    a, b = E.residue_properties(left), E.residue_properties(right)
+    has = lambda props, kind: F.array_contains(props, kind)
+    opposite = (has(a, "positive") | has(b, "positive")) & (has(a, "negative") | has(b, "negative")) & (a != b)
     return (
-        F.when((charge_a * charge_b < 0) & (gap <= 4.0), "salt_bridge")
-        .when(charge_a * charge_b < 0, "opposite_charge")
-        .when(hydrophobic, "hydrophobic")
-        .when(polar & (gap <= 0.5), "polar")
-        .otherwise("distance")
+        F.when(opposite, "oppositely_charged_residue_contact")
+        .when(has(a, "hydrophobic") & has(b, "hydrophobic"), "hydrophobic_residue_contact")
+        .when((gap <= 0.5) & (has(a, "polar") | has(b, "polar")), "polar_residue_contact")
+        .otherwise("distance_contact")
     )
 
 
@@ -87,11 +92,11 @@ def nearest_fraction(a: DataFrame, b: DataFrame, reach: float) -> DataFrame:
 
 
 def best_match(scores: DataFrame, least: float = 0.1, rival: float = 0.8) -> DataFrame:
-    """For each ``ga`` the best ``gb``; none below ``least``, ambiguous if the second comes to ``rival`` of the first."""
+    """For each ``ga`` the best ``gb``; none below ``least``, nor if the second comes to ``rival`` of the first (ambiguous)."""
     w = Window.partitionBy("ga").orderBy(F.desc("score"), "gb")
     out = scores.withColumns({"_n": F.row_number().over(w), "_second": F.lead("score").over(w)}).where("_n = 1")
     status = F.when(F.col("score") < least, "unmatched").when(F.coalesce(F.col("_second") >= rival * F.col("score"), F.lit(False)), "ambiguous").otherwise("matched")
-    return out.select("ga", F.when(F.col("score") >= least, F.col("gb")).alias("gb"), "score", status.alias("status"))
+    return out.select("ga", F.when(status == "matched", F.col("gb")).alias("gb"), "score", status.alias("status"))
 
 
 def cross_tab(points: DataFrame, fixed: str, moving: str, by: list[str]) -> DataFrame:

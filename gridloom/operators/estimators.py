@@ -77,8 +77,20 @@ def t_quantile(p: float, k: float) -> float:
     return _quantile(lambda t: 1 - _beta_i(k / 2, 0.5, k / (k + t * t)) / 2, p, 0.0, 10.0)
 
 
+def normal_quantile(p: float) -> float:
+    if p < 0.5:
+        return -normal_quantile(1 - p)
+    return _quantile(lambda x: 1 - math.erfc(x / math.sqrt(2)) / 2, p, 0.0, 10.0)
+
+
 # ---------------------------------------------------------------- estimators
 
+#: The seeds that reproduce published intervals, and the draws made at once.
+SERIES_SEED, BANDS_SEED, SERIES_DRAWS, BANDS_DRAWS = 20261020, 20260911, 512, 16
+#: Where a spread counts as none: this, relative to one or the mean.
+TINY = float(np.finfo(float).eps)
+
+
 
 def autocorrelation(x: np.ndarray) -> np.ndarray:
     """Biased autocorrelation at lags 0, 1, ...; a constant series has 1 at lag 0 and 0 beyond."""
@@ -115,54 +127,66 @@ def autocorrelation_time(x: np.ndarray) -> float:
     return float(min(max(tau[past[0]] if len(past) else tau[-1], 1.0), n))
 
 
-def blocking_error(x: np.ndarray) -> tuple[float, int]:
-    """Standard error of the mean by pairing, at the first level whose statistic is under the 99 % point; and the level."""
-    x = np.asarray(x, float)
-    levels = []
+def blocking_levels(x: np.ndarray) -> list[tuple[int, float, float]]:
+    """Blocks, population variance and lag-one autocovariance (about the level's own mean) of each level of pairing."""
+    x, out = np.asarray(x, float), []
     while len(x) >= 2:
-        n = len(x)
         d = x - x.mean()
-        var = (d @ d) / n
-        gamma = (d[1:] @ d[:-1]) / n
-        levels.append((n, var, gamma))
-        x = (x[: n // 2 * 2 : 2] + x[1 : n // 2 * 2 : 2]) / 2
-    if not levels or levels[0][1] == 0:
+        out.append((len(x), float(x.var()), float(d[1:] @ d[:-1]) / len(x)))
+        even = len(x) // 2 * 2
+        x = (x[:even:2] + x[1:even:2]) / 2
+    return out
+
+
+def blocking_error(x: np.ndarray) -> tuple[float, int]:
+    """Standard error of the mean by pairing, at the first level whose statistic is under the 99 % point; and the level.
+
+    The statistic of level k is the sum over it and all higher ones of n (covariance / variance)^2, against k + 1 degrees of
+    freedom. Where no level is accepted the last one stands.
+    """
+    levels = blocking_levels(x)
+    if not levels or levels[0][1] <= TINY * max(1.0, abs(float(np.mean(x)))):
         return 0.0, 0
-    stats = [((n - 1) * var / n**2 + gamma) ** 2 / var**2 * n if var else 0.0 for n, var, gamma in levels]
-    tail = np.cumsum(stats[::-1])[::-1]
-    for k in range(len(levels)):
-        if tail[k] < chi2_quantile(0.99, len(levels) - k):
-            return math.sqrt(levels[k][1] / (levels[k][0] - 1 or 1)), k
-    return math.sqrt(levels[-1][1] / (levels[-1][0] - 1 or 1)), len(levels) - 1
+    each = [n * (gamma / var) ** 2 if var > 0 else 0.0 for n, var, gamma in levels]
+    tail = np.cumsum(each[::-1])[::-1]
+    at = next((k for k in range(len(levels)) if tail[k] < chi2_quantile(0.99, k + 1)), len(levels) - 1)
+    return math.sqrt(levels[at][1] / levels[at][0]), at
 
 
-def moving_block_bootstrap(x: np.ndarray, length: int, repeats: int = 2000, seed: int = 20260911, level: float = 0.95) -> tuple[float, float]:
-    """Percentile interval of the mean from overlapping blocks."""
+def moving_block_bootstrap(x: np.ndarray, length: int, repeats: int = 2000, seed: int = SERIES_SEED, level: float = 0.95) -> tuple[float, float, float]:
+    """Percentile interval of the mean from overlapping blocks, and the standard deviation of the replicates."""
     x = np.asarray(x, float)
-    n = len(x)
+    if not 1 <= length <= len(x):
+        raise ValueError("a block has from one to all frames")
     sums = np.concatenate([[0], np.cumsum(x)])
     means = (sums[length:] - sums[:-length]) / length
-    rng = np.random.default_rng(seed)
-    draws = means[rng.integers(0, len(means), (repeats, -(-n // length)))].mean(1)
-    return tuple(float(v) for v in np.quantile(draws, [(1 - level) / 2, (1 + level) / 2]))
+    rng, blocks = np.random.default_rng(seed), -(-len(x) // length)
+    draws = np.concatenate([means[rng.integers(0, len(means), (min(SERIES_DRAWS, repeats - a), blocks))].mean(1) for a in range(0, repeats, SERIES_DRAWS)])
+    low, high = np.quantile(draws, [(1 - level) / 2, (1 + level) / 2])
+    return float(low), float(high), float(draws.std(ddof=1))
 
 
-def sampling_uncertainty(x: np.ndarray) -> dict:
-    """Status, mean, correlation time and interval of a series; the interval only where the series supports it."""
+def sampling_uncertainty(x: np.ndarray, regular: bool = True, least_frames: int = 20, least_blocks: int = 8) -> dict:
+    """Status, mean, correlation time, effective frames, blocking error and bootstrap interval of a series.
+
+    A missing frame, uneven times, too few frames and a constant series leave out all estimates but the mean; fewer than
+    ``least_blocks`` blocks of five correlation times leave out the interval.
+    """
     x = np.asarray(x, float)
-    out = {"status": "estimated", "mean": float(np.nanmean(x)) if np.isfinite(x).any() else None, "tau": None, "low": None, "high": None}
-    if not np.isfinite(x).all():
-        return out | {"status": "unavailable_missing_frames"}
-    if len(x) < 20:
-        return out | {"status": "insufficient_frames"}
-    if np.ptp(x) == 0:
-        return out | {"status": "constant_series"}
+    out = dict.fromkeys(("status", "mean", "tau", "effective", "blocking_error", "blocking_level", "interval_status", "low", "high", "error", "block"))
+    out |= {"mean": float(np.nanmean(x)) if np.isfinite(x).any() else None}
+    reasons = [("unavailable_missing_frames", not np.isfinite(x).all()), ("unavailable_irregular_timestamps", not regular), ("unavailable_too_few_frames", len(x) < least_frames), ("unavailable_observed_constant", bool(len(x)) and float(np.ptp(x)) == 0)]
+    for reason, holds in reasons:
+        if holds:
+            return out | {"status": reason, "interval_status": reason}
     tau = autocorrelation_time(x)
-    length = math.ceil(5 * tau)
-    if len(x) / length < 8:
-        return out | {"status": "insufficient_effective_samples", "tau": tau}
-    low, high = moving_block_bootstrap(x, length)
-    return out | {"tau": tau, "low": low, "high": high}
+    error, at = blocking_error(x)
+    block = max(1, math.ceil(5 * tau))
+    out |= {"status": "estimated", "tau": tau, "effective": len(x) / tau, "blocking_error": error, "blocking_level": at, "block": block}
+    if block > len(x) or len(x) / block < least_blocks:
+        return out | {"interval_status": "insufficient_blocks"}
+    low, high, spread = moving_block_bootstrap(x, block)
+    return out | {"interval_status": "estimated", "low": low, "high": high, "error": spread}
 
 
 def poisson_interval(count: float, level: float = 0.95) -> tuple[float, float]:
@@ -172,29 +196,34 @@ def poisson_interval(count: float, level: float = 0.95) -> tuple[float, float]:
 
 
 def dispersion_interval(events: np.ndarray, blocks: int = 10, level: float = 0.95) -> tuple[float, float, float]:
-    """Poisson interval widened by the dispersion of block counts; surplus frames are dropped. Dispersion, low, high."""
-    size = len(events) // blocks
-    counts = np.asarray(events, float)[: size * blocks].reshape(blocks, size).sum(1) if size else np.zeros(blocks)
-    phi = max(1.0, float(counts.var(ddof=1) / counts.mean())) if counts.mean() > 0 else 1.0
-    low, high = poisson_interval(float(np.sum(events)) / phi, level)
+    """Poisson interval widened by the dispersion of block counts; surplus frames are dropped, blocks of one frame tell nothing."""
+    x = np.asarray(events, float)
+    size, phi = len(x) // blocks, 1.0
+    if size >= 2 and x.sum() > 0:
+        counts = x[: size * blocks].reshape(blocks, size).sum(1)
+        phi = max(1.0, float(counts.var(ddof=1) / counts.mean())) if counts.mean() > 0 else 1.0
+    low, high = poisson_interval(float(x.sum()) / phi, level)
     return phi, low * phi, high * phi
 
 
-def collective_diffusion(n: np.ndarray, dt: float, segments: int = 5) -> tuple[float, float, float]:
-    """Slope of the mean squared change over lags, halved, and a Student interval over segments (low end at least 0)."""
-    n = np.asarray(n, float)
+def collective_diffusion(n: np.ndarray, dt: float, segments: int = 5) -> dict:
+    """Half the slope of the mean squared change over lags, and a Student interval around it from segments (low end at least 0).
 
-    def slope(x):
-        hi = max(2, len(x) // 10)
-        lags = np.arange(1, hi + 1)
-        msd = [np.mean((x[k:] - x[:-k]) ** 2) for k in lags if k < len(x)]
-        lags = lags[: len(msd)]
-        return float(np.polyfit(lags * dt, msd, 1)[0] / 2) if len(msd) >= 2 else float("nan")
-
-    parts = [slope(p) for p in np.array_split(n, segments)]
-    half = t_quantile(0.975, segments - 1) * np.std(parts, ddof=1) / math.sqrt(segments)
-    mid = float(np.mean(parts))
-    return slope(n), max(0.0, mid - half), mid + half
+    Lags run from one to a tenth of a segment (two at least), in the whole series as in segments. Series too short for twice the
+    longest lag have no estimate, segments too short no interval.
+    """
+    n = np.asarray(n, float)
+    size = len(n) // segments
+    most = max(2, size // 10)
+    if len(n) < 2 * most + 2:
+        return {"status": "insufficient_frames", "d": None, "low": None, "high": None}
+    lags = np.arange(1, most + 1)
+    slope = lambda x: float(np.polyfit(lags * dt, [np.mean((x[k:] - x[:-k]) ** 2) for k in lags], 1)[0] / 2)
+    d = slope(n)
+    if segments < 2 or size < 2 * most + 2:
+        return {"status": "estimated", "d": d, "low": None, "high": None}
+    half = t_quantile(0.975, segments - 1) * np.std([slope(n[k * size : (k + 1) * size]) for k in range(segments)], ddof=1) / math.sqrt(segments)
+    return {"status": "estimated", "d": d, "low": max(0.0, d - half), "high": d + half}
 
 
 def block_mean_interval(x: np.ndarray, blocks: int = 8, level: float = 0.95) -> tuple[float, float]:
@@ -248,40 +277,53 @@ def lag_correlation(rows: DataFrame, keys: list[str], order: str, value: str, la
     return out.select(*keys, *[(F.coalesce(F.col(f"c{k}"), F.lit(0.0)) / F.col("c0")).alias(f"rho{k}") for k in range(1, lags + 1)])
 
 
-def block_mean_bands(columns: np.ndarray, repeats: int = 2000, seed: int = 20260911, level: float = 0.95) -> dict:
+def block_mean_bands(columns: np.ndarray, repeats: int = 2000, seed: int = BANDS_SEED, level: float = 0.95, length: int | None = None, least: int = 8) -> dict:
     """Pointwise and simultaneous intervals of column means from batch means of a frames-by-columns matrix.
 
     The batch length covers five times the largest inefficiency; the intervals are studentised bootstrap ones, never narrower
-    than Student's, simultaneous ones than Bonferroni's. Columns with a missing frame have none.
+    than Student's, simultaneous ones than Bonferroni's. Each column's standard error is widened by the inefficiency of its own
+    batch means; a column with a missing frame, or with fewer than ``least`` effective batches, has no interval.
     """
     x = np.asarray(columns, float)
     n, width = x.shape
-    low = high = wide_low = wide_high = np.full(width, np.nan)
-    out = {"status": "insufficient_frames", "batches": 0, "mean": np.nanmean(x, axis=0) if n else np.full(width, np.nan)}
+    none = np.full(width, np.nan)
+    out = {"batches": 0, "mean": np.array([c[np.isfinite(c)].mean() if np.isfinite(c).any() else np.nan for c in x.T]), "low": none, "high": none, "wide_low": none, "wide_high": none}
     fine = np.isfinite(x).all(0)
-    if n < 20 or not fine.any():
-        return out | {"low": low, "high": high, "wide_low": wide_low, "wide_high": wide_high}
-    g = max(statistical_inefficiency(x[:, c]) for c in np.flatnonzero(fine))
-    length = max(math.ceil(n ** (1 / 3)), math.ceil(5 * g))
-    count = n // length
-    if count < 8:
-        return out | {"status": "insufficient_batches", "batches": count, "low": low, "high": high, "wide_low": wide_low, "wide_high": wide_high}
-    means = np.stack([p.mean(0) for p in np.array_split(x[:, fine], count)])
-    excess = max(statistical_inefficiency(means[:, c]) for c in range(means.shape[1]))
-    if count / excess < 8:
-        return out | {"status": "insufficient_effective_batches", "batches": count, "low": low, "high": high, "wide_low": wide_low, "wide_high": wide_high}
-    centre, se = means.mean(0), means.std(0, ddof=1) / math.sqrt(count) * math.sqrt(excess)
-    rng = np.random.default_rng(seed)
-    t = []
-    for _ in range(0, repeats, 16):
-        draw = means[rng.integers(0, count, (16, count))]
+    if length is None:
+        length = max([math.ceil(n ** (1 / 3)), *[math.ceil(5 * statistical_inefficiency(x[:, c])) for c in np.flatnonzero(fine)]])
+    out["batches"] = count = n // max(1, length)
+    if n < 20 or count < least:
+        return out | {"status": "insufficient_independent_blocks"}
+    if not fine.any():
+        return out | {"status": "no_complete_coverage"}
+    y = x[:, fine]
+    mean, means = y.mean(0), np.stack([p.mean(0) for p in np.array_split(y, count)])
+    g = np.array([statistical_inefficiency(c) for c in means.T])
+    free, enough = count / g, count / g >= least
+    if not enough.any():
+        return out | {"status": "insufficient_effective_batches"}
+    tiny = TINY * np.maximum(1, np.abs(mean))
+    se = means.std(0, ddof=1) / math.sqrt(count)
+    moves, rng = se > tiny, np.random.default_rng(seed)
+    t, flat = [], np.zeros(len(mean), int)
+    for a in range(0, repeats, BANDS_DRAWS):
+        draw = means[rng.integers(0, count, (min(BANDS_DRAWS, repeats - a), count))]
         spread = draw.std(1, ddof=1) / math.sqrt(count)
-        t.append(np.abs(draw.mean(1) - centre) / np.where(spread > 0, spread, np.inf))
-    t = np.concatenate(t)[:repeats]
-    point = np.maximum(np.quantile(t, level, axis=0), t_quantile((1 + level) / 2, count - 1))
-    both = max(float(np.quantile(t.max(1), level)), t_quantile(1 - (1 - level) / 2 / max(1, fine.sum()), count - 1))
-    full = lambda v: _spread(fine, v)
-    return out | {"status": "estimated", "batches": count, "low": full(centre - point * se), "high": full(centre + point * se), "wide_low": full(centre - both * se), "wide_high": full(centre + both * se)}
+        some = (spread > tiny) & moves
+        flat += ((spread <= tiny) & moves).sum(0)
+        t.append(np.where(some, (draw.mean(1) - means.mean(0)) / np.where(some, spread, 1), 0.0))
+    t, tail = np.concatenate(t), (1 - level) / 2
+    if (flat > tail * repeats).any():
+        return out | {"status": "insufficient_batch_variation"}
+    degrees = np.maximum(free - 1, 1)
+    student = np.array([t_quantile(1 - tail, k) for k in degrees])
+    lows, highs = np.quantile(t, [tail, 1 - tail], axis=0)
+    se = se * np.sqrt(g)
+    both = float(np.quantile(np.abs(t[:, moves]).max(1), level)) if moves.any() else 0.0
+    family = max(1, int((moves & enough).sum()))
+    both = max(both, *[t_quantile(1 - tail / family, k) for k in degrees[enough]])
+    full = lambda v: _spread(fine, np.where(enough, v, np.nan))
+    return out | {"status": "estimated", "low": full(mean - np.maximum(highs, student) * se), "high": full(mean - np.minimum(lows, -student) * se), "wide_low": full(mean - both * se), "wide_high": full(mean + both * se)}
 
 
 def _spread(fine: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -290,7 +332,7 @@ def _spread(fine: np.ndarray, values: np.ndarray) -> np.ndarray:
     return out
 
 
-def disjoint_block_bootstrap(x: np.ndarray, length: int, repeats: int = 2000, seed: int = 20260911, level: float = 0.95) -> dict:
+def disjoint_block_bootstrap(x: np.ndarray, length: int, repeats: int = 2000, seed: int = SERIES_SEED, level: float = 0.95) -> dict:
     """Percentile interval of the mean from whole blocks that don't overlap."""
     x = np.asarray(x, float)
     count = len(x) // length
@@ -298,21 +340,28 @@ def disjoint_block_bootstrap(x: np.ndarray, length: int, repeats: int = 2000, se
         return {"status": "insufficient_blocks", "low": None, "high": None}
     means = x[: count * length].reshape(count, length).mean(1)
     if np.ptp(means) == 0:
-        return {"status": "no_variation", "low": None, "high": None}
+        return {"status": "no_variation_between_blocks", "low": None, "high": None}
     draws = means[np.random.default_rng(seed).integers(0, count, (repeats, count))].mean(1)
     low, high = np.quantile(draws, [(1 - level) / 2, (1 + level) / 2])
     return {"status": "estimated", "low": float(low), "high": float(high)}
 
 
 def net_current(up: np.ndarray, down: np.ndarray, charge: np.ndarray, duration: float, blocks: int = 10, level: float = 0.95) -> dict:
-    """Current of counted events (frames by species) and its interval: Poisson variance, or block variance if that is larger."""
+    """Current of counted events (frames by species), and its interval.
+
+    The interval is normal with the variance of Poisson counts, or Student's with the variance of the blocks' net charge
+    where that is larger and blocks have two frames at least. Without events it is the exact bound on their number times the
+    largest charge.
+    """
     up, down, charge = np.asarray(up, float), np.asarray(down, float), np.asarray(charge, float)
-    series = ((up - down) * charge).sum(1)
-    variance = float(((up + down) * charge**2).sum())
+    series, events = ((up - down) * charge).sum(1), float((up + down).sum())
+    total, variance = float(series.sum()), float(((up + down) * charge**2).sum())
     size = len(series) // blocks
-    if size:
-        sums = series[: size * blocks].reshape(blocks, size).sum(1)
-        variance = max(variance, float(sums.var(ddof=1) * blocks))
-    half = t_quantile((1 + level) / 2, max(1, blocks - 1)) * math.sqrt(variance)
-    total = float(series.sum())
-    return {"current": total / duration, "low": (total - half) / duration, "high": (total + half) / duration}
+    if not events:
+        half, method = poisson_interval(0, level)[1] * float(np.abs(charge).max()), "bound"
+    else:
+        half, method = normal_quantile((1 + level) / 2) * math.sqrt(variance), "poisson"
+        spread = blocks * float(series[: size * blocks].reshape(blocks, size).sum(1).var(ddof=1)) if size >= 2 else 0.0
+        if variance > 0 and spread > variance:
+            half, method = t_quantile((1 + level) / 2, blocks - 1) * math.sqrt(spread), "blocks"
+    return {"current": total / duration, "low": (total - half) / duration, "high": (total + half) / duration, "method": method}

@@ -55,16 +55,33 @@ def shortest_paths(edges: DataFrame, sources: DataFrame) -> DataFrame:
     return best.drop("moved")
 
 
-def widest_paths(edges: DataFrame, sources: DataFrame, width: str = "width") -> DataFrame:
-    """(node, width, hops): the greatest least width of a path from any source, over undirected edges; then fewest hops."""
-    both = keep(edges.select("a", "b", width).unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), width)), "edges")
-    best = keep(sources.select("node", F.lit(float("inf")).alias("wide"), F.lit(0).alias("hops"), F.lit(True).alias("moved")), "widths")
+def widest_paths(edges: DataFrame, sources: DataFrame, width: str = "width", length: str | None = None) -> DataFrame:
+    """(node, width, length, hops): the greatest least width of a path from any source, over undirected edges; of equal ones the shortest.
+
+    ``length`` names the edges' lengths; without it every edge has length 1. A path goes on from a node's own widest path: ties are
+    broken among these.
+    """
+    own = F.col(length) if length else F.lit(1.0)
+    both = edges.select("a", "b", F.col(width).alias("_w"), own.cast("double").alias("_l"))
+    both = keep(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"), "_w", "_l")), "edges")
+    start = sources.select("node", F.lit(float("inf")).alias("wide"), F.lit(0.0).alias("far"), F.lit(0).alias("hops"), F.lit(True).alias("moved"))
+    best = keep(start, "widths")
+    # first the widths alone, then lengths over the edges that keep each node's width
     while not best.where("moved").isEmpty():
-        tried = best.where("moved").join(both, F.col("node") == F.col("a")).select(F.col("b").alias("node"), F.least("wide", width).alias("wide"), (F.col("hops") + 1).alias("hops"), F.lit(True).alias("moved"))
-        old = best.withColumn("moved", F.lit(False))
-        best = old.unionByName(tried).groupBy("node").agg(F.min(F.struct((-F.col("wide")).alias("neg"), "hops", "moved")).alias("v"))
-        best = keep(best.select("node", (-F.col("v.neg")).alias("wide"), "v.hops", "v.moved"), "widths")
-    return best.select("node", F.col("wide").alias("width"), "hops")
+        tried = best.where("moved").join(both, F.col("node") == F.col("a")).select(F.col("b").alias("node"), F.least("wide", "_w").alias("wide"), F.lit(True).alias("moved"))
+        old = best.select("node", "wide", F.lit(False).alias("moved"))
+        best = old.unionByName(tried).groupBy("node").agg(F.min(F.struct((-F.col("wide")).alias("neg"), "moved")).alias("v"))
+        best = keep(best.select("node", (-F.col("v.neg")).alias("wide"), "v.moved"), "widths")
+    widths = keep(best.select("node", "wide"), "widest")
+    # an edge is followed where it hands on the width that its end has: a wider node's own widest path comes first
+    ends = both.join(widths.select(F.col("node").alias("a"), F.col("wide").alias("_wa")), "a").join(widths.select(F.col("node").alias("b"), F.col("wide").alias("_wb")), "b")
+    tight = keep(ends.where(F.least("_wa", "_w") == F.col("_wb")).select("a", "b", "_l"), "tight")
+    paths = keep(start.select("node", "far", "hops", "moved"), "lengths")
+    while not paths.where("moved").isEmpty():
+        tried = paths.where("moved").join(tight, F.col("node") == F.col("a")).select(F.col("b").alias("node"), (F.col("far") + F.col("_l")).alias("far"), (F.col("hops") + 1).alias("hops"), F.lit(True).alias("moved"))
+        old = paths.withColumn("moved", F.lit(False))
+        paths = keep(old.unionByName(tried).groupBy("node").agg(F.min(F.struct("far", "hops", "moved")).alias("v")).select("node", "v.*"), "lengths")
+    return paths.join(widths, "node").select("node", F.col("wide").alias("width"), F.col("far").alias("length"), "hops")
 
 
 def distinct_routes(routes: DataFrame, by: list[str], order: list[Column], separation: float, most: int) -> DataFrame:

@@ -68,20 +68,38 @@ def closest_contacts(points: DataFrame, cutoff: float, metric: str = "center", k
 def nearest_surface(samples: DataFrame, spheres: DataFrame, reach: float) -> DataFrame:
     """For each sample (id, x, y, z) the sphere (id, x, y, z, r) of least distance less radius; ties to the lower id.
 
-    Samples without a sphere surface within ``reach`` are searched again at twice the reach, until all have one.
+    Samples without a sphere surface within ``reach`` are searched again at twice the reach, until all have one; each round is
+    written, so that none is worked out twice. Samples with a null or non-finite coordinate have a null sphere and clearance, and so
+    have all if there is no sphere; spheres with such a one don't count. The reach grows no farther than the extent of all points.
     """
-    largest = spheres.agg(F.max("r")).first()[0]
+    from gridloom.functions.store import keep
+
+    fine = F.lit(True)
+    for c in "xyz":
+        fine = fine & F.coalesce(F.abs(F.col(c).cast("double")) < float("inf"), F.lit(False))
+    nothing = lambda df: df.select("id", F.lit(None).cast("long").alias("nearest"), F.lit(None).cast("double").alias("clearance"))
+    spheres = spheres.where(fine & F.col("r").isNotNull())
+    ends = [f(F.col(c).cast("double")) for c in "xyz" for f in (F.min, F.max)]
+    largest, *box = spheres.agg(F.max("r"), *ends).first()
     if largest is None:
-        return samples.select("id", F.lit(None).cast("long").alias("nearest"), F.lit(None).cast("double").alias("clearance"))
-    found, left = None, samples
+        return nothing(samples)
+    rest, left = samples.where(~fine), samples.where(fine)
+    own = left.agg(*ends).first()
+    extent = sum(max(box[2 * i + 1], own[2 * i + 1]) - min(box[2 * i], own[2 * i]) for i in range(3)) if own[0] is not None else 0.0
+    extent += abs(largest) + abs(spheres.agg(F.min("r")).first()[0])
+    found = nothing(rest)
     while True:
         pairs = range_join(spheres, left, reach + largest)
         best = pairs.groupBy("r_id").agg(F.min(F.struct((F.col("distance") - F.col("l_r")).alias("clearance"), F.col("l_id").alias("id"))).alias("b"))
         best = best.select(F.col("r_id").alias("id"), F.col("b.id").alias("nearest"), F.col("b.clearance").alias("clearance")).where(F.col("clearance") <= reach)
-        found = best if found is None else found.unionByName(best)
+        best = keep(best, "nearest")
+        found = found.unionByName(best)
         left = left.join(best.select("id"), "id", "left_anti")
         if left.isEmpty():
             return found
+        if reach > extent:
+            raise ValueError("a sample has no sphere within the extent of all points")
+        left = keep(left, "left")
         reach *= 2
 
 

@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def local_minima(profile: DataFrame, by: list[str], order: str = "i", value: str = "r", threshold: float | None = None, most: int | None = None) -> DataFrame:
+    """Points not above either neighbour; a missing neighbour is infinite, so ends and plateaus qualify.
 
-def local_minima(profile: DataFrame, by: list[str], order: str = "i", value: str = "r") -> DataFrame:
-    """Points not above either neighbour; a missing neighbour is infinite, so ends and plateaus qualify."""
+    With ``threshold`` only those at or below it; a profile without any gives its least point. With ``most`` the least ones.
+    """
     w = Window.partitionBy(*by).orderBy(order)
-    inf = F.lit(float("inf"))
-    v = F.col(value)
-    return profile.withColumns({"_a": F.coalesce(F.lag(value).over(w), inf), "_b": F.coalesce(F.lead(value).over(w), inf)}).where((v <= F.col("_a")) & (v <= F.col("_b"))).drop("_a", "_b")
+    inf, v = F.lit(float("inf")), F.col(value)
+    found = (v <= F.coalesce(F.lag(value).over(w), inf)) & (v <= F.coalesce(F.lead(value).over(w), inf))
+    if threshold is None and most is None:
+        return profile.withColumn("_hit", found).where("_hit").drop("_hit")
+    if threshold is not None:
+        found = found & (v <= threshold)
+    rank = Window.partitionBy(*by).orderBy(F.desc("_hit"), value, order)
+    out = profile.withColumn("_hit", found).withColumn("_place", F.row_number().over(rank)).where(F.col("_hit") | (F.col("_place") == 1))
+    return (out.where(F.col("_place") <= most) if most is not None else out).drop("_hit", "_place")
 
 
 def transitions(rows: DataFrame, by: list[str], order: str, label: str) -> DataFrame:
@@ -43,8 +51,15 @@ def episodes(sets: DataFrame) -> DataFrame:
     return out.crossJoin(ends).select("grp", "member", "first", "last", "frames", (F.col("first") == F.col("_lo")).alias("left_censored"), (F.col("last") == F.col("_hi")).alias("right_censored"))
 
 
-def survival(sets: DataFrame, most: int = 20) -> DataFrame:
-    """For each group and lag the mean, over origins with members, of the share that stays through the lag."""
+def survival(sets: DataFrame, most: int = 20, times: DataFrame | None = None) -> DataFrame:
+    """For each group and lag the mean, over origins with members, of the share that stays through the lag.
+
+    ``times``: (frame, t). Where frames are not evenly spaced there is no survival, and the result is empty.
+    """
+    if times is not None:
+        regular = regularity(times.withColumn("_all", F.lit(0)), ["_all"], "t", 1e-3).first()
+        if regular and not (regular.regular and regular.increasing):
+            return survival(sets, most).where(F.lit(False))
     runs_ = episodes(sets)
     last = sets.agg(F.max("frame").alias("_hi"))
     at = runs_.select("grp", "member", F.col("last"), F.explode(F.sequence("first", "last")).alias("origin"))
@@ -53,25 +68,41 @@ def survival(sets: DataFrame, most: int = 20) -> DataFrame:
     return each.groupBy("grp", F.col("lag").cast("long").alias("lag")).agg(F.count("*").alias("origins"), F.avg("_share").alias("survival"))
 
 
-def crossings(rows: DataFrame, by: list[str], low: float, high: float) -> DataFrame:
+def crossings(rows: DataFrame, by: list[str], low: float, high: float, lateral: Column | None = None, rule: str = "compartment") -> DataFrame:
     """Passages from one bulk side of a slab to the other (rows: frame, s): entry, exit, direction and status.
 
-    The side last seen before a frame is carried forward; arrival on the other side is an event. A step from one side
-    straight to the other is unresolved, and is told but not counted as complete.
+    ``lateral``: whether a row in the slab is in the lumen; all are without it. By the rule ``compartment`` the side last seen is
+    carried forward, also where the lumen is left sideways; arrival on the other side is an event, complete if the lumen was seen on
+    the way, else outside_lumen. By ``strict`` an event is a stay in the lumen that begins and ends at different sides. A step from
+    one side straight to the other is unresolved by either rule: it is told, from the frame before, but not counted as complete.
     """
+    if rule not in ("compartment", "strict"):
+        raise ValueError("the rule is compartment or strict")
     w = Window.partitionBy(*by).orderBy("frame")
     past = w.rowsBetween(Window.unboundedPreceding, -1)
     side = F.when(F.col("s") < low, -1).when(F.col("s") > high, 1)
-    out = rows.withColumn("side", side).withColumns(
-        {"_last": F.last("side", ignorenulls=True).over(past), "_at": F.last(F.when(F.col("side").isNotNull(), F.col("frame")), ignorenulls=True).over(past)}
+    inside = F.lit(True) if lateral is None else F.coalesce(lateral, F.lit(False))
+    # what strict remembers: a side, or 0 (none) beside the lumen; the lumen itself changes nothing
+    out = rows.withColumn("side", side).withColumn("_in", F.col("side").isNull() & inside)
+    seen = F.when(F.col("side").isNotNull(), F.col("side")).when(~F.col("_in"), 0)
+    at = lambda c: F.last(F.when(c, F.col("frame")), ignorenulls=True).over(past)
+    out = out.withColumns(
+        {
+            "_last": F.last("side" if rule == "compartment" else seen, ignorenulls=True).over(past),
+            "_at": at(F.col("side").isNotNull() if rule == "compartment" else ~F.col("_in")),
+            "_prev": F.lag("side").over(w),
+            "_before": F.lag("frame").over(w),
+            "_seen": F.coalesce(F.max(F.when(F.col("_in"), F.col("frame"))).over(past), F.lit(-1)),
+        }
     )
-    hit = out.where("side <> _last")
+    hit = out.where((F.col("side") != F.col("_last")) & (F.col("_last") != 0))
+    straight = F.col("_prev").isNotNull()
     return hit.select(
         *by,
-        (F.col("_at") + 1).alias("entry"),
+        F.when(straight, F.col("_before")).otherwise(F.col("_at") + 1).alias("entry"),
         F.col("frame").alias("exit"),
         F.when(F.col("side") == 1, "up").otherwise("down").alias("direction"),
-        F.when(F.col("frame") == F.col("_at") + 1, "unresolved_single_interval").otherwise("complete").alias("status"),
+        F.when(straight, "unresolved_single_interval").when(F.col("_seen") > F.col("_at"), "complete").otherwise("outside_lumen").alias("status"),
     )
 
 

@@ -35,7 +35,7 @@ def charge_pairs(spark, d):
 
 
 def stacked_rings(spark, d):
-    return C.stacked_rings(_sites(spark, d).where("id % 4 = 0").select("id", "grp", "x", "y", "z", "nx", "ny", "nz")).select("a", "b", "kind", _r("distance"), _r("tilt", 4))
+    return C.stacked_rings(_sites(spark, d).select("id", "grp", "x", "y", "z", "nx", "ny", "nz")).select("a", "b", "kind", _r("distance"), _r("tilt", 4))
 
 
 def water_counts(spark, d):
@@ -59,12 +59,16 @@ def membership_table(spark, d):
     return C.cross_tab(s, "fixed", "moving", ["grp"])
 
 
+RESIDUES = ("ALA", "ARG", "ASP", "SER", "TYR", "HIS", "GLY", "HOH")
+
+
 def contact_classes(spark, d):
     from gridloom.operators.joins import range_join
 
-    s = _sites(spark, d).select("id", "grp", "charge", "polar", "x", "y", "z")
+    names = F.array(*[F.lit(n) for n in RESIDUES])
+    s = _sites(spark, d).select("id", "grp", "x", "y", "z", F.element_at(names, (F.col("id") % len(RESIDUES) + 1).cast("int")).alias("resname"))
     pairs = range_join(s, s, 1.2).where("l_id < r_id AND l_grp <> r_grp")
-    kind = C.contact_class(F.col("l_charge"), F.col("r_charge"), (F.col("l_grp") + F.col("r_grp")) % 4 == 0, F.col("l_polar") & F.col("r_polar"), F.col("distance"))
+    kind = C.contact_class(F.col("l_resname"), F.col("r_resname"), F.col("distance"))
     return pairs.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
 
 
@@ -88,16 +92,18 @@ ORACLE_SQL = {
     "charge_pairs": f"""WITH {SITES_SQL}, p AS (SELECT a.grp AS positive, b.grp AS negative, a.id AS id_a, b.id AS id_b, {DIST} AS distance FROM sites a JOIN sites b ON a.charge > 0 AND b.charge < 0 AND a.grp <> b.grp WHERE {DIST} <= 1.5)
       SELECT positive, negative, id_a, id_b, round(distance, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY positive, negative ORDER BY distance, id_a, id_b) AS n FROM p) WHERE n = 1""",
     "stacked_rings": f"""WITH {SITES_SQL}, p AS (SELECT a.id AS a, b.id AS b, {DIST} AS distance, degrees(acos(least(1, abs(a.nx*b.nx+a.ny*b.ny+a.nz*b.nz)))) AS tilt, ((b.x-a.x)*a.nx+(b.y-a.y)*a.ny+(b.z-a.z)*a.nz) AS da, ((b.x-a.x)*b.nx+(b.y-a.y)*b.ny+(b.z-a.z)*b.nz) AS db
-      FROM sites a JOIN sites b ON a.id < b.id AND a.grp <> b.grp AND a.id % 4 = 0 AND b.id % 4 = 0 WHERE {DIST} BETWEEN 2.5 AND 5.5), q AS (SELECT *, sqrt(greatest(0, distance * distance - da * da)) AS oa, sqrt(greatest(0, distance * distance - db * db)) AS ob FROM p),
+      FROM sites a JOIN sites b ON a.id < b.id AND a.grp <> b.grp WHERE {DIST} BETWEEN 2.5 AND 5.5), q AS (SELECT *, sqrt(greatest(0, distance * distance - da * da)) AS oa, sqrt(greatest(0, distance * distance - db * db)) AS ob FROM p),
       k AS (SELECT *, CASE WHEN tilt <= 30 AND greatest(oa, ob) <= 2 THEN 'parallel' WHEN tilt >= 60 AND least(oa, ob) <= 2 THEN 'edge_face' END AS kind FROM q) SELECT a, b, kind, round(distance, 6) AS distance, round(tilt, 4) AS tilt FROM k WHERE kind IS NOT NULL""",
     "water_counts": f"""WITH {SITES_SQL} SELECT a.grp, count(DISTINCT b.id) AS waters, count(DISTINCT b.id) FILTER (a.part = 'backbone') AS backbone, count(DISTINCT b.id) FILTER (a.part = 'side') AS side_chain, count(DISTINCT b.id) FILTER (a.polar) AS polar, round(min({DIST}), 6) AS min_distance
       FROM sites a JOIN sites b ON a.grp <> 9 AND b.grp = 9 WHERE {DIST} <= 1.0 GROUP BY a.grp""",
     "nearest_inside": f"""WITH {SITES_SQL}, p AS (SELECT a.id, b.id AS centre, {DIST} AS distance, b.id % 4 * 0.5 + 0.2 AS r, row_number() OVER (PARTITION BY a.id ORDER BY {DIST}, b.id) AS n FROM sites a JOIN sites b ON a.grp <> 9 AND b.grp = 9) SELECT id, centre, round(distance, 6) AS distance FROM p WHERE n = 1 AND distance <= r""",
     "reference_matches": f"""WITH {SITES_SQL}, n AS (SELECT grp, id % 2 AS k, count(*) AS n FROM sites GROUP BY ALL), p AS (SELECT a.grp AS ga, b.grp AS gb, count(DISTINCT a.id) AS na, count(DISTINCT b.id) AS nb FROM sites a JOIN sites b ON a.id % 2 = 0 AND b.id % 2 = 1 WHERE {DIST} <= 0.6 GROUP BY ALL),
       q AS (SELECT ga, gb, na / x.n::DOUBLE AS p, nb / y.n::DOUBLE AS q FROM p JOIN n x ON x.grp = ga AND x.k = 0 JOIN n y ON y.grp = gb AND y.k = 1), s AS (SELECT ga, gb, 2 * p * q / (p + q) AS score FROM q),
-      r AS (SELECT *, row_number() OVER w AS n, lead(score) OVER w AS second FROM s WINDOW w AS (PARTITION BY ga ORDER BY score DESC, gb)) SELECT ga, CASE WHEN score >= 0.1 THEN gb END AS gb, CASE WHEN score < 0.1 THEN 'unmatched' WHEN second >= 0.95 * score THEN 'ambiguous' ELSE 'matched' END AS status, round(score, 6) AS score FROM r WHERE n = 1""",
+      r AS (SELECT *, row_number() OVER w AS n, lead(score) OVER w AS second FROM s WINDOW w AS (PARTITION BY ga ORDER BY score DESC, gb)) SELECT ga, CASE WHEN score >= 0.1 AND NOT coalesce(second >= 0.95 * score, FALSE) THEN gb END AS gb, CASE WHEN score < 0.1 THEN 'unmatched' WHEN second >= 0.95 * score THEN 'ambiguous' ELSE 'matched' END AS status, round(score, 6) AS score FROM r WHERE n = 1""",
     "membership_table": f"WITH {SITES_SQL} SELECT grp, count(*) FILTER (x > 0 AND hx > 0) AS both, count(*) FILTER (x > 0 AND hx <= 0) AS fixed_only, count(*) FILTER (x <= 0 AND hx > 0) AS moving_only, count(*) FILTER (x <= 0 AND hx <= 0) AS neither FROM sites GROUP BY grp",
-    "contact_classes": f"""WITH {SITES_SQL}, p AS (SELECT a.charge * b.charge AS c, (a.grp + b.grp) % 4 = 0 AS h, a.polar AND b.polar AS q, {DIST} AS m FROM sites a JOIN sites b ON a.id < b.id AND a.grp <> b.grp WHERE {DIST} <= 1.2)
-      SELECT CASE WHEN c < 0 AND m <= 4 THEN 'salt_bridge' WHEN c < 0 THEN 'opposite_charge' WHEN h THEN 'hydrophobic' WHEN q AND m <= 0.5 THEN 'polar' ELSE 'distance' END AS kind, count(*) AS n FROM p GROUP BY ALL""",
+    "contact_classes": f"""WITH {SITES_SQL}, t AS (SELECT unnest([['ALA', 'hydrophobic small'], ['ARG', 'positive'], ['ASP', 'negative'], ['SER', 'polar small'], ['TYR', 'hydrophobic polar aromatic'], ['HIS', 'polar positive aromatic'], ['GLY', 'small'], ['HOH', 'other']]) AS v, unnest(range(8)) AS k),
+      p AS (SELECT a.id, b.id, u.v[2] AS l, w.v[2] AS r, {DIST} AS m FROM sites a JOIN sites b ON a.id < b.id AND a.grp <> b.grp JOIN t u ON u.k = a.id % 8 JOIN t w ON w.k = b.id % 8 WHERE {DIST} <= 1.2)
+      SELECT CASE WHEN (l || r) LIKE '%positive%' AND (l || r) LIKE '%negative%' AND l <> r THEN 'oppositely_charged_residue_contact' WHEN l LIKE '%hydrophobic%' AND r LIKE '%hydrophobic%' THEN 'hydrophobic_residue_contact'
+        WHEN m <= 0.5 AND (l LIKE '%polar%' OR r LIKE '%polar%') THEN 'polar_residue_contact' ELSE 'distance_contact' END AS kind, count(*) AS n FROM p GROUP BY ALL""",
     "alignment_sums": f"WITH {SITES_SQL} SELECT grp, count(*) AS n, round(avg(x), 6) AS max, round(avg(hz), 6) AS mbz, round(covar_pop(x, hx), 6) AS h_xx, round(covar_pop(x, hy), 6) AS h_xy, round(covar_pop(z, hx), 6) AS h_zx, round(var_pop(x), 6) AS vax, round(var_pop(hz), 6) AS vbz FROM sites GROUP BY grp",
 }

@@ -127,7 +127,7 @@ def blocking_error(spark, d):
 
 
 def sampling_uncertainty(spark, d):
-    return S.by_series(T.series(spark, d), ["key"], "frame", "s", "status string, mean double, tau double, low double, high double", S.sampling_uncertainty).select("key", "status", *[_r(c, 6) for c in ("mean", "tau", "low", "high")])
+    return S.by_series(T.series(spark, d), ["key"], "frame", "s", "status string, mean double, tau double, effective double, blocking_error double, interval_status string, low double, high double", S.sampling_uncertainty).select("key", "status", "interval_status", *[_r(c, 6) for c in ("mean", "tau", "effective", "blocking_error", "low", "high")])
 
 
 def count_intervals(spark, d):
@@ -143,7 +143,7 @@ def count_intervals(spark, d):
 
 def diffusion(spark, d):
     n = O.net_passage(T.series(spark, d), ["key"], LOW, HIGH)
-    return S.by_series(n, ["key"], "frame", "net", "d double, low double, high double", lambda x: S.collective_diffusion(x, 1.0)).select("key", *[_r(c, 6) for c in ("d", "low", "high")])
+    return S.by_series(n, ["key"], "frame", "net", "status string, d double, low double, high double", lambda x: S.collective_diffusion(x, 1.0)).select("key", "status", *[_r(c, 6) for c in ("d", "low", "high")])
 
 
 def feature_clusters(spark, d):
@@ -267,7 +267,7 @@ QUERIES = {f.__name__: f for f in (
 _W = "WINDOW w AS (PARTITION BY key ORDER BY frame)"
 CROSS_SQL = f"""{T.SERIES_SQL}, a AS (SELECT *, CASE WHEN s < {LOW} THEN -1 WHEN s > {HIGH} THEN 1 END AS side FROM series),
 b AS (SELECT *, last_value(side IGNORE NULLS) OVER p AS last_side, last_value(CASE WHEN side IS NOT NULL THEN frame END IGNORE NULLS) OVER p AS last_at FROM a WINDOW p AS (PARTITION BY key ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-x AS (SELECT key, last_at + 1 AS entry_frame, frame AS exit_frame, CASE WHEN side = 1 THEN 'up' ELSE 'down' END AS direction, CASE WHEN frame = last_at + 1 THEN 'unresolved_single_interval' ELSE 'complete' END AS status FROM b WHERE side <> last_side)"""
+x AS (SELECT key, CASE WHEN frame = last_at + 1 THEN last_at ELSE last_at + 1 END AS entry_frame, frame AS exit_frame, CASE WHEN side = 1 THEN 'up' ELSE 'down' END AS direction, CASE WHEN frame = last_at + 1 THEN 'unresolved_single_interval' ELSE 'complete' END AS status FROM b WHERE side <> last_side)"""
 COMPONENTS_SQL = """WITH RECURSIVE {0}, e2 AS (SELECT a, b FROM u WHERE distance <= 0.045), r AS (SELECT id AS node, id AS comp FROM points UNION SELECT e2.b, r.comp FROM r JOIN e2 ON e2.a = r.node), l AS (SELECT node, min(comp) AS comp FROM r GROUP BY node)""".format(NEAR)
 RESAMPLE_SQL = f"""{T.PROFILES_SQL}, l AS (SELECT *, lead(s) OVER w AS s2, lead(r) OVER w AS r2 FROM profiles WINDOW w AS (PARTITION BY profile ORDER BY i)),
 q AS (SELECT *, unnest(range(ceil(s / 0.75)::BIGINT, CASE WHEN s2 IS NULL THEN floor(s / 0.75)::BIGINT + 1 ELSE ceil(s2 / 0.75)::BIGINT END)) AS g FROM l),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gridloom.functions import expr as E
@@ -76,12 +77,12 @@ def within_surface(spark, d):
 
 
 def segment_clearance(spark, d):
-    """Clearance of segments between marked points of following ids."""
+    """Clearance of segments between marked points of following ids in a group."""
     from pyspark.sql import Window
 
     p = _points(spark, d)
-    w = Window.orderBy("id")
-    ends = p.where("hetero AND id < 200").select("id", *[F.col(c).alias(f"a{c}") for c in "xyz"], *[F.lead(c).over(w).alias(f"b{c}") for c in "xyz"]).where("bx IS NOT NULL")
+    w = Window.partitionBy("grp").orderBy("id")
+    ends = p.where("hetero").select("id", *[F.col(c).alias(f"a{c}") for c in "xyz"], *[F.lead(c).over(w).alias(f"b{c}") for c in "xyz"]).where("bx IS NOT NULL")
     return J.segment_clearances(ends, p.where("NOT hetero").select("id", "x", "y", "z", "r"), 0.02).select("id", _r("clearance"))
 
 
@@ -114,8 +115,8 @@ def voxel_keys(spark, d):
 
 
 def exposed_area(spark, d):
-    """Exposed area of small spheres, by group."""
-    p = _points(spark, d).where("id < 120").select("id", "grp", "x", "y", "z", "r")
+    """Exposed area of spheres, by group."""
+    p = _points(spark, d).select("id", "grp", "x", "y", "z", "r")
     return A.exposed_area(p, 0.02, 64).groupBy("grp").agg(F.sum("hidden").alias("hidden"), F.round(F.sum("area"), 6).alias("area"))
 
 
@@ -144,7 +145,7 @@ def rigid_transform(spark, d):
 
 def radius_fallback(spark, d):
     """A price for each line item: by part and supplier, else by part, else a default."""
-    items = T.table(spark, d, "lineitem").where("l_quantity > 45").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    items = T.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     fine = T.table(spark, d, "lineitem").where("l_discount > 0.09").groupBy("l_partkey", "l_suppkey").agg(F.max("l_tax").alias("value"))
     coarse = T.table(spark, d, "part").where("p_size < 20").select(F.col("p_partkey").alias("l_partkey"), F.col("p_retailprice").alias("value"))
     return J.first_match(items, [(fine, ["l_partkey", "l_suppkey"]), (coarse, ["l_partkey"])], "value", F.lit(-1.0)).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "value")
@@ -186,21 +187,21 @@ def set_jaccard(spark, d):
 
 def _edges(spark, d):
     """Edges between event types that a user has on one day: distance is the difference of their least values."""
-    e = T.table(spark, d, "events").where("user_id < 40").groupBy(F.to_date("ts").alias("frame"), "user_id", "event_type").agg(F.min("value").alias("v"))
+    e = T.table(spark, d, "events").groupBy(F.to_date("ts").alias("frame"), "user_id", "event_type").agg(F.min("value").alias("v"))
     a = e.select("frame", "user_id", F.col("event_type").alias("source"), F.col("v").alias("va"))
     b = e.select("frame", "user_id", F.col("event_type").alias("target"), F.col("v").alias("vb"))
     both = a.join(b, ["frame", "user_id"]).where("source < target")
     return both.select("frame", "source", "target", F.when(F.col("user_id") % 2 == 0, "even").otherwise("odd").alias("kind"), F.abs(F.col("va") - F.col("vb")).alias("distance")).where("distance <= 20")
 
 
-EDGES_SQL = """e AS (SELECT ts::DATE AS frame, user_id, event_type, min(value) AS v FROM events WHERE user_id < 40 GROUP BY ALL),
+EDGES_SQL = """e AS (SELECT ts::DATE AS frame, user_id, event_type, min(value) AS v FROM events GROUP BY ALL),
 edges AS (SELECT a.frame, a.event_type AS source, b.event_type AS target, CASE WHEN a.user_id % 2 = 0 THEN 'even' ELSE 'odd' END AS kind, abs(a.v - b.v) AS distance
   FROM e a JOIN e b ON a.frame = b.frame AND a.user_id = b.user_id AND a.event_type < b.event_type WHERE abs(a.v - b.v) <= 20)"""
 
 
 def persistent_edges(spark, d):
     edges = _edges(spark, d)
-    nodes = T.table(spark, d, "events").where("user_id < 40").select(F.to_date("ts").alias("frame"), F.col("event_type").alias("node"))
+    nodes = T.table(spark, d, "events").select(F.to_date("ts").alias("frame"), F.col("event_type").alias("node"))
     return A.persistent_edges(edges, nodes).select("source", "target", "contact_frames", "eligible_frames", "kind", _r("occupancy"), _r("mean_distance"))
 
 
@@ -210,7 +211,7 @@ def edge_occupancy(spark, d):
 
 def shared_bridges(spark, d):
     """Suppliers that share a part: pairs and the number of parts."""
-    items = T.table(spark, d, "lineitem").where("l_quantity >= 48").select(F.col("l_suppkey").alias("site"), F.col("l_partkey").alias("via"))
+    items = T.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("site"), F.col("l_partkey").alias("via"))
     return J.bridges(items, "site", "via")
 
 
@@ -239,7 +240,7 @@ def profile_summary(spark, d):
 
 
 def profile_resistance(spark, d):
-    return A.resistance(T.profiles(spark, d), ["profile"]).select("profile", "occluded", _r("resistance_integral", 8), _r("conductance", 6))
+    return A.resistance(T.profiles(spark, d), ["profile"]).select("profile", "occluded", _r("resistance_integral", 8), *[_r(c, 6) for c in ("geometric", "conductance", "corrected")])
 
 
 def profile_features(spark, d):
@@ -247,7 +248,11 @@ def profile_features(spark, d):
 
 
 def axial_energy(spark, d):
-    return A.free_energy(T.series(spark, d), 5.0, 0.0, 100.0, 10.0).select("bin", "n", "centre", _r("energy"))
+    """Free energy of users' values, with an interval from five blocks of each user's frames."""
+    from gridloom.functions import expr as E
+
+    rows = T.series(spark, d).withColumn("block", E.block_of(F.col("frame"), F.count("*").over(Window.partitionBy("key")), 5))
+    return A.free_energy(rows, 5.0, 0.0, 100.0, 10.0, 5).select("bin", "n", "centre", _r("energy"), _r("low"), _r("high"))
 
 
 def cutoff_sensitivity(spark, d):
@@ -267,7 +272,7 @@ def component_decisions(spark, d):
 
 
 def even_sample(spark, d):
-    return A.even_sample(T.profiles(spark, d).where("profile < 200"), ["profile"], "i", "r", 5).select("profile", "i", "r")
+    return A.even_sample(T.profiles(spark, d), ["profile"], "i", "r", 5).select("profile", "i", "r")
 
 
 def void_classes(spark, d):
@@ -287,11 +292,11 @@ def cross_correlation(spark, d):
 
 
 def _frames(spark, d):
-    items = T.table(spark, d, "lineitem").where("l_suppkey <= 12")
+    items = T.table(spark, d, "lineitem")
     return items.groupBy(F.year("l_shipdate").cast("long").alias("frame"), F.col("l_suppkey").alias("node")).agg((F.avg("l_extendedprice") / 10000).alias("x"), F.avg("l_quantity").alias("y"), (F.avg("l_tax") * 100).alias("z"))
 
 
-FRAMES_SQL = """f AS (SELECT year(l_shipdate)::BIGINT AS frame, l_suppkey AS node, avg(l_extendedprice) / 10000 AS x, avg(l_quantity) AS y, avg(l_tax) * 100 AS z FROM lineitem WHERE l_suppkey <= 12 GROUP BY ALL),
+FRAMES_SQL = """f AS (SELECT year(l_shipdate)::BIGINT AS frame, l_suppkey AS node, avg(l_extendedprice) / 10000 AS x, avg(l_quantity) AS y, avg(l_tax) * 100 AS z FROM lineitem GROUP BY ALL),
 m AS (SELECT node, avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM f GROUP BY node)"""
 
 QUERIES = {f.__name__: f for f in (
@@ -313,7 +318,7 @@ ORACLE_SQL = {
       SELECT l_id, r_id, round(sqrt(u * u + v * v + w * w), 9) AS distance FROM n WHERE sqrt(u * u + v * v + w * w) <= 0.05""",
     "nearest_surface": f"WITH {T.POINTS_SQL} SELECT b.id, arg_min(a.id, struct_pack(d := {DIST} - a.r, i := a.id)) AS nearest, round(min({DIST} - a.r), 9) AS clearance FROM points a JOIN points b ON NOT a.hetero AND b.hetero GROUP BY b.id",
     "within_surface": f"WITH {T.POINTS_SQL} SELECT b.id, a.id AS sphere, round({DIST} - a.r, 9) AS clearance FROM points a JOIN points b ON NOT a.hetero AND b.hetero WHERE {DIST} - a.r <= 0.05",
-    "segment_clearance": f"""WITH {T.POINTS_SQL}, s AS (SELECT id, x AS ax, y AS ay, z AS az, lead(x) OVER (ORDER BY id) AS bx, lead(y) OVER (ORDER BY id) AS by_, lead(z) OVER (ORDER BY id) AS bz FROM points WHERE hetero AND id < 200),
+    "segment_clearance": f"""WITH {T.POINTS_SQL}, s AS (SELECT id, x AS ax, y AS ay, z AS az, lead(x) OVER w AS bx, lead(y) OVER w AS by_, lead(z) OVER w AS bz FROM points WHERE hetero WINDOW w AS (PARTITION BY grp ORDER BY id)),
       t AS (SELECT s.*, p.x, p.y, p.z, p.r, (bx-ax)*(bx-ax)+(by_-ay)*(by_-ay)+(bz-az)*(bz-az) AS l2 FROM s JOIN points p ON NOT p.hetero WHERE bx IS NOT NULL),
       u AS (SELECT *, CASE WHEN l2 > 0 THEN greatest(0, least(1, ((x-ax)*(bx-ax)+(y-ay)*(by_-ay)+(z-az)*(bz-az)) / l2)) ELSE 0 END AS k FROM t),
       v AS (SELECT id, sqrt((x-ax-k*(bx-ax))**2 + (y-ay-k*(by_-ay))**2 + (z-az-k*(bz-az))**2) - r AS gap FROM u)
@@ -330,7 +335,7 @@ ORACLE_SQL = {
     "voxel_keys": f"""WITH {T.POINTS_SQL}, k AS (SELECT id, round_even(x / 0.05::DOUBLE, 0)::BIGINT AS ex, round_even(y / 0.05::DOUBLE, 0)::BIGINT AS ey, round_even(z / 0.05::DOUBLE, 0)::BIGINT AS ez,
       floor(x / 0.05::DOUBLE + 0.5)::BIGINT AS ux, floor(y / 0.05::DOUBLE + 0.5)::BIGINT AS uy, floor(z / 0.05::DOUBLE + 0.5)::BIGINT AS uz FROM points)
       SELECT *, ((ex + 1048576) << 42) | ((ey + 1048576) << 21) | (ez + 1048576) AS key FROM k""",
-    "exposed_area": f"""WITH {T.POINTS_SQL}, p AS (SELECT id, grp, x, y, z, r + 0.02::DOUBLE AS r FROM points WHERE id < 120),
+    "exposed_area": f"""WITH {T.POINTS_SQL}, p AS (SELECT id, grp, x, y, z, r + 0.02::DOUBLE AS r FROM points),
       s AS (SELECT k, sqrt(1 - zz * zz) * cos({3.141592653589793 * (1 + 5**0.5)!r}::DOUBLE * (k + 0.5)) AS dx, sqrt(1 - zz * zz) * sin({3.141592653589793 * (1 + 5**0.5)!r}::DOUBLE * (k + 0.5)) AS dy, zz AS dz FROM (SELECT range AS k, 1 - 2 * (range + 0.5::DOUBLE) / 64 AS zz FROM range(64))),
       h AS (SELECT DISTINCT a.id, k FROM p a JOIN p b ON a.id <> b.id AND {DIST} < a.r + b.r CROSS JOIN s WHERE dx * (b.x - a.x) + dy * (b.y - a.y) + dz * (b.z - a.z) > (a.r * a.r + (b.x-a.x)*(b.x-a.x) + (b.y-a.y)*(b.y-a.y) + (b.z-a.z)*(b.z-a.z) - b.r * b.r) / (2 * a.r) + 1e-10),
       c AS (SELECT p.id, p.grp, p.r, count(k) AS hidden FROM p LEFT JOIN h ON p.id = h.id GROUP BY ALL)
@@ -339,7 +344,7 @@ ORACLE_SQL = {
     "covariances": f"WITH {T.POINTS_SQL} SELECT grp, " + ", ".join(f"round(covar_pop({a}, {b}), 9) AS c_{a}{b}" for a, b in ("xx", "xy", "xz", "yy", "yz", "zz")) + " FROM points GROUP BY grp",
     "rigid_transform": f"WITH {T.POINTS_SQL}, m AS (SELECT id, x, y, z, 1 - y AS mx, 2 + x AS my, 3 + z AS mz FROM points) SELECT id, {_D('mx')}, {_D('my')}, {_D('mz')}, round(sqrt((mx-x)*(mx-x)+(my-y)*(my-y)+(mz-z)*(mz-z)), 9) AS moved FROM m",
     "radius_fallback": """WITH f AS (SELECT l_partkey, l_suppkey, max(l_tax) AS v FROM lineitem WHERE l_discount > 0.09 GROUP BY ALL), c AS (SELECT p_partkey, p_retailprice AS v FROM part WHERE p_size < 20)
-      SELECT l_orderkey, l_linenumber, l.l_partkey, l.l_suppkey, l_extendedprice, coalesce(f.v, c.v, -1) AS value FROM lineitem l LEFT JOIN f ON l.l_partkey = f.l_partkey AND l.l_suppkey = f.l_suppkey LEFT JOIN c ON l.l_partkey = c.p_partkey WHERE l_quantity > 45""",
+      SELECT l_orderkey, l_linenumber, l.l_partkey, l.l_suppkey, l_extendedprice, coalesce(f.v, c.v, -1) AS value FROM lineitem l LEFT JOIN f ON l.l_partkey = f.l_partkey AND l.l_suppkey = f.l_suppkey LEFT JOIN c ON l.l_partkey = c.p_partkey""",
     "matched_split": "SELECT c_mktsegment, count(*) AS n, c_custkey IN (SELECT o_custkey FROM orders) AS matched FROM customer GROUP BY ALL",
     "paired_years": """WITH o AS (SELECT year(o_orderdate)::BIGINT AS year, c_mktsegment AS s, avg(o_totalprice) AS v FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL)
       SELECT a.year, round(a.v, 2) AS left_value, round(b.v, 2) AS right_value, round(b.v - a.v, 2) AS difference FROM o a JOIN o b ON a.year = b.year AND a.s = 'BUILDING' AND b.s = 'MACHINERY'""",
@@ -352,13 +357,13 @@ ORACLE_SQL = {
     "set_jaccard": f"""WITH {T.MEMBERS_SQL}, n AS (SELECT frame, count(*) AS n FROM members GROUP BY frame), o AS (SELECT a.frame AS a, b.frame AS b, count(*) AS shared FROM members a JOIN members b ON a.frame < b.frame AND a.member = b.member GROUP BY ALL)
       SELECT a, b, shared, round(shared / (x.n + y.n - shared)::DOUBLE, 9) AS jaccard FROM o JOIN n x ON x.frame = a JOIN n y ON y.frame = b""",
     "persistent_edges": f"""WITH {EDGES_SQL}, c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY frame, source, target ORDER BY distance, kind) AS n FROM edges) WHERE n = 1),
-      k AS (SELECT source, target, kind, row_number() OVER (PARTITION BY source, target ORDER BY count(*) DESC, kind) AS n FROM c GROUP BY source, target, kind), o AS (SELECT DISTINCT ts::DATE AS frame, event_type AS node FROM events WHERE user_id < 40),
+      k AS (SELECT source, target, kind, row_number() OVER (PARTITION BY source, target ORDER BY count(*) DESC, kind) AS n FROM c GROUP BY source, target, kind), o AS (SELECT DISTINCT ts::DATE AS frame, event_type AS node FROM events),
       t AS (SELECT source, target, count(*) AS contact_frames, avg(distance) AS mean_distance FROM c GROUP BY ALL),
       x AS (SELECT t.*, (SELECT count(*) FROM o a JOIN o b ON a.frame = b.frame WHERE a.node = t.source AND b.node = t.target) AS eligible_frames FROM t)
       SELECT x.source, x.target, contact_frames, eligible_frames, k.kind, round(contact_frames / eligible_frames::DOUBLE, 9) AS occupancy, {_D('mean_distance')} FROM x JOIN k ON x.source = k.source AND x.target = k.target AND k.n = 1 WHERE contact_frames / eligible_frames::DOUBLE >= 0.5""",
     "edge_occupancy": f"""WITH {EDGES_SQL}, f AS (SELECT kind, source, target, frame, count(*) AS n, min(distance) AS d FROM edges GROUP BY ALL)
       SELECT kind, source, target, count(*) AS frames, round(count(*) / 30::DOUBLE, 9) AS occupancy, round(avg(n), 9) AS mean_count, round(min(d), 9) AS min_value FROM f GROUP BY ALL""",
-    "shared_bridges": "WITH s AS (SELECT DISTINCT l_suppkey AS site, l_partkey AS via FROM lineitem WHERE l_quantity >= 48) SELECT a.site AS a, b.site AS b, count(DISTINCT a.via) AS shared FROM s a JOIN s b ON a.via = b.via AND a.site < b.site GROUP BY ALL",
+    "shared_bridges": "WITH s AS (SELECT DISTINCT l_suppkey AS site, l_partkey AS via FROM lineitem) SELECT a.site AS a, b.site AS b, count(DISTINCT a.via) AS shared FROM s a JOIN s b ON a.via = b.via AND a.site < b.site GROUP BY ALL",
     "group_matrix": f"WITH {CONTACT_SQL} SELECT least(source % 3, target % 3) AS group_a, greatest(source % 3, target % 3) AS group_b, count(*) AS edges, round(sum(weight), 9) AS strength FROM net WHERE source % 3 <> target % 3 GROUP BY ALL",
     "series_description": f"""WITH {T.SERIES_SQL} SELECT kind, count(*) AS n, count(s) AS observed, count(*) - count(s) AS missing, 1.0::DOUBLE AS coverage, round(avg(s), 6) AS mean, round(stddev_samp(s), 6) AS sd, round(quantile_cont(s, 0.5), 6) AS median,
       round(quantile_cont(s, 0.025), 6) AS q025, round(quantile_cont(s, 0.975), 6) AS q975, round(min(s), 6) AS min_value, round(max(s), 6) AS max_value FROM series GROUP BY kind""",
@@ -369,10 +374,12 @@ ORACLE_SQL = {
       SELECT profile, count(*) AS points, arg_min(i, struct_pack(r := r, i := i)) AS bottleneck, round(min(r), 4) AS min_radius, round(avg(r), 4) AS mean_radius, round(coalesce(sum(abs(s2 - s)), 0), 4) AS length, round(coalesce(sum(pi() * (r * r + r2 * r2) / 2 * abs(s2 - s)), 0), 4) AS volume FROM l GROUP BY profile""",
     "profile_resistance": f"""WITH {T.PROFILES_SQL}, l AS (SELECT *, lead(s) OVER w AS s2, lead(r) OVER w AS r2 FROM profiles WINDOW w AS (PARTITION BY profile ORDER BY i)),
       g AS (SELECT profile, min(r) <= 0 AS occluded, coalesce(sum((1 / (pi() * r * r) + 1 / (pi() * r2 * r2)) / 2 * abs(s2 - s)), 0) AS q, arg_min(r, i) AS ra, arg_max(r, i) AS rz FROM l GROUP BY profile)
-      SELECT profile, occluded, round(q, 8) AS resistance_integral, round(100 / (q + 1 / (4 * ra) + 1 / (4 * rz)), 6) AS conductance FROM g""",
+      SELECT profile, occluded, round(q, 8) AS resistance_integral, round(CASE WHEN q > 0 THEN 100 / q END, 6) AS geometric, round(100 / (q + 1 / (4 * ra) + 1 / (4 * rz)), 6) AS conductance, round(CASE WHEN q > 0 THEN 100 / q / 5.594::DOUBLE END, 6) AS corrected FROM g""",
     "profile_features": f"WITH {T.PROFILES_SQL} SELECT profile, round(min(r), 6) AS r_min, round(max(r), 6) AS r_max, round(avg(r), 6) AS r_mean, round(var_pop(r), 6) AS r_var, round(count(*) FILTER (r < 10) / count(*)::DOUBLE, 6) AS narrow_fraction FROM profiles GROUP BY profile",
-    "axial_energy": f"""WITH {T.SERIES_SQL}, c AS (SELECT floor(s / 5)::BIGINT AS bin, count(*) AS n FROM series WHERE s >= 0 AND s < 100 GROUP BY ALL), d AS (SELECT *, (bin + 0.5) * 5::DOUBLE AS centre FROM c)
-      SELECT bin, n, centre, round(-ln(n / (SELECT avg(n) FROM d WHERE centre <= 10 OR centre >= 90)), 9) AS energy FROM d""",
+    "axial_energy": f"""WITH {T.SERIES_SQL}, q AS (SELECT floor(s / 5)::BIGINT AS bin, least(frame * 5 // count(*) OVER (PARTITION BY key), 4) AS block, s FROM series), e AS (SELECT bin, block, count(*) AS m FROM q WHERE s >= 0 AND s < 100 GROUP BY ALL),
+      c AS (SELECT bin, sum(m)::BIGINT AS n FROM e GROUP BY bin), d AS (SELECT *, (bin + 0.5) * 5::DOUBLE AS centre FROM c), r AS (SELECT block, sum(m) FILTER (bin IN (0, 1, 18, 19)) / 4::DOUBLE AS ref FROM e GROUP BY block),
+      v AS (SELECT bin, count(*) AS k, stddev_samp(-ln(m / ref)) AS sd FROM e JOIN r USING (block) GROUP BY bin), g AS (SELECT bin, n, centre, -ln(n / (SELECT sum(n) / 4::DOUBLE FROM d WHERE centre <= 10 OR centre >= 90)) AS energy FROM d)
+      SELECT bin, n, centre, round(energy, 9) AS energy, round(energy - CASE WHEN k = 5 THEN 2.7764451051977987::DOUBLE * sd / sqrt(5) END, 9) AS low, round(energy + CASE WHEN k = 5 THEN 2.7764451051977987::DOUBLE * sd / sqrt(5) END, 9) AS high FROM g JOIN v USING (bin)""",
     "cutoff_sensitivity": f"""WITH {T.POINTS_SQL}, c AS (SELECT * FROM (VALUES ('low', 0.04::DOUBLE), ('base', 0.05::DOUBLE), ('high', 0.06::DOUBLE)) v(variant, cut)),
       p AS (SELECT least(a.grp, b.grp) AS g, greatest(a.grp, b.grp) AS h, min({DIST}) AS m FROM points a JOIN points b ON a.id < b.id AND a.grp <> b.grp GROUP BY ALL),
       q AS (SELECT variant, count(*)::DOUBLE AS e, avg(m) AS d FROM c JOIN p ON m <= cut GROUP BY variant), r AS (SELECT variant, 'edges' AS quantity, e AS value FROM q UNION ALL SELECT variant, 'mean_distance', d FROM q),
@@ -380,9 +387,9 @@ ORACLE_SQL = {
       SELECT quantity, runs, round(l, 6) AS least, round(g, 6) AS greatest, round(b, 6) AS base, round(g - l, 6) AS range, round(100 * (g - l) / abs(b), 6) AS relative_percent FROM s""",
     "component_decisions": """WITH r AS (SELECT p_partkey AS comp, p_retailprice AS volume, CASE WHEN p_retailprice < 950 THEN 'below_min_volume' WHEN p_retailprice > 1800 THEN 'above_max_volume' END AS reason FROM part)
       SELECT comp, volume, coalesce(reason, CASE WHEN row_number() OVER (PARTITION BY reason IS NULL ORDER BY volume DESC, comp) <= 100 THEN 'selected' ELSE 'component_limit' END) AS decision FROM r""",
-    "even_sample": f"""WITH {T.PROFILES_SQL}, n AS (SELECT *, count(*) OVER (PARTITION BY profile) AS n, row_number() OVER (PARTITION BY profile ORDER BY r, i) AS m FROM profiles WHERE profile < 200)
+    "even_sample": f"""WITH {T.PROFILES_SQL}, n AS (SELECT *, count(*) OVER (PARTITION BY profile) AS n, row_number() OVER (PARTITION BY profile ORDER BY r, i) AS m FROM profiles)
       SELECT profile, i, r FROM n WHERE m = 1 OR list_contains(list_transform([0, 1, 2, 3, 4], lambda j: round_even(j * (n - 1) / 4::DOUBLE, 0)::BIGINT), i)""",
-    "void_classes": f"WITH {T.POINTS_SQL} SELECT CASE WHEN abs(x) * 40 <= 6 THEN 'surface_proximal' WHEN r * 130 >= 6 THEN 'large_connected_candidate' ELSE 'buried' END AS cls, count(*) AS n FROM points GROUP BY ALL",
+    "void_classes": f"WITH {T.POINTS_SQL} SELECT CASE WHEN abs(x) * 40 <= 6 THEN 'surface_proximal' WHEN r * 130 >= 6 THEN 'large_connected_candidate' ELSE 'buried_cavity' END AS cls, count(*) AS n FROM points GROUP BY ALL",
     "dynamics": f"WITH {FRAMES_SQL} SELECT node, count(*) AS frames, round(sqrt(avg((x-mx)*(x-mx)+(y-my)*(y-my)+(z-mz)*(z-mz))), 6) AS rmsf FROM f JOIN m USING (node) GROUP BY node",
     "cross_correlation": f"""WITH {FRAMES_SQL}, o AS (SELECT frame, node, x - mx AS dx, y - my AS dy, z - mz AS dz FROM f JOIN m USING (node)),
       p AS (SELECT a.node AS a, b.node AS b, count(*) AS frames, avg(a.dx*b.dx+a.dy*b.dy+a.dz*b.dz) AS ab, avg(a.dx*a.dx+a.dy*a.dy+a.dz*a.dz) AS aa, avg(b.dx*b.dx+b.dy*b.dy+b.dz*b.dz) AS bb FROM o a JOIN o b ON a.frame = b.frame AND a.node < b.node GROUP BY ALL)

@@ -121,25 +121,67 @@ def loop_atoms(rows: DataFrame) -> DataFrame:
     )
 
 
-#: Names of single ions.
-IONS = ("NA", "K", "CL", "CA", "MG", "ZN", "MN", "FE", "CU", "CO", "NI", "CD", "LI", "CS", "BR")
+#: The elements' symbols.
+ELEMENTS = (
+    "H HE LI BE B C N O F NE NA MG AL SI P S CL AR K CA SC TI V CR MN FE CO NI CU ZN GA GE AS SE BR KR RB SR Y ZR NB MO TC RU RH PD AG CD IN SN SB TE I XE "
+    "CS BA LA CE PR ND PM SM EU GD TB DY HO ER TM YB LU HF TA W RE OS IR PT AU HG TL PB BI PO AT RN FR RA AC TH PA U NP PU AM CM BK CF ES FM MD NO LR RF DB SG BH HS MT DS RG CN NH FL MC LV TS OG"
+).split()
+#: Ions named alike as residue and as atom, by element; and those whose two names differ.
+SAME_NAME_IONS = {
+    "LI": ("LIT", "LI", "LI+"), "NA": ("SOD", "NA", "NA+"), "K": ("POT", "K", "K+"), "RB": ("RUB", "RB", "RB+"), "CS": ("CES", "CS", "CS+"), "MG": ("MG",), "CA": ("CAL", "CA"), "BA": ("BAR",),
+    "ZN": ("ZN",), "CU": ("CU",), "F": ("F", "F-"), "CL": ("CLA", "CL", "CL-"), "BR": ("BR", "BR-"), "I": ("I", "I-"),
+}
+OTHER_IONS = {("ZN2", "ZN"): "ZN", ("CD2", "CD"): "CD", ("CU1", "CU"): "CU"}
+#: Names of protein carbons; two-letter symbols that begin no carbon's or nitrogen's name, and those that do.
+CARBONS = "C CA CB CD CD1 CD2 CE CE1 CE2 CE3 CG CG1 CG2 CH2 CZ CZ2 CZ3".split()
+CLEAR_SYMBOLS, SHARED_SYMBOLS = ("CL", "BR", "FE", "MG", "MN", "ZN", "LI", "CU", "SE"), ("CA", "NA", "CO", "NI")
 WATERS = ("HOH", "WAT", "SOL", "TIP3", "TIP4", "SPC", "H2O")
 
 
-def is_ion(name: Column, resname: Column) -> Column:
-    """A lone ion: the atom's name and its residue's are the same ion (so CA of a residue is none)."""
-    bare = lambda c: F.regexp_replace(F.upper(F.trim(c)), "[0-9+-]", "")
-    return bare(name).isin(*IONS) & (bare(name) == bare(resname))
-
-
 def is_water(resname: Column) -> Column:
     return F.upper(F.trim(resname)).isin(*WATERS)
 
 
-def infer_element(name: Column, resname: Column) -> Column:
-    """An element from an atom's name: a lone ion's own, else the first letter."""
-    bare = F.regexp_replace(F.upper(F.trim(name)), "[^A-Z]", "")
-    return F.when(is_ion(name, resname), bare).otherwise(F.substring(bare, 1, 1))
+def _ion_element(name: Column, resname: Column) -> Column:
+    """The element of a lone ion, from the atom's and the residue's names together; null for all else."""
+    alike = [F.when((name == resname) & name.isin(*names), symbol) for symbol, names in SAME_NAME_IONS.items()]
+    return F.coalesce(*alike, *[F.when((resname == r) & (name == n), symbol) for (r, n), symbol in OTHER_IONS.items()])
+
+
+def _explicit(element: Column | None) -> Column:
+    """The element column's symbol without charge signs and digits, if it is one."""
+    if element is None:
+        return F.lit(None).cast("string")
+    bare = F.regexp_replace(F.upper(F.coalesce(element, F.lit(""))), "[^A-Z]", "")
+    return F.when(bare.isin(*ELEMENTS), bare)
+
+
+def infer_element(name: Column, resname: Column, element: Column | None = None) -> Column:
+    """An atom's element, in upper case: the first rule that says one.
+
+    The element column, if it holds a symbol; a lone ion's names; C for an empty name; then, after leading digits are taken
+    off: protein carbons' names (but CA of residue CA); two-letter symbols that begin no carbon's or nitrogen's name; others
+    only where residue and atom bear that symbol; the first letter.
+    """
+    atom, residue = F.upper(F.trim(F.coalesce(name, F.lit("")))), F.upper(F.trim(F.coalesce(resname, F.lit(""))))
+    rest = F.regexp_replace(atom, "^[0-9]+", "")
+    two = F.substring(rest, 1, 2)
+    return F.coalesce(
+        _explicit(element),
+        _ion_element(atom, residue),
+        F.when(atom == "", "C"),
+        F.when(rest.isin(*CARBONS) & (residue != "CA"), "C"),
+        F.when(two.isin(*CLEAR_SYMBOLS), two),
+        F.when(rest.isin(*SHARED_SYMBOLS) & (rest == residue), rest),
+        F.when(rest != "", F.substring(rest, 1, 1)),
+        F.lit("C"),
+    )
+
+
+def is_ion(name: Column, resname: Column, element: Column | None = None) -> Column:
+    """A lone ion: both names are one's, and the element column, if it holds a symbol, doesn't say otherwise."""
+    symbol = _ion_element(F.upper(F.trim(name)), F.upper(F.trim(resname)))
+    return F.coalesce(symbol.isNotNull() & (F.coalesce(_explicit(element), symbol) == symbol), F.lit(False))
 
 
 def linked_groups(atoms: DataFrame, reach: float = 1.75) -> DataFrame:

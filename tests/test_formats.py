@@ -42,8 +42,11 @@ def test_loop_rows(spark, tmp_path):
 
 
 def test_elements(spark):
-    df = spark.createDataFrame([("CA", "ALA"), ("CA", "CA"), ("1HB", "ALA"), ("NA+", "NA"), ("OW", "SOL")], "n string, r string")
-    assert [r[0] for r in df.select(M.infer_element(F.col("n"), F.col("r"))).collect()] == ["C", "CA", "H", "NA", "O"]
+    df = spark.createDataFrame([("CA", "ALA"), ("CA", "CA"), ("1HB", "ALA"), ("NA+", "NA+"), ("OW", "SOL"), ("SOD", "SOD"), ("FE", "HEM"), ("CD", "CD2"), ("CD", "PRO"), ("NA", "HEM"), ("", "X"), ("CL1", "LIG")], "n string, r string")
+    assert [r[0] for r in df.select(M.infer_element(F.col("n"), F.col("r"))).collect()] == ["C", "CA", "H", "NA", "O", "NA", "FE", "CD", "C", "N", "C", "CL"]
+    given = spark.createDataFrame([("HG", "CYS", "HG"), ("X", "X", "Zn2+"), ("CA", "CA", "C"), ("CA", "CA", "?")], "n string, r string, e string")
+    names = [F.col(c) for c in "nre"]
+    assert [tuple(r) for r in given.select(M.infer_element(*names), M.is_ion(*names)).collect()] == [("HG", False), ("ZN", False), ("C", False), ("CA", True)]
     assert df.where(M.is_water(F.col("r"))).count() == 1
 
 

@@ -117,10 +117,40 @@ def test_correlation_time_of_an_autoregression():
     assert S.statistical_inefficiency(x) == pytest.approx((1 + phi) / (1 - phi), rel=0.15)
     error, _ = S.blocking_error(x)
     assert error == pytest.approx(math.sqrt(9 * x.var() / len(x)), rel=0.35)
-    assert S.sampling_uncertainty(np.ones(50))["status"] == "constant_series"
-    assert S.sampling_uncertainty(x[:10])["status"] == "insufficient_frames"
-    low, high = S.moving_block_bootstrap(x, 100)
-    assert low < x.mean() < high
+    assert S.sampling_uncertainty(np.ones(50))["status"] == "unavailable_observed_constant"
+    assert S.sampling_uncertainty(x[:10])["status"] == "unavailable_too_few_frames"
+    assert S.sampling_uncertainty(x[:100], regular=False)["interval_status"] == "unavailable_irregular_timestamps"
+    assert S.sampling_uncertainty(np.append(x[:100], np.nan))["status"] == "unavailable_missing_frames"
+    short, long = S.sampling_uncertainty(x[:60]), S.sampling_uncertainty(x[:5000])
+    assert (short["status"], short["interval_status"], short["low"]) == ("estimated", "insufficient_blocks", None)
+    assert long["interval_status"] == "estimated" and long["effective"] == pytest.approx(5000 / long["tau"]) and long["low"] < long["mean"] < long["high"] and long["error"] > 0
+    low, high, spread = S.moving_block_bootstrap(x, 100)
+    assert low < x.mean() < high and spread > 0
+
+
+#: 99 % points of chi-squared with 1, 2, ... degrees of freedom.
+CHI2_99 = (6.634896601021213, 9.210340371976182, 11.344866730144373, 13.276704135987622, 15.08627246938899, 16.811893829770927, 18.475306906582357, 20.090235029663233, 21.665994333461924, 23.209251158954356)
+
+
+def test_blocking_by_its_formulas():
+    rng = np.random.default_rng(12)
+    for n in (64, 37, 1000, 5):
+        x = np.cumsum(rng.standard_normal(n)) * 0.2 + rng.standard_normal(n)
+        levels, now = [], x.tolist()
+        while len(now) >= 2:
+            mean = sum(now) / len(now)
+            var = sum((v - mean) ** 2 for v in now) / len(now)
+            gamma = sum((a - mean) * (b - mean) for a, b in zip(now, now[1:])) / len(now)
+            levels.append((len(now), var, gamma))
+            now = [(now[i] + now[i + 1]) / 2 for i in range(0, len(now) - 1, 2)]
+        want = len(levels) - 1
+        for k in range(len(levels)):
+            if sum(m * (g / v) ** 2 for m, v, g in levels[k:] if v > 0) < CHI2_99[k]:
+                want = k
+                break
+        error, level = S.blocking_error(x)
+        assert level == want and error == pytest.approx(math.sqrt(levels[want][1] / levels[want][0]), rel=1e-12)
+    assert S.blocking_error(np.array([0.0, 1.0] * 32)) == (0.0, 1)
 
 
 def test_kmeans_and_diffusion():
@@ -128,8 +158,13 @@ def test_kmeans_and_diffusion():
     labels, _ = S.kmeans(rows, 2)
     assert labels.tolist() == [0, 1, 0, 1, 0]
     walk = np.cumsum(np.random.default_rng(3).standard_normal(20_000))
-    d, low, high = S.collective_diffusion(walk, 1.0)
-    assert low <= d <= high or abs(d - 0.5) < 0.2
+    got = S.collective_diffusion(walk, 1.0)
+    assert got["low"] <= got["d"] <= got["high"] and abs(got["d"] - 0.5) < 0.2
+    lags = np.arange(1, 401)
+    fit = lambda x: np.polyfit(lags, [np.mean((x[k:] - x[:-k]) ** 2) for k in lags], 1)[0] / 2
+    half = 2.7764451051977987 * np.std([fit(walk[i * 4000 : (i + 1) * 4000]) for i in range(5)], ddof=1) / math.sqrt(5)
+    assert (got["d"], got["high"]) == pytest.approx((fit(walk), fit(walk) + half), rel=1e-9)
+    assert S.collective_diffusion(walk[:5], 1.0)["status"] == "insufficient_frames" and S.collective_diffusion(walk[:12], 1.0)["low"] is None
 
 
 def test_envelope_has_no_nan(spark):
@@ -150,12 +185,22 @@ def test_bands_and_blocks():
     got = S.block_mean_bands(x)
     assert got["status"] == "estimated" and np.isnan(got["low"][2])
     assert (got["wide_low"][:2] <= got["low"][:2]).all() and (got["low"][:2] < x[:, :2].mean(0)).all() and (got["high"][:2] > x[:, :2].mean(0)).all()
-    assert S.block_mean_bands(x[:10])["status"] == "insufficient_frames"
-    assert S.disjoint_block_bootstrap(np.ones(100), 10)["status"] == "no_variation"
+    assert S.block_mean_bands(x[:10])["status"] == S.block_mean_bands(x[:30])["status"] == "insufficient_independent_blocks"
+    assert S.block_mean_bands(np.full((100, 2), np.nan))["status"] == "no_complete_coverage"
+    skew = np.exp(rng.standard_normal((800, 1)))
+    one_sided = S.block_mean_bands(skew)  # the two tails of the studentised replicates differ
+    assert one_sided["high"][0] - skew.mean() != pytest.approx(skew.mean() - one_sided["low"][0], rel=1e-3)
+    assert S.disjoint_block_bootstrap(np.ones(100), 10)["status"] == "no_variation_between_blocks"
     one_ = S.disjoint_block_bootstrap(x[:, 0], 20)
     assert one_["low"] < x[:, 0].mean() < one_["high"]
     current = S.net_current(np.ones((100, 1)), np.zeros((100, 1)), [2.0], 50.0)
-    assert current["current"] == 4.0 and current["low"] < 4.0 < current["high"]
+    assert current["current"] == 4.0 and current["low"] < 4.0 < current["high"] and current["method"] == "poisson"
+    assert current["high"] == pytest.approx((200 + 1.959963984540054 * 20) / 50, rel=1e-9)
+    burst = S.net_current(np.repeat([1.0, 0, 0, 0, 0, 0, 0, 0, 0, 0], 10)[:, None], np.zeros((100, 1)), [1.0], 1.0)
+    assert burst["method"] == "blocks" and burst["high"] == pytest.approx(10 + 2.2621571627409915 * 10, rel=1e-9)
+    none_ = S.net_current(np.zeros((100, 1)), np.zeros((100, 1)), [1.0], 1.0)
+    assert none_["high"] == pytest.approx(3.688879454113936, rel=1e-9) and none_["low"] == -none_["high"]
+    assert S.dispersion_interval(np.ones(15))[0] == 1.0
 
 
 def test_polyline_is_resampled_along_its_length(spark):
