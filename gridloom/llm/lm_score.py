@@ -8,7 +8,7 @@ Next-subword probabilities have two parts. Counts of neighbouring subwords over
 smoothed. Self-attention over the subwords before (queries, keys and values are linear in count-based embeddings, and there is a
 learned bias for each distance) raises or lowers classes of next subwords: P(next | before) is P(next | last) times
 exp(attention's logit of next's class), normalised. The attention's weights are trained in numpy by Adam on all windows of all
-training texts, each partition by itself, averaged between rounds. Windows are cut text by text, so that every subword and
+training texts, each window once: in two rounds, each partition by itself, averaged after each round. Windows are cut text by text, so that every subword and
 every end is predicted in one of them, short texts are filled up. A text is scored in windows of :data:`WINDOW` subwords that overlap: each scores its last
 :data:`STRIDE` subwords, the ones before are context, so every subword and the end are scored once.
 
@@ -35,15 +35,21 @@ from gridloom.llm.ann import kmeans
 from gridloom.llm.language_id import held_out
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-ACTIVE, OFTEN = 3072, 65_536
+OWN, SHARED, OFTEN = 2047, 1024, 65_536
 WINDOW, STRIDE = 32, 24
 #: Fills windows up: an end as context, nothing to predict.
 PAD = 65_535
-#: Windows trained on in one run of Adam.
-RUN = 4096
-DIM, VALUES, CLASSES = 32, 32, 64
-SLICE_BYTES, RANGE_BYTES = 10 << 20, 32 << 20
+#: Neighbouring subwords that are counted at once, and words whose subwords a Python worker remembers.
+PAIRS, REMEMBERED = 6_000_000, 1_000_000
+#: Windows trained on in one run of Adam; rounds, between which weights are averaged and to which runs are dealt in turn.
+RUN, ROUNDS = 4096, 2
+DIM, VALUES, CLASSES = 16, 16, 40
+SLICE_BYTES, RANGE_BYTES = 5 << 20, 32 << 20
 UNIT = 64
+#: Logits are held within this, where exponentials in single precision stay in range; training keeps far from that.
+LIMIT = 40
+_GAP = np.arange(WINDOW)[:, None] - np.arange(WINDOW)
+_LATER = np.where(_GAP >= 0, 0, -1e9).astype(np.float32)
 
 
 class Subwords:
@@ -55,6 +61,8 @@ class Subwords:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines())}
         self.size = max(ranks.values()) + 1
         self._encode = tiktoken.Encoding("own", pat_str=r"\S+|\s+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+        # hashes of words, rising; where each one's subwords begin, and how many they are; the subwords
+        self.memory = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
 
     def encode(self, word: bytes) -> list[int]:
         word = b" " + word
@@ -63,6 +71,31 @@ class Subwords:
         return [i for a in range(0, len(word), UNIT) for i in self._encode(word[a : a + UNIT])]
 
 
+    def encoded(self, hashes: np.ndarray, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Subword ids of different words end to end, and the number of each one's. Words seen before are remembered by hash."""
+        known, begin, size, ids = self.memory
+        at = np.minimum(np.searchsorted(known, hashes), max(len(known) - 1, 0))
+        new = np.flatnonzero(known[at] != hashes) if len(known) else np.arange(len(hashes))
+        if len(new):
+            data = raw.tobytes()
+            lists = [self.encode(data[a:b]) for a, b in zip(start[new].tolist(), end[new].tolist(), strict=True)]
+            many = np.array([len(x) for x in lists], np.int32)
+            fresh = np.fromiter((i for x in lists for i in x), np.int32, many.sum())
+            if len(known) + len(new) > REMEMBERED:  # all of this call's words are remembered anyhow
+                old = np.flatnonzero(np.isin(known, hashes))
+                keep = np.repeat(begin[old], size[old]) + np.arange(size[old].sum()) - np.repeat(np.cumsum(size[old]) - size[old], size[old])
+                known, ids, size = known[old], ids[keep], size[old]
+                begin = np.cumsum(size) - size
+            begin = np.concatenate([begin, len(ids) + np.cumsum(many) - many])
+            known, size, ids = np.concatenate([known, hashes[new]]), np.concatenate([size, many]), np.concatenate([ids, fresh])
+            turn = np.argsort(known, kind="stable")
+            known, begin, size = known[turn], begin[turn], size[turn]
+            self.memory = known, begin, size, ids
+            at = np.searchsorted(known, hashes)
+        n = size[at].astype(np.int64)
+        return ids[np.repeat(begin[at], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)], n
+
+
 _subwords: dict[int, Subwords] = {}
 
 
@@ -98,13 +131,10 @@ class Words:
 
     def pieces(self, table: Subwords, some: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Subword ids of the distinct words end to end, and n + 1 offsets; of words not in ``some`` none."""
-        data, encode = self.raw.tobytes(), table.encode
-        wanted = range(len(self.hash)) if some is None else some.tolist()
-        s, e = self.start.tolist(), self.end.tolist()
-        lists = [encode(data[s[i] : e[i]]) for i in wanted]
+        wanted = np.arange(len(self.hash)) if some is None else np.asarray(some)
         sizes = np.zeros(len(self.hash), np.int64)
-        sizes[np.fromiter(wanted, np.int64, len(lists))] = [len(x) for x in lists]
-        return np.fromiter((i for x in lists for i in x), np.int32, sizes.sum()), np.concatenate([[0], np.cumsum(sizes)])
+        ids, sizes[wanted] = table.encoded(self.hash[wanted], self.raw, self.start[wanted], self.end[wanted])
+        return ids, np.concatenate([[0], np.cumsum(sizes)])
 
     def stream(self, ids: np.ndarray, at: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Subwords of all texts, each text ended by id -1: their places in the model, their ids, and n + 1 offsets."""
@@ -186,6 +216,19 @@ def subword_counts(words: DataFrame, vocabulary: bytes) -> np.ndarray:
     return out
 
 
+def places(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of each subword, then of the end (place 0), and the logarithm to 10 of each one's share of its place.
+
+    The OWN most frequent have a place of their own; the others, by falling count, are dealt to SHARED places in turn.
+    """
+    turn = np.empty(len(counts), np.int64)
+    turn[np.argsort(-counts, kind="stable")] = np.arange(len(counts))
+    place = np.where(turn < OWN, turn + 1, OWN + 1 + (turn - OWN) % SHARED).astype(np.int32)
+    some = counts + 1.0
+    share = np.log10(some / np.bincount(place, some)[place])
+    return np.append(place, np.int32(0)), np.append(share, 0.0)
+
+
 def windows_of(x: np.ndarray, offsets: np.ndarray):
     """Blocks of windows of WINDOW + 1 places in which each place of each text is predicted once; before a text stand ends, as when it is scored."""
     back = WINDOW - STRIDE
@@ -201,15 +244,23 @@ def windows_of(x: np.ndarray, offsets: np.ndarray):
 
 
 def gather(train: DataFrame, place: np.ndarray, vocabulary: bytes) -> DataFrame:
-    """Packed counts of neighbouring places (kind 0, by group of rows) and windows to train on (kind 1)."""
+    """Packed counts of neighbouring places (kind 0, by group of rows r) and windows to train on (kind 1, in round r)."""
     size = int(place.max()) + 1
     per = 128
 
     def run(batches):
         import pyarrow as pa
+        from pyspark import TaskContext
+
+        table, turn = subwords(vocabulary), TaskContext.get().partitionId()
+        total, pairs, held = np.zeros(size * size, np.int32), [], 0
+
+        def add():
+            nonlocal pairs, held
+            if pairs:
+                np.add(total, np.bincount(np.concatenate(pairs), minlength=size * size), out=total, casting="unsafe")
+            pairs, held = [], 0
 
-        table = subwords(vocabulary)
-        total = np.zeros(size * size, np.int32)
         for batch in batches:
             for part in _slices(batch):
                 w = Words(part.column("text"))
@@ -217,11 +268,16 @@ def gather(train: DataFrame, place: np.ndarray, vocabulary: bytes) -> DataFrame:
                 last = np.empty_like(x)
                 last[1:] = x[:-1]  # a text begins after an end
                 last[offsets[:-1]] = 0
-                np.add.at(total, last.astype(np.int64) * size + x, 1)
+                pairs.append(last * np.int32(size) + x)
+                held += len(x)
+                if held >= PAIRS:
+                    add()
                 del w, last
                 C.trim()
                 for whole in windows_of(x, offsets):
-                    yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([0], pa.int32()), pa.array([whole.tobytes()], pa.binary()), pa.array([b""], pa.binary())], ["kind", "r", "a", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([turn % ROUNDS], pa.int32()), pa.array([whole.tobytes()], pa.binary()), pa.array([b""], pa.binary())], ["kind", "r", "a", "b"])
+                    turn += 1
+        add()
         some = np.flatnonzero(total)
         edges = np.searchsorted(some, np.arange(0, size + per, per) * size)
         for r, (a, b) in enumerate(zip(edges, edges[1:])):
@@ -292,81 +348,100 @@ class Model:
         """Rows of one length, so that rare places don't outweigh frequent ones."""
         return (x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-9) * np.sqrt(x.shape[1]) / 2).astype(np.float32)
 
-    def forward(self, x: np.ndarray):
-        """Class logits, without counts, after each place of windows ``x``, and what a gradient needs."""
+    def _turned(self, x: np.ndarray):
+        """Embeddings of windows ``x``, their queries, keys and values, and the weights, not normalised, of what stands before each place."""
         w = self.weights
-        e = self.embed[x]
-        q = (e @ w["query"]) * np.float32(DIM**-0.5)
-        k, v = e @ w["key"], e @ w["value"]
+        e = np.take(self.embed, x, axis=0)
+        b, n = x.shape
+        turned = (e.reshape(b * n, DIM) @ np.concatenate([w["query"] * np.float32(DIM**-0.5), w["key"], w["value"]], 1)).reshape(b, n, -1)
+        q, k, v = turned[:, :, :DIM], turned[:, :, DIM : 2 * DIM], turned[:, :, 2 * DIM :]
         s = q @ k.transpose(0, 2, 1)
-        gap = np.arange(x.shape[1])[:, None] - np.arange(x.shape[1])
-        s += np.where(gap >= 0, w["distance"][np.maximum(gap, 0)], np.float32(-1e9))
-        s -= s.max(2, keepdims=True)
+        s += w["distance"][np.maximum(_GAP[:n, :n], 0)]
+        np.clip(s, np.float32(-LIMIT), np.float32(LIMIT), out=s)
+        s += _LATER[:n, :n]
         np.exp(s, out=s)
-        s /= s.sum(2, keepdims=True)
-        h = s @ v
-        return h @ w["out"] + w["bias"], (e, q, k, v, s, h, gap)
+        return e, q, k, v, s
+
+    def forward(self, x: np.ndarray) -> np.ndarray:
+        """Class logits, without counts, after each place of windows ``x``."""
+        *_, v, s = self._turned(x)
+        return (s @ v) / s.sum(2, keepdims=True) @ self.weights["out"] + self.weights["bias"]
 
-    def gradient(self, x: np.ndarray, target: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+    def gradient(self, x: np.ndarray, target: np.ndarray, with_loss: bool = False) -> tuple[float, dict[str, np.ndarray]]:
         w = self.weights
         some = target != PAD
         x, target = np.where(x == PAD, 0, x), np.where(some, target, 0)
-        z, (e, q, k, v, s, h, gap) = self.forward(x)
-        z += self.log_group[x]
-        z -= z.max(2, keepdims=True)
-        p = np.exp(z)
-        p /= p.sum(2, keepdims=True)
-        goal = self.group[target]
-        n = np.float32(max(1, np.count_nonzero(some)))
-        b, t = np.indices(target.shape)
-        loss = -(np.log(p[b, t, goal] + 1e-30) * some).sum() / n
-        p[b, t, goal] -= 1
-        p *= (some / n)[:, :, None].astype(np.float32)
-        flat = lambda a: a.reshape(-1, a.shape[-1])
-        dh = p @ w["out"].T
-        da = dh @ v.transpose(0, 2, 1)
-        ds = s * (da - (s * da).sum(2, keepdims=True))
-        dq, dk, dv = ds @ k * np.float32(DIM**-0.5), ds.transpose(0, 2, 1) @ q, s.transpose(0, 2, 1) @ dh
-        distance = np.bincount(np.maximum(gap, 0).ravel(), np.where(gap >= 0, ds.sum(0), 0).ravel(), WINDOW)
+        b, n = x.shape
+        e, q, k, v, s = self._turned(x)
+        total = s.sum(2, keepdims=True)
+        h = s @ v
+        h /= total
+        flat = h.reshape(b * n, VALUES)
+        p = flat @ w["out"]
+        p += w["bias"]
+        np.clip(p, np.float32(-LIMIT), np.float32(LIMIT), out=p)
+        p += np.take(self.log_group, x.ravel(), axis=0)
+        np.exp(p, out=p)
+        each = (some.ravel() / np.float32(max(1, np.count_nonzero(some)))).astype(np.float32)
+        share = each / p.sum(1)
+        goal = np.arange(b * n), self.group[target].ravel()
+        loss = float(-(np.log(p[goal] * share / np.maximum(each, np.float32(1e-30)) + 1e-30) * each).sum()) if with_loss else 0.0
+        p *= share[:, None]
+        p[goal] -= each
+        # what the weights' sum divides is taken from dh at once
+        dh = (p @ w["out"].T).reshape(b, n, VALUES)
+        dh /= total
+        ds = dh @ v.transpose(0, 2, 1)
+        ds -= np.einsum("bij,bij->bi", dh, h)[:, :, None]
+        ds *= s
+        turned = np.concatenate([ds @ k * np.float32(DIM**-0.5), ds.transpose(0, 2, 1) @ q, s.transpose(0, 2, 1) @ dh], 2)
+        weights = e.reshape(b * n, DIM).T @ turned.reshape(b * n, -1)
+        distance = np.bincount(np.maximum(_GAP[:n, :n], 0).ravel(), np.where(_GAP[:n, :n] >= 0, ds.sum(0), 0).ravel(), WINDOW)
         return loss, {
-            "query": flat(e).T @ flat(dq),
-            "key": flat(e).T @ flat(dk),
-            "value": flat(e).T @ flat(dv),
-            "out": flat(h).T @ flat(p),
-            "bias": p.sum((0, 1)),
+            "query": weights[:, :DIM],
+            "key": weights[:, DIM : 2 * DIM],
+            "value": weights[:, 2 * DIM :],
+            "out": flat.T @ p,
+            "bias": p.sum(0),
             "distance": distance.astype(np.float32),
         }
 
     def train(self, windows: np.ndarray, rate: float, batch: int = 64) -> None:
         """Adam over windows of WINDOW + 1 places, once, in an order that the windows' number fixes."""
         order = np.random.default_rng(len(windows)).permutation(len(windows))
-        m = {k: np.zeros_like(x) for k, x in self.weights.items()}
-        v = {k: np.zeros_like(x) for k, x in self.weights.items()}
+        names = list(self.weights)
+        shapes = [self.weights[k].shape for k in names]
+        ends = np.cumsum([self.weights[k].size for k in names])
+        flat = np.concatenate([self.weights[k].ravel() for k in names])  # the weights are views of it
+        self.weights = {k: part.reshape(shape) for k, part, shape in zip(names, np.split(flat, ends[:-1]), shapes, strict=True)}
+        m, v = np.zeros_like(flat), np.zeros_like(flat)
         for step, a in enumerate(range(0, len(order), batch), 1):
             rows = windows[np.sort(order[a : a + batch])]
-            _, g = self.gradient(rows[:, :-1], rows[:, 1:])
-            for name, x in self.weights.items():
-                m[name] = 0.9 * m[name] + 0.1 * g[name]
-                v[name] = 0.99 * v[name] + 0.01 * g[name] ** 2
-                x *= np.float32(1 - rate * 0.02)
-                x -= (rate * (m[name] / (1 - 0.9**step)) / (np.sqrt(v[name] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+            _, parts = self.gradient(rows[:, :-1], rows[:, 1:])
+            g = np.concatenate([parts[k].ravel() for k in names])
+            m += np.float32(0.1) * (g - m)
+            v += np.float32(0.01) * (g * g - v)
+            flat *= np.float32(1 - rate * 0.02)
+            flat -= np.float32(rate / (1 - 0.9**step)) * m / (np.sqrt(v * np.float32(1 / (1 - 0.99**step))) + np.float32(1e-8))
 
     def tables(self) -> tuple:
-        """What scoring needs of each place: query, key, value turned to class logits, and class chances by counts.
+        """What scoring needs: queries, keys and values of the places, the weight of each distance, what turns values into logits, and class chances by counts.
 
-        Logits are held below 80, where exponentials in single precision end; training keeps far from that.
+        Logits are held within LIMIT, as in training.
         """
         w = self.weights
         q = (self.embed @ w["query"]) * np.float32(DIM**-0.5)
-        k, v = self.embed @ w["key"], self.embed @ w["value"] @ w["out"] + w["bias"]
-        gap = np.arange(WINDOW - STRIDE, WINDOW)[:, None] - np.arange(WINDOW)
+        k, v = self.embed @ w["key"], self.embed @ w["value"]
+        gap = _GAP[WINDOW - STRIDE :]
         distance = np.where(gap >= 0, w["distance"][np.maximum(gap, 0)], np.float32(-1e9)).astype(np.float32)
         most = np.linalg.norm(q, axis=1).max() * np.linalg.norm(k, axis=1).max() + np.abs(w["distance"]).max()
-        if most > 80:
-            q, distance = q * np.float32(80 / most), np.maximum(distance * np.float32(80 / most), np.float32(-1e9))
-        return q, k, np.clip(v, -80, 80), distance, np.exp(self.log_group)
+        if most > LIMIT:
+            q, distance = q * np.float32(LIMIT / most), np.maximum(distance * np.float32(LIMIT / most), np.float32(-1e9))
+        most = np.linalg.norm(v, axis=1).max() * np.linalg.norm(w["out"], axis=0).max() + np.abs(w["bias"]).max()
+        fit = np.float32(min(1.0, LIMIT / max(most, 1e-9)))
+        return q, np.concatenate([k, v], 1), distance, w["out"] * fit, w["bias"] * fit, np.exp(self.log_group)
 
-    def log10_scores(self, x: np.ndarray, offsets: np.ndarray, batch: int = 192) -> np.ndarray:
+    def log10_scores(self, x: np.ndarray, offsets: np.ndarray, batch: int = 96) -> np.ndarray:
         """For each text the log10 probability of its places (the last one its end), each scored in one window.
 
         Before a text stand ends, as in training windows.
@@ -382,7 +457,7 @@ class Model:
         last[back + offsets[:-1]] = 0
         goal = np.append(x, np.zeros(WINDOW, np.int32))
         span, ahead = np.arange(WINDOW), np.arange(STRIDE)
-        q, k, v, distance, chance = self.tables()
+        q, kv, distance, turn, bias, chance = self.tables()
         first = offsets[text] + begin
         out = np.zeros(len(text))
         for a in range(0, len(text), batch):
@@ -392,16 +467,19 @@ class Model:
             if len(early):
                 seen[early[:, None], span] = np.where(begin[a : a + batch][early, None] - back + span < 0, 0, seen[early])
             here = seen[:, back:]
-            s = q[here] @ k[seen].transpose(0, 2, 1)
+            both = kv[seen]
+            s = q[here] @ both[:, :, :DIM].transpose(0, 2, 1)
             s += distance
             np.exp(s, out=s)
-            total = s.sum(2)
-            z = s @ v[seen]
-            z /= total[:, :, None]
-            aim = goal[at + ahead]
-            own = np.take_along_axis(z, self.group[aim][:, :, None], 2)[:, :, 0]
+            h = s @ both[:, :, DIM:]
+            h /= s.sum(2, keepdims=True)
+            z = h.reshape(-1, VALUES) @ turn
+            z += bias
+            here, aim = here.ravel(), goal[at + ahead].ravel()
+            own = z[np.arange(len(z)), self.group[aim]]
             np.exp(z, out=z)
-            score = self.log_next[here, aim] + own - np.log(np.einsum("btc,btc->bt", z, chance[here]))
+            score = self.log_next[here, aim] + own - np.log(np.einsum("ic,ic->i", z, chance[here]))
+            score = score.reshape(-1, STRIDE)
             score[ahead >= (size[text[a : a + batch]] - begin[a : a + batch])[:, None]] = 0
             out[a : a + batch] = score.sum(1, dtype=np.float64)
         return np.bincount(text, out, texts) / np.log(10)
@@ -412,14 +490,14 @@ def average(models: list[tuple[dict, int]]) -> dict:
     return {k: sum(w[k] * np.float32(n / total) for w, n in models) for k in models[0][0]}
 
 
-def fit(gathered: DataFrame, size: int, rounds: int = 2, rate: float = 0.02) -> Model:
+def fit(gathered: DataFrame, size: int, rate: float = 0.02) -> Model:
     """The model: counts from all training texts, attention from their windows."""
     import copy
     import pickle
 
     model = Model(neighbour_counts(gathered, size))
-    windows = gathered.where("kind = 1").select("a")
-    for turn in range(rounds):
+    for turn in range(ROUNDS):
+        windows = gathered.where((F.col("kind") == 1) & (F.col("r") == turn)).select("a")
         lean = copy.copy(model)
         lean.log_next = None  # only scores need it
         sent = gathered.sparkSession.sparkContext.broadcast(pickle.dumps(lean, protocol=5))
@@ -466,16 +544,9 @@ def score_texts(docs: DataFrame, train: DataFrame, vocabulary_path: str = VOCABU
     n, v, texts = words.agg(F.sum("n"), F.sum("v"), F.sum("texts")).first()
     n, v, texts = (n or 0) + (texts or 0), (v or 0) + bool(texts), texts or 0
     counts = subword_counts(words, vocabulary)
-    # place 0: end; 1: all that have no place; then the most frequent
-    top = np.argsort(-counts, kind="stable")[: ACTIVE - 2]
-    top = top[counts[top] > 0]
-    place = np.ones(len(counts) + 1, np.int32)
-    place[top] = np.arange(2, len(top) + 2)
-    place[-1] = 0
-    rest = np.where(place[:-1] == 1, counts + 1.0, 0.0)
-    log_rest = np.append(np.where(rest > 0, np.log10(np.maximum(rest, 1) / max(rest.sum(), 1)), 0.0), 0.0)
+    place, log_rest = places(counts)
     gathered = C.keep(gather(train, place, vocabulary), "gathered")
-    model = fit(gathered, len(top) + 2)
+    model = fit(gathered, int(place.max()) + 1)
     often = _often(words)
     sent, name = spark.sparkContext.broadcast(pickle.dumps((model, place, log_rest, often), protocol=5)), uuid.uuid4().hex
 

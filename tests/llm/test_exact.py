@@ -354,11 +354,19 @@ def test_gradient_of_attention():
         loss = []
         for step in (1e-2, -1e-2):
             model.weights[name][at] = old + np.float32(step)
-            loss.append(model.gradient(w[:, :-1], w[:, 1:])[0])
+            loss.append(model.gradient(w[:, :-1], w[:, 1:], with_loss=True)[0])
         model.weights[name][at] = old
         assert (loss[0] - loss[1]) / 2e-2 == pytest.approx(float(g[name][at]), rel=0.1, abs=2e-4)
 
 
+def test_every_subword_has_a_place_and_a_share():
+    counts = np.random.default_rng(2).integers(0, 50, 9000) * (np.arange(9000) < 5000)
+    place, share = lm_score.places(counts)
+    assert place[-1] == 0 and place[:-1].min() == 1 and place.max() == lm_score.OWN + lm_score.SHARED
+    assert np.bincount(place[:-1], 10 ** share[:-1])[1:] == pytest.approx(np.ones(place.max()))
+    assert np.bincount(place[:-1])[1 : lm_score.OWN + 1].max() == 1
+
+
 def test_windows_cover_every_text_once():
     rng = np.random.default_rng(9)
     texts = [np.append(rng.integers(1, 900, n), 0) for n in (0, 1, 5, 23, 24, 31, 32, 33, 200, 2000)]
@@ -378,6 +386,7 @@ def test_short_texts_in_many_partitions_train_the_attention(spark):
     place[-1] = 0
     gathered = lm_score.gather(texts, place, open(lm_score.VOCABULARY, "rb").read())
     start = lm_score.Model(lm_score.neighbour_counts(gathered, 42)).weights
+    assert {r.r for r in gathered.where("kind = 1").collect()} == {0, 1}
     after = lm_score.fit(gathered, 42).weights
     assert all((start[k] != after[k]).any() for k in ("query", "key", "value", "out"))
 
