@@ -1,16 +1,18 @@
 """Language identification by unigram pieces, summed over all segmentations.
 
 For each language there is a probability of every piece of a fixed public vocabulary (a SentencePiece model
-file; its single bytes cover any text). A text is cut into units, a space and a word in lower case (A to Z); words of more than
-:data:`UNIT_BYTES` bytes go on as further units. The probability of a unit is the sum over all its segmentations into
+file, all of it; its single bytes cover any text). A text is cut into units, a space and a word in lower case (A to Z), of
+any length. The probability of a unit is the sum over all its segmentations into
 pieces, which a forward algorithm adds up; a text's log probability is the sum over its units. The language of the
 highest one is predicted.
 
 Learning is expectation-maximisation over all training texts: forward and backward sums give the expected count of each piece in each
 language, every partition adds up its own, and sums of counts, smoothed, are the next probabilities.
 
-Each distinct unit of a batch is worked out once, many units of one length side by side in numpy. Only tables of
-vocabulary size are sent to the driver or to executors.
+Each distinct unit of a batch is worked out once: many units of one length side by side in numpy, those of more than
+:data:`SHORT` bytes one by one, in blocks of positions whose sums are handed on, so that memory stays bounded and no
+segmentation is left out. Only tables of vocabulary size, for each language, are sent to the driver or to executors; more than
+:data:`MOST_LANGUAGES` languages are an error.
 
 Null texts and texts without a letter are ``und`` with score 0. Rows with a null language are not learned from. Equal languages:
 the first by code point. The score is the share of the predicted language when log probabilities are divided by the
@@ -29,9 +31,8 @@ from pyspark.sql import functions as F
 from gridloom.llm import common as C
 from gridloom.llm.sentencepiece_codec import BYTE, CONTROL, MARK, MODEL, UNKNOWN, _fields
 
-UNIT_BYTES = 64
-#: Longer pieces are left out of the vocabulary.
-PIECE_BYTES = 16
+#: Longest unit worked out beside others, and positions of a longer one that are worked out at once.
+SHORT, POSITIONS = 64, 4096
 #: Each byte's scale in sums of products, so that few units' sums leave the range below.
 SCALE = 2.0**8
 #: Beyond these, sums are divided by themselves and the logarithm is kept.
@@ -53,7 +54,7 @@ class Pieces:
                     found[x[1].decode().replace(MARK, " ").encode()] = None
         for b in range(256):
             found[bytes([b])] = None
-        self.pieces = [p for p in found if len(p) <= PIECE_BYTES]
+        self.pieces = list(found)
         self.lengths = np.array(sorted({len(p) for p in self.pieces}))
         hashes = np.zeros(len(self.pieces), np.uint64)
         for n in self.lengths:
@@ -75,8 +76,9 @@ class Pieces:
         return out
 
     @staticmethod
-    def part(prefix: np.ndarray, begin: int, size: int) -> np.ndarray:
-        h = (prefix[begin + size] - prefix[begin]) * C.powers("down", UNIT_BYTES + 1)[begin]
+    def part(prefix: np.ndarray, begin, size: int) -> np.ndarray:
+        """Hashes of the parts of ``size`` bytes from a place, or from each of several places."""
+        h = (prefix[begin + size] - prefix[begin]) * C.powers("down", len(prefix))[begin]
         return (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB) + np.uint64(size)
 
     def slots(self, h: np.ndarray) -> np.ndarray:
@@ -101,11 +103,7 @@ def units_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     raw = np.insert(C.lower(raw), offsets[:-1], 32)  # a space before each text; white space is a space
     raw[C._IS_SPACE[raw]] = 32
     start, end, text = C.words_of(raw, offsets + np.arange(len(offsets)))
-    n = end - start + 1
-    parts = -(-n // UNIT_BYTES)
-    k = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-    begin = np.repeat(start - 1, parts) + k * UNIT_BYTES
-    return raw, begin, np.minimum(np.repeat(end, parts) - begin, UNIT_BYTES), np.repeat(text, parts)
+    return raw, start - 1, end - start + 1, text
 
 
 def distinct_units(column):
@@ -131,7 +129,9 @@ def sums(pieces: Pieces, probability: np.ndarray, raw, begin, size, counts=None)
     languages = probability.shape[1]
     logs = np.zeros((len(begin), languages))
     expected = np.zeros((len(pieces.pieces), languages)) if counts is not None else None
-    order = np.argsort(size, kind="stable")
+    for i in np.flatnonzero(size > SHORT).tolist():
+        logs[i] = long_sums(pieces, probability, raw[begin[i] : begin[i] + size[i]], None if counts is None else counts[i], expected)
+    order = np.argsort(size, kind="stable")[: np.count_nonzero(size <= SHORT)]
     cuts = np.flatnonzero(np.diff(size[order])) + 1
     for same in np.split(order, cuts):
         for at in range(0, len(same), SIDE_BY_SIDE):
@@ -143,7 +143,7 @@ def sums(pieces: Pieces, probability: np.ndarray, raw, begin, size, counts=None)
             forward = np.zeros((n + 1, len(rows), languages))
             forward[0] = 1
             shift = None  # log of what each position's sums are divided by
-            reach = PIECE_BYTES + 1
+            reach = int(pieces.lengths[-1]) + 1
             arcs = []
             for a in range(n):
                 if (ratio := _out_of_range(forward[a])) is not None:
@@ -189,6 +189,77 @@ def sums(pieces: Pieces, probability: np.ndarray, raw, begin, size, counts=None)
     return logs, expected
 
 
+def _arcs(pieces: Pieces, raw: np.ndarray, low: int, high: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each position from ``low`` to ``high`` the numbers of the pieces that begin there, and where they end."""
+    longest = int(pieces.lengths[-1])
+    part = raw[low : min(high + longest, len(raw))]
+    prefix = C.prefix_hash(part)
+    ids, ends, at = [], [], []
+    for step in pieces.lengths[pieces.lengths <= len(part)].tolist():
+        place = np.arange(min(high - low, len(part) - step + 1))
+        found = pieces.find(pieces.part(prefix, place, step))
+        some = np.flatnonzero(found >= 0)
+        ids.append(found[some])
+        ends.append(low + some + step)
+        at.append(some)
+    ids, ends, at = np.concatenate(ids), np.concatenate(ends), np.concatenate(at)
+    turn = np.argsort(at, kind="stable")
+    edges = np.searchsorted(at[turn], np.arange(high - low + 1))
+    return [(ids[turn[a:b]], ends[turn[a:b]]) for a, b in zip(edges, edges[1:])]
+
+
+def _forward(pieces: Pieces, probability: np.ndarray, raw: np.ndarray, low: int, high: int, start: np.ndarray, arcs: list) -> tuple[np.ndarray, np.ndarray]:
+    """Sums at positions from ``low`` to ``high`` and a piece beyond, divided by exp(shift), and that shift for each position."""
+    reach = int(pieces.lengths[-1]) + 1
+    sums_, shift = np.zeros((high - low + reach, probability.shape[1])), np.zeros((high - low + 1, probability.shape[1]))
+    sums_[:reach] = start
+    for k in range(high - low):
+        if (ratio := _out_of_range(sums_[k])) is not None:
+            sums_[k : k + reach] /= ratio
+            shift[k:] += np.log(ratio)
+        ids, ends = arcs[k]
+        sums_[ends - low] += sums_[k] * probability[ids]
+    return sums_, shift
+
+
+def long_sums(pieces: Pieces, probability: np.ndarray, raw: np.ndarray, counts: np.ndarray | None = None, expected: np.ndarray | None = None) -> np.ndarray:
+    """Log probability of one unit of any length in each language; with ``counts`` of it, ``expected`` is added to.
+
+    Blocks of positions are gone through once; for expected counts they are gone through again from the last to the first, each with
+    the forward sums that it began with.
+    """
+    n, languages, reach = len(raw), probability.shape[1], int(pieces.lengths[-1]) + 1
+    start, total = np.zeros((reach, languages)), np.zeros(languages)
+    start[0] = 1
+    starts = []
+    for low in range(0, n, POSITIONS):
+        high = min(low + POSITIONS, n)
+        starts.append((low, high, start, total))
+        made, shift = _forward(pieces, probability, raw, low, high, start, _arcs(pieces, raw, low, high))
+        start, total = made[high - low :].copy(), total + shift[-1]
+    with np.errstate(divide="ignore"):
+        log_total = np.log(start[0]) + total
+    if counts is None:
+        return log_total - n * np.log(SCALE)
+    back, back_shift = np.zeros((reach, languages)), np.zeros(languages)  # backward sums from the block's end on
+    back[0] = 1
+    for low, high, first, before in reversed(starts):
+        arcs = _arcs(pieces, raw, low, high)
+        made, shift = _forward(pieces, probability, raw, low, high, first, arcs)
+        sums_ = np.concatenate([np.zeros((high - low, languages)), back])
+        for k in range(high - low - 1, -1, -1):
+            ids, ends = arcs[k]
+            after = sums_[ends - low] * probability[ids]
+            sums_[k] = after.sum(0)
+            off = np.exp(np.clip(before + shift[k] + back_shift - log_total, -700, 700))
+            expected[ids] += made[k] * after * (off * counts)
+            if (ratio := _out_of_range(sums_[k])) is not None:
+                sums_[k : k + reach] /= ratio
+                back_shift = back_shift + np.log(ratio)
+        back = sums_[:reach].copy()
+    return log_total - n * np.log(SCALE)
+
+
 _pieces: dict[int, Pieces] = {}
 
 

@@ -288,7 +288,7 @@ def test_forward_sums_all_segmentations():
     def total(word, k):
         if not word:
             return 1.0
-        return sum(p[number[word[:n]], k] * total(word[n:], k) for n in range(1, min(len(word), language_id.PIECE_BYTES) + 1) if word[:n] in number)
+        return sum(p[number[word[:n]], k] * total(word[n:], k) for n in range(1, len(word) + 1) if word[:n] in number)
 
     words = [" nation", " the", " über", "x"]
     raw = np.frombuffer("".join(words).encode(), np.uint8)
@@ -430,6 +430,28 @@ def test_surest_documents_equal_brute_force(spark, monkeypatch):
         assert (x == (a, b)[pupil][keys]).all()
 
 
+def test_units_of_any_length_are_summed_whole(monkeypatch):
+    from pathlib import Path
+
+    pieces = language_id.vocabulary(Path(language_id.MODEL).read_bytes())
+    rng = np.random.default_rng(15)
+    p = rng.random((len(pieces.pieces), 2))
+    lengths = np.array([len(x) for x in pieces.pieces])
+    table = language_id.scaled(pieces, p * 1e3, 0.1)
+    words = [b" " + bytes(rng.choice(list(b"internationalthe"), 63).astype(np.uint8)), b" " + bytes(rng.choice(list(b"abcdeinothe   "), 400).astype(np.uint8)), b" the", b" " + b"x" * 1500]
+    raw, size = np.frombuffer(b"".join(words), np.uint8), np.array([len(w) for w in words])
+    many = np.array([[2.0, 1], [1, 3], [5, 1], [1, 1]])
+    monkeypatch.setattr(language_id, "POSITIONS", 37)
+    results = []
+    for short in (0, 2000):
+        monkeypatch.setattr(language_id, "SHORT", short)
+        results.append(language_id.sums(pieces, table, raw, np.cumsum(size) - size, size, many))
+    assert results[0][0] == pytest.approx(results[1][0], rel=1e-9)
+    assert results[0][1] == pytest.approx(results[1][1], rel=1e-6, abs=1e-9)
+    assert (results[0][1] * lengths[:, None]).sum(0) == pytest.approx((size[:, None] * many).sum(0))
+    assert max(lengths) > 16  # all of the vocabulary
+
+
 def test_sums_of_unlikely_units_stay_finite():
     from pathlib import Path
 
@@ -447,7 +469,7 @@ def test_sums_of_unlikely_units_stay_finite():
         for k in range(3):
             best = [0.0] + [-math.inf] * len(w)
             for b in range(1, len(w) + 1):
-                terms = [best[b - n] + math.log(p[number[w[b - n : b]], k]) for n in range(1, min(b, language_id.PIECE_BYTES) + 1) if w[b - n : b] in number]
+                terms = [best[b - n] + math.log(p[number[w[b - n : b]], k]) for n in range(1, min(b, int(lengths.max())) + 1) if w[b - n : b] in number]
                 best[b] = max(terms) + math.log(sum(math.exp(x - max(terms)) for x in terms))
             assert got[k] == pytest.approx(best[-1], rel=1e-9)
     assert np.isfinite(expected).all()
