@@ -23,7 +23,6 @@ training rows the base's counts are zero and the model is uniform. An empty tabl
 from __future__ import annotations
 
 import base64
-import uuid
 from pathlib import Path
 
 import numpy as np
@@ -40,11 +39,11 @@ WINDOW, STRIDE = 32, 24
 #: Fills windows up: an end as context, nothing to predict.
 PAD = 65_535
 #: Neighbouring subwords that are counted at once, and words whose subwords a Python worker remembers.
-PAIRS, REMEMBERED = 6_000_000, 1_000_000
+PAIRS, REMEMBERED = 2_000_000, 300_000
 #: Windows trained on in one run of Adam; rounds, between which weights are averaged and to which runs are dealt in turn.
 RUN, ROUNDS = 4096, 2
-DIM, VALUES, CLASSES = 16, 16, 40
-SLICE_BYTES, RANGE_BYTES = 5 << 20, 32 << 20
+DIM, VALUES, CLASSES = 16, 16, 32
+SLICE_BYTES, RANGE_BYTES = 3 << 20, 32 << 20
 UNIT = 64
 #: Logits are held within this, where exponentials in single precision stay in range; training keeps far from that.
 LIMIT = 40
@@ -258,7 +257,9 @@ def gather(train: DataFrame, place: np.ndarray, vocabulary: bytes) -> DataFrame:
         def add():
             nonlocal pairs, held
             if pairs:
-                np.add(total, np.bincount(np.concatenate(pairs), minlength=size * size), out=total, casting="unsafe")
+                codes = np.sort(np.concatenate(pairs))
+                begin = np.flatnonzero(np.diff(codes, prepend=-1))
+                total[codes[begin]] += np.diff(np.append(begin, len(codes))).astype(np.int32)
             pairs, held = [], 0
 
         for batch in batches:
@@ -534,8 +535,6 @@ def fit(gathered: DataFrame, size: int, rate: float = 0.02) -> Model:
 
 def score_texts(docs: DataFrame, train: DataFrame, vocabulary_path: str = VOCABULARY) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row of ``docs`` (doc_id, held_out, text)."""
-    import pickle
-
     spark = docs.sparkSession
     vocabulary = Path(vocabulary_path).read_bytes()
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -548,14 +547,14 @@ def score_texts(docs: DataFrame, train: DataFrame, vocabulary_path: str = VOCABU
     gathered = C.keep(gather(train, place, vocabulary), "gathered")
     model = fit(gathered, int(place.max()) + 1)
     often = _often(words)
-    sent, name = spark.sparkContext.broadcast(pickle.dumps((model, place, log_rest, often), protocol=5)), uuid.uuid4().hex
+    sent = spark.sparkContext.broadcast((model, place, log_rest, often))  # of fixed size
 
     def run(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
         C.trim()
-        mine, where, log_other, (hash_often, count_often) = _loaded(name, sent)
+        mine, where, log_other, (hash_often, count_often) = sent.value
         table, part_of, turn = subwords(vocabulary), TaskContext.get().partitionId(), 0
         names = ["kind", "slice", "i", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "r", "hashes", "texts", "tf"]
         kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
@@ -629,19 +628,6 @@ def score_texts(docs: DataFrame, train: DataFrame, vocabulary_path: str = VOCABU
     return rows.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
 
 
-_models: dict[str, tuple] = {}
-
-
-def _loaded(name: str, sent):
-    """What a broadcast holds, unpacked once in a Python process; ``name`` is of this broadcast alone."""
-    import pickle
-
-    if name not in _models:
-        _models.clear()
-        _models[name] = pickle.loads(sent.value)
-    return _models[name]
-
-
 def _often(words: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Hashes, rising, and counts of the OFTEN most frequent words."""
 

@@ -314,6 +314,17 @@ def test_quality_follows_labels_and_keeps_good_documents(spark):
     assert quality.filter_quality(both, labels).columns == both.columns
 
 
+def test_quality_on_labels_that_were_held_back(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    back = F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0
+    scored = quality.score(docs, quality.fit(docs, labels.where(~back)))
+    rows = scored.join(labels.where(back), "doc_id").select("quality", "quality_score", "quality_keep").collect()
+    good, bad = ([r for r in rows if r.quality == side] for side in (1, 0))
+    wins = sum((a.quality_score > b.quality_score) + 0.5 * (a.quality_score == b.quality_score) for a in good for b in bad)
+    assert good and bad and wins / (len(good) * len(bad)) > 0.9
+    assert sum(r.quality_keep for r in good) / len(good) > 0.95
+
+
 def test_base_scores_equal_counts(spark):
     docs = documents(spark).select("doc_id", "text").withColumn("held_out", language_id.held_out(F.col("doc_id"), 7))
     got = {r.doc_id: r for r in lm_score.score_texts(docs, docs.where(~F.col("held_out"))).collect()}
@@ -343,6 +354,28 @@ def test_attention_model_is_a_distribution():
     assert sum(10 ** (s - before) for s in model.log10_scores(flat, offsets)) == pytest.approx(1, rel=1e-3)
 
 
+def test_scores_equal_attention_worked_out_place_by_place():
+    rng = np.random.default_rng(21)
+    model = lm_score.Model(rng.integers(0, 9, (50, 50)).astype(np.float32))
+    model.train(rng.integers(0, 50, (300, lm_score.WINDOW + 1)), 0.02)
+    texts = [np.append(rng.integers(1, 50, n), 0) for n in (0, 1, 23, 24, 70, 200)]
+    got = model.log10_scores(np.concatenate(texts).astype(np.int32), np.cumsum([0, *map(len, texts)]))
+    w = {k: x.astype(float) for k, x in model.weights.items()}
+    embed, back = model.embed.astype(float), lm_score.WINDOW - lm_score.STRIDE
+    for text, score in zip(texts, got, strict=True):
+        last = np.append(0, text[:-1])
+        total = 0.0
+        for i, aim in enumerate(text):
+            begin = i // lm_score.STRIDE * lm_score.STRIDE - back
+            seen = np.array([last[j] if j >= 0 else 0 for j in range(begin, i + 1)])
+            logit = embed[seen] @ w["key"] @ (embed[last[i]] @ w["query"]) / math.sqrt(lm_score.DIM) + w["distance"][np.arange(i - begin, -1, -1)]
+            share = np.exp(logit - logit.max())
+            z = (share / share.sum()) @ embed[seen] @ w["value"] @ w["out"] + w["bias"]
+            chance = np.exp(model.log_group[last[i]].astype(float))
+            total += model.log_next[last[i], aim] + z[model.group[aim]] - math.log((np.exp(z) * chance).sum())
+        assert score == pytest.approx(total / math.log(10), rel=1e-4)
+
+
 def test_gradient_of_attention():
     rng = np.random.default_rng(7)
     model = lm_score.Model(rng.integers(0, 9, (40, 40)).astype(np.float32))

@@ -4,6 +4,7 @@ import re
 
 import corpus_pipeline as P
 from gridloom.llm import sentencepiece_codec
+from tests.llm import cases
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -49,3 +50,23 @@ def test_stages_take_effect(spark):
     back = sentencepiece_codec.decode(rows["pieces"].select("piece_ids"))
     assert sorted(r.text or "" for r in back.select("text").collect()) == texts
     assert P.run(spark, FOLDER).count() == rows["pieces"].count()
+
+
+def test_stages_on_awkward_and_empty_documents(spark):
+    """Nulls, empty and long texts, repeated rows and columns named like the operators' own."""
+    docs = cases.awkward(spark)
+    for name, stage in P.STAGES[:-1]:
+        now = stage(spark, docs, FOLDER)
+        assert now.columns == docs.columns, name
+        rows = now.collect()
+        assert rows and {(r.mix_u, r.pii_base, r.quality_score, r.row) for r in rows} == {("k",) * 4}, name
+        assert stage(spark, cases.empty(spark), FOLDER).count() == 0, name
+    coded = {r.doc_id: r for r in P.STAGES[-1][1](spark, docs, FOLDER).collect()}
+    assert coded[1].piece_ids is None and coded[1].n_pieces == 0 and coded[2].piece_ids == []
+    assert P.STAGES[-1][1](spark, cases.empty(spark), FOLDER).count() == 0
+
+
+def test_the_session_keeps_its_batch_size(spark):
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert P.run(spark, FOLDER).columns == ["doc_id", "source", "lang", "n_pieces", "piece_ids"]
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before

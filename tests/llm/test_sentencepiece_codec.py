@@ -38,6 +38,11 @@ def test_round_trip_and_edge_cases(spark):
     assert S.encode(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_a_text_with_a_space_mark_does_not_come_back(spark):
+    rows = S.encode(spark.createDataFrame([(1, "a▁b"), (2, "a b")], "doc_id long, text string"), check="ok").orderBy("doc_id").collect()
+    assert [r.ok for r in rows] == [False, True] and rows[0].piece_ids == rows[1].piece_ids
+
+
 def test_path_is_best_by_brute_force():
     coder = S.Codec(MODEL)
     scores = {}
