@@ -362,6 +362,6 @@ def net_current(up: np.ndarray, down: np.ndarray, charge: np.ndarray, duration:
     else:
         half, method = normal_quantile((1 + level) / 2) * math.sqrt(variance), "poisson"
         spread = blocks * float(series[: size * blocks].reshape(blocks, size).sum(1).var(ddof=1)) if size >= 2 else 0.0
-        if variance > 0 and spread > variance:
+        if variance > 0 and spread > variance * (1 + 1e-12):  # equal ones are not told apart by rounding
             half, method = t_quantile((1 + level) / 2, blocks - 1) * math.sqrt(spread), "blocks"
     return {"current": total / duration, "low": (total - half) / duration, "high": (total + half) / duration, "method": method}

@@ -140,19 +140,23 @@ def annotate_groups(samples: DataFrame, points: DataFrame, cutoff: float, bottle
     return out.withColumn("influence", E.influence(F.greatest("min_gap", F.lit(0.0)), F.col("samples"), F.col("role"))).drop("near")
 
 
-def overlap_links(sets: DataFrame, jaccard: float = 0.2, containment: float = 0.5) -> DataFrame:
-    """Links between sets (frame, grp, member) of consecutive frames that occur: overlap, jaccard, containment."""
-    frames = sets.select("frame").distinct().withColumn("turn", F.dense_rank().over(Window.orderBy("frame")))
-    ranked = sets.join(small(frames), "frame")
-    size = sets.groupBy("frame", "grp").agg(F.count("*").alias("size"))
-    now = ranked.select("turn", "member", F.col("frame").alias("cur_frame"), F.col("grp").alias("cur"))
-    before = ranked.select((F.col("turn") + 1).alias("turn"), "member", F.col("frame").alias("prev_frame"), F.col("grp").alias("prev"))
-    shared = before.join(now, ["turn", "member"]).groupBy("prev_frame", "cur_frame", "prev", "cur").agg(F.count("*").alias("overlap"))
-    a = size.select(F.col("frame").alias("prev_frame"), F.col("grp").alias("prev"), F.col("size").alias("n_prev"))
-    b = size.select(F.col("frame").alias("cur_frame"), F.col("grp").alias("cur"), F.col("size").alias("n_cur"))
-    both = shared.join(a, ["prev_frame", "prev"]).join(b, ["cur_frame", "cur"])
+def overlap_links(sets: DataFrame, jaccard: float = 0.2, containment: float = 0.5, keys: list[str] = ()) -> DataFrame:
+    """Links between sets (frame, grp, member) of consecutive frames that occur: overlap, jaccard, containment, and frames left out.
+
+    ``keys``: columns whose frames and sets are their own.
+    """
+    keys = list(keys)
+    frames = sets.select(*keys, "frame").distinct().withColumn("turn", F.dense_rank().over(Window.partitionBy(*keys).orderBy("frame")))
+    ranked = sets.join(small(frames), [*keys, "frame"])
+    size = sets.groupBy(*keys, "frame", "grp").agg(F.count("*").alias("size"))
+    now = ranked.select(*keys, "turn", "member", F.col("frame").alias("cur_frame"), F.col("grp").alias("cur"))
+    before = ranked.select(*keys, (F.col("turn") + 1).alias("turn"), "member", F.col("frame").alias("prev_frame"), F.col("grp").alias("prev"))
+    shared = before.join(now, [*keys, "turn", "member"]).groupBy(*keys, "prev_frame", "cur_frame", "prev", "cur").agg(F.count("*").alias("overlap"))
+    a = size.select(*keys, F.col("frame").alias("prev_frame"), F.col("grp").alias("prev"), F.col("size").alias("n_prev"))
+    b = size.select(*keys, F.col("frame").alias("cur_frame"), F.col("grp").alias("cur"), F.col("size").alias("n_cur"))
+    both = shared.join(a, [*keys, "prev_frame", "prev"]).join(b, [*keys, "cur_frame", "cur"])
     both = both.withColumn("jaccard", F.col("overlap") / (F.col("n_prev") + F.col("n_cur") - F.col("overlap"))).withColumn("containment", F.col("overlap") / F.least("n_prev", "n_cur"))
-    return both.where((F.col("jaccard") >= jaccard) | (F.col("containment") >= containment)).select("prev_frame", "cur_frame", "prev", "cur", "overlap", "jaccard", "containment")
+    return both.where((F.col("jaccard") >= jaccard) | (F.col("containment") >= containment)).select(*keys, "prev_frame", "cur_frame", "prev", "cur", "overlap", "jaccard", "containment", (F.col("cur_frame") - F.col("prev_frame") - 1).alias("gap"))
 
 
 def bridges(contacts: DataFrame, site: str, via: str, keys: list[str] = ()) -> DataFrame:

@@ -6,6 +6,8 @@ tracking key; that input has a row for each set and link, not for each member. T
 
 from __future__ import annotations
 
+from collections import defaultdict
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,55 +15,84 @@ from gridloom.operators.joins import overlap_links
 
 
 def step(state: dict, frame: int, sets: list, links: list) -> tuple[list, list]:
-    """One frame: assignments (frame, set, track, reason) and events (frame, event, track).
+    """One frame: assignments (frame, set, track, reason) and events (frame, event, track, gap).
 
-    ``links``: (previous set, set, jaccard, overlap). ``state`` holds the tracks of the previous frame and the next number.
+    ``links``: (previous set, set, jaccard, overlap). ``state`` holds the tracks of the previous frame, the next number and, of
+    every track, how it began and ended. ``gap``: frames between this one and the one before that had no sets.
     """
-    first = not state
-    old = state.get("tracks", {})
-    number = state.get("next", 0)
-    order = sorted(links, key=lambda x: (-x[2], -x[3], x[0], x[1]))
+    first = "frame" not in state
+    old, number = state.get("tracks", {}), state.get("next", 0)
+    known = state.setdefault("known", {})
+    gap = 0 if first else frame - state["frame"] - 1
+    after, before = defaultdict(list), defaultdict(list)
+    for prev, cur, jaccard, _ in links:
+        after[prev].append((cur, jaccard))
+        before[cur].append(prev)
     used, new = set(), {}
-    for prev, cur, _, _ in order:
+    for prev, cur, _, _ in sorted(links, key=lambda x: (-x[2], -x[3], x[0], x[1])):
         if prev not in used and cur not in new:
             used.add(prev)
             new[cur] = (old[prev], "continued")
-    linked = {cur for _, cur, _, _ in links}
     events = []
     for s in sorted(sets):
         if s not in new:
-            reason = "first_frame" if first else "split" if s in linked else "birth"
+            reason = "first_frame" if first else "split" if s in before else "birth"
             new[s] = (number, reason)
+            known[number] = {"first": frame, "reason": reason, "parents": sorted(old[p] for p in before[s]) if s in before else [], "frames": 0, "end": "last_frame", "into": None}
             number += 1
             if reason == "birth":
-                events.append((frame, "birth", new[s][0]))
+                events.append((frame, "birth", new[s][0], gap))
     for prev in sorted(old):
-        out = [x for x in links if x[0] == prev]
-        if not out:
-            events.append((frame, "death", old[prev]))
-        elif len(out) > 1:
-            events.append((frame, "split", old[prev]))
+        ends = after.get(prev, [])
+        if not ends:
+            events.append((frame, "death", old[prev], gap))
+            known[old[prev]]["end"] = "death"
+        elif len(ends) > 1:
+            events.append((frame, "split", old[prev], gap))
+        if ends and prev not in used:  # another set's track goes on where this one's went
+            known[old[prev]] |= {"end": "merge", "into": new[max(ends, key=lambda x: x[1])[0]][0]}
     for cur in sorted(sets):
-        if sum(x[1] == cur for x in links) > 1:
-            events.append((frame, "merge", new[cur][0]))
-    state["tracks"], state["next"] = {s: t for s, (t, _) in new.items()}, number
+        if len(before.get(cur, [])) > 1:
+            events.append((frame, "merge", new[cur][0], gap))
+    for track, _ in new.values():
+        known[track]["frames"] += 1
+        known[track]["last"] = frame
+    state["tracks"], state["next"], state["frame"] = {s: t for s, (t, _) in new.items()}, number, frame
     return [(frame, s, *new[s]) for s in sorted(sets)], events
 
 
-def track(sets: DataFrame, events: bool = False) -> DataFrame:
-    """Assignments (frame, grp, track, reason) of sets (frame, grp, member), or events (frame, event, track)."""
+SCHEMAS = {
+    "assignments": "frame long, grp long, track long, reason string",
+    "events": "frame long, event string, track long, gap long",
+    "lineage": "track long, reason string, first long, last long, frames long, parents array<long>, end string, into long",
+}
+
+
+def track(sets: DataFrame, what: str = "assignments", by: list[str] = ()) -> DataFrame:
+    """Identities of sets (frame, grp, member): assignments, events, or the lineage of each track.
+
+    ``by``: columns, such as a structure, whose sets are tracked each by themselves; each key is a task of its own.
+    """
     import pandas as pd
 
-    names = sets.select("frame", "grp").distinct().select("frame", F.lit(None).cast("long").alias("prev"), F.col("grp").cast("long").alias("cur"), F.lit(0.0).alias("jaccard"), F.lit(0).cast("long").alias("overlap"))
-    links = overlap_links(sets).select(F.col("cur_frame").alias("frame"), F.col("prev").cast("long").alias("prev"), F.col("cur").cast("long").alias("cur"), "jaccard", "overlap")
-    schema = "frame long, event string, track long" if events else "frame long, grp long, track long, reason string"
+    by = list(by)
+    key = F.xxhash64(*by) if by else F.lit(0).cast("long")
+    keys = sets.select(*by, key.alias("_key")).distinct()
+    named = sets.withColumn("_key", key)
+    names = named.select("_key", "frame", "grp").distinct().select("_key", "frame", F.lit(None).cast("long").alias("prev"), F.col("grp").cast("long").alias("cur"), F.lit(0.0).alias("jaccard"), F.lit(0).cast("long").alias("overlap"))
+    links = overlap_links(named.select("_key", "frame", "grp", "member"), keys=["_key"]).select("_key", F.col("cur_frame").alias("frame"), F.col("prev").cast("long").alias("prev"), F.col("cur").cast("long").alias("cur"), "jaccard", "overlap")
+    columns = [c.split()[0] for c in SCHEMAS[what].split(", ")]
 
-    def run(pdf):
-        state, out = {}, []
+    def run(key, pdf):
+        state, out = {}, {"assignments": [], "events": []}
         for frame, rows in pdf.groupby("frame", sort=True):
             own, tied = rows[rows.prev.isna()], rows[rows.prev.notna()]
             done, seen = step(state, int(frame), [int(x) for x in own.cur], [(int(p), int(c), float(j), int(o)) for p, c, j, o in zip(tied.prev, tied.cur, tied.jaccard, tied.overlap, strict=True)])
-            out += seen if events else done
-        return pd.DataFrame(out, columns=["frame", "event", "track"] if events else ["frame", "grp", "track", "reason"])
+            out["assignments"] += done
+            out["events"] += seen
+        out["lineage"] = [(t, k["reason"], k["first"], k["last"], k["frames"], k["parents"], k["end"], k["into"]) for t, k in state.get("known", {}).items()]
+        made = pd.DataFrame([(key[0], *r) for r in out[what]], columns=["_key", *columns])
+        return made.astype({"into": "Int64"}) if what == "lineage" else made
 
-    return names.unionByName(links).withColumn("_key", F.lit(0)).groupBy("_key").applyInPandas(run, schema)
+    tracked = names.unionByName(links).groupBy("_key").applyInPandas(run, f"_key long, {SCHEMAS[what]}")
+    return tracked.join(keys, "_key").select(*by, *columns) if by else tracked.drop("_key")

@@ -170,7 +170,13 @@ def set_tracks(spark, d):
 
 
 def track_events(spark, d):
-    return K.track(_small_sets(spark, d), events=True).groupBy("event").agg(F.count("*").alias("n"))
+    return K.track(_small_sets(spark, d), "events").groupBy("event").agg(F.count("*").alias("n"), F.sum("gap").alias("gaps"))
+
+
+def track_lineage(spark, d):
+    """How each identity of groups of users began and ended, and what it came from and went into."""
+    out = K.track(_small_sets(spark, d), "lineage")
+    return out.select("track", "reason", F.col("first").alias("first_frame"), F.col("last").alias("last_frame"), "frames", F.array_join("parents", ",").alias("parents"), F.col("end").alias("end_reason"), "into")
 
 
 def _near(spark, d, reach=0.06):
@@ -207,8 +213,8 @@ def widest_paths(spark, d):
     """Greatest least width, 0.06 less the distance, from three points."""
     _, e = _near(spark, d)
     sources = spark.createDataFrame([(0,), (7,), (42,)], "node long")
-    out = G.widest_paths(e.select("a", "b", (0.06 - F.col("distance")).alias("width")), sources)
-    return out.where("hops > 0").select("node", _r("width"))
+    out = G.widest_paths(e.select("a", "b", (0.06 - F.col("distance")).alias("width"), "distance"), sources, length="distance")
+    return out.where("hops > 0").select("node", _r("width"), _r("length"))
 
 
 GRID_LOW, GRID_HIGH, STEP = (-0.2, -0.2, -0.2), (0.2, 0.2, 0.2), 0.05
@@ -260,7 +266,7 @@ def long_statistics(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     local_minima, state_transitions, state_dwell, state_visits, member_episodes, member_survival, slab_crossings, crossing_summary, unwrapped_motion, net_passage, time_regularity, arc_lengths, resampled_profiles, profile_bands,
-    lagged_states, value_correlation, block_means, as_of_values, lag_correlations, statistical_inefficiency, autocorrelation_time, blocking_error, sampling_uncertainty, count_intervals, diffusion, feature_clusters, set_tracks, track_events,
+    lagged_states, value_correlation, block_means, as_of_values, lag_correlations, statistical_inefficiency, autocorrelation_time, blocking_error, sampling_uncertainty, count_intervals, diffusion, feature_clusters, set_tracks, track_events, track_lineage,
     point_components, component_sizes, point_triangles, weighted_paths, widest_paths, lattice_clearance, free_components, void_volumes, plane_sections, ray_enclosure, octant_coverage, json_records, long_statistics,
 )}
 
@@ -279,7 +285,33 @@ FACES = "abs(a.i-b.i)+abs(a.j-b.j)+abs(a.k-b.k) = 1"
 ALL = "abs(a.i-b.i) <= 1 AND abs(a.j-b.j) <= 1 AND abs(a.k-b.k) <= 1"
 _LINES = [(u, v, w) for u in (-1, 0, 1) for v in (-1, 0, 1) for w in (-1, 0, 1) if (u, v, w) != (0, 0, 0)]
 
+#: 99 % points of chi-squared with 1, 2, ... degrees of freedom.
+CHI2_99 = [6.634896601021213, 9.210340371976182, 11.344866730144373, 13.276704135987622, 15.08627246938899, 16.811893829770927, 18.475306906582357, 20.090235029663233, 21.665994333461924, 23.209251158954356]
+LAGS_SQL = f"""{T.SERIES_SQL}, dv AS (SELECT key, frame, s - avg(s) OVER (PARTITION BY key) AS d, count(*) OVER (PARTITION BY key) AS n FROM series),
+cv AS (SELECT a.key, b.frame - a.frame AS k, sum(a.d * b.d) AS c, any_value(a.n) AS n FROM dv a JOIN dv b ON a.key = b.key AND b.frame >= a.frame GROUP BY ALL),
+rh AS (SELECT cv.key, cv.k, CASE WHEN z.c > 0 THEN cv.c / z.c ELSE (cv.k = 0)::INT END AS rho, cv.n FROM cv JOIN cv z ON z.key = cv.key AND z.k = 0)"""
+START = "SELECT * FROM (VALUES (0::BIGINT, {0}::DOUBLE), (7, {0}), (42, {0}))"
+NET_SQL = f"""{T.SERIES_SQL}, mm AS (SELECT key, frame, greatest({LOW}, least({HIGH}, s)) AS c FROM series), qq AS (SELECT key, frame, coalesce(c - lag(c) OVER w, 0) AS q FROM mm {_W}), nn AS (SELECT key, frame, sum(q) OVER w / {HIGH - LOW} AS net, count(*) OVER (PARTITION BY key) AS n FROM qq {_W})"""
+
 ORACLE_SQL = {
+    "statistical_inefficiency": f"""WITH {LAGS_SQL}, p AS (SELECT a.key, a.k, a.rho + b.rho AS pair FROM rh a JOIN rh b ON a.key = b.key AND b.k = a.k + 1 WHERE a.k % 2 = 1 AND a.k < a.n // 2), q AS (SELECT *, min(CASE WHEN pair <= 0 THEN k END) OVER (PARTITION BY key) AS stop FROM p),
+      t AS (SELECT key, sum(pair) FILTER (stop IS NULL OR k < stop) AS total FROM q GROUP BY key) SELECT r.key, round(greatest(1, least(r.n, 1 + 2 * coalesce(total, 0))), 6)::DOUBLE AS g FROM rh r LEFT JOIN t USING (key) WHERE r.k = 0""",
+    "autocorrelation_time": f"""WITH {LAGS_SQL}, q AS (SELECT key, k, n, 2 * sum(rho) OVER (PARTITION BY key ORDER BY k) - 1 AS tau FROM rh)
+      SELECT key, round(greatest(1, least(any_value(n), coalesce(arg_min(tau, k) FILTER (k >= 5 * tau), arg_max(tau, k)))), 6)::DOUBLE AS tau FROM q GROUP BY key""",
+    "blocking_error": f"""WITH RECURSIVE {T.SERIES_SQL}, b AS (SELECT key, 0 AS lv, list(s ORDER BY frame) AS x FROM series GROUP BY key UNION ALL SELECT key, lv + 1, list_transform(range(1, len(x) // 2 + 1), lambda i: (x[2 * i - 1] + x[2 * i]) / 2) FROM b WHERE len(x) >= 4),
+      m AS (SELECT *, list_avg(x) AS m, len(x) AS n FROM b WHERE len(x) >= 2), v AS (SELECT key, lv, n, list_avg(list_transform(x, lambda u: (u - m) * (u - m))) AS s, list_sum(list_transform(range(1, n), lambda i: (x[i] - m) * (x[i + 1] - m))) / n AS g FROM m),
+      t AS (SELECT *, sum(CASE WHEN s > 0 THEN n * (g / s) * (g / s) ELSE 0 END) OVER (PARTITION BY key ORDER BY lv DESC) AS stat, max(lv) OVER (PARTITION BY key) AS top FROM v),
+      o AS (SELECT *, coalesce(min(CASE WHEN stat < ({CHI2_99})[lv + 1] THEN lv END) OVER (PARTITION BY key), top) AS pick FROM t) SELECT key, round(sqrt(s / n), 6) AS se, lv AS level FROM o WHERE lv = pick""",
+    "diffusion": f"""WITH {NET_SQL}, h AS (SELECT *, n // 5 AS seg, greatest(2, n // 5 // 10) AS hi FROM nn), p AS (SELECT key, -1 AS part, frame, net, hi FROM h UNION ALL SELECT key, frame // seg, frame, net, hi FROM h WHERE seg >= 2 * hi + 2 AND frame // seg < 5),
+      m AS (SELECT a.key, a.part, b.frame - a.frame AS lag, avg((b.net - a.net) * (b.net - a.net)) AS msd FROM p a JOIN p b ON a.key = b.key AND a.part = b.part AND b.frame - a.frame BETWEEN 1 AND a.hi GROUP BY ALL), v AS (SELECT key, part, regr_slope(msd, lag) / 2 AS d FROM m GROUP BY ALL),
+      e AS (SELECT key, any_value(d) FILTER (part = -1) AS d, 2.7764451051977987::DOUBLE * stddev_samp(d) FILTER (part >= 0) / sqrt(5) AS half FROM v GROUP BY key), f AS (SELECT key, any_value(n) AS n, any_value(hi) AS hi FROM h GROUP BY key)
+      SELECT f.key, CASE WHEN n < 2 * hi + 2 THEN 'insufficient_frames' ELSE 'estimated' END AS status, CASE WHEN n >= 2 * hi + 2 THEN round(d, 6) END AS d, CASE WHEN n >= 2 * hi + 2 AND half IS NOT NULL THEN round(greatest(0, d - half), 6) END AS low, CASE WHEN n >= 2 * hi + 2 THEN round(d + half, 6) END AS high FROM f LEFT JOIN e USING (key)""",
+    "weighted_paths": f"""WITH RECURSIVE {NEAR}, t(node, cost) USING KEY (node) AS ({START.format('0.0')} UNION SELECT u.b, min(t.cost + u.distance) FROM t JOIN u ON u.a = t.node LEFT JOIN recurring.t r ON r.node = u.b WHERE r.cost IS NULL OR t.cost + u.distance < r.cost GROUP BY u.b)
+      SELECT node, round(cost, 6) AS cost FROM t""",
+    "widest_paths": f"""WITH RECURSIVE {NEAR}, t(node, wide) USING KEY (node) AS ({START.format("'inf'")} UNION SELECT u.b, max(least(t.wide, 0.06::DOUBLE - u.distance)) FROM t JOIN u ON u.a = t.node LEFT JOIN recurring.t r ON r.node = u.b WHERE r.wide IS NULL OR least(t.wide, 0.06::DOUBLE - u.distance) > r.wide GROUP BY u.b),
+      g AS MATERIALIZED (SELECT u.a, u.b, u.distance FROM u JOIN t x ON x.node = u.a JOIN t y ON y.node = u.b WHERE least(x.wide, 0.06::DOUBLE - u.distance) = y.wide),
+      l(node, far) USING KEY (node) AS ({START.format('0.0')} UNION SELECT g.b, min(l.far + g.distance) FROM l JOIN g ON g.a = l.node LEFT JOIN recurring.l r ON r.node = g.b WHERE r.far IS NULL OR l.far + g.distance < r.far GROUP BY g.b)
+      SELECT t.node, round(wide, 9) AS width, round(far, 9) AS length FROM t JOIN l ON l.node = t.node WHERE t.node NOT IN (0, 7, 42)""",
     "local_minima": f"WITH {T.PROFILES_SQL}, n AS (SELECT *, lag(r) OVER w AS a, lead(r) OVER w AS b FROM profiles WINDOW w AS (PARTITION BY profile ORDER BY i)) SELECT profile, i, r FROM n WHERE (a IS NULL OR r <= a) AND (b IS NULL OR r <= b)",
     "state_transitions": f"WITH {STATE_SQL}, l AS (SELECT key, frame, lag(state) OVER w AS from_label, state AS to_label FROM st {_W}) SELECT * FROM l WHERE from_label <> to_label",
     "state_dwell": f"WITH {STATE_SQL} SELECT key, state, count(*) AS frames FROM st GROUP BY ALL",

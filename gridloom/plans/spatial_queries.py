@@ -306,7 +306,16 @@ QUERIES = {f.__name__: f for f in (
 )}
 
 _D = "round({0}, 9) AS {0}".format
+# eigenvalues in closed form; the eigenvector is the longest cross product of two rows of the matrix less the eigenvalue
+AXES_SQL = f"""{T.POINTS_SQL}, m AS (SELECT grp, covar_pop(x, x) AS xx, covar_pop(x, y) AS xy, covar_pop(x, z) AS xz, covar_pop(y, y) AS yy, covar_pop(y, z) AS yz, covar_pop(z, z) AS zz FROM points GROUP BY grp),
+p AS (SELECT *, (xx + yy + zz) / 3 AS q, sqrt(((xx - q)**2 + (yy - q)**2 + (zz - q)**2 + 2 * (xy * xy + xz * xz + yz * yz)) / 6) AS p FROM m),
+f AS (SELECT *, acos(greatest(-1, least(1, ((xx - q) * ((yy - q) * (zz - q) - yz * yz) - xy * (xy * (zz - q) - yz * xz) + xz * (xy * yz - (yy - q) * xz)) / (2 * p**3)))) / 3 AS phi FROM p),
+e AS (SELECT f.*, axis::INT AS axis, q + 2 * p * cos(phi + [0, 4, 2][axis + 1] * pi() / 3) AS l FROM f, range(3) t(axis)),
+v AS (SELECT *, [[xy * yz - xz * (yy - l), xz * xy - (xx - l) * yz, (xx - l) * (yy - l) - xy * xy], [xy * (zz - l) - xz * yz, xz * xz - (xx - l) * (zz - l), (xx - l) * yz - xy * xz], [(yy - l) * (zz - l) - yz * yz, yz * xz - xy * (zz - l), xy * yz - (yy - l) * xz]] AS c FROM e),
+w AS (SELECT *, list_transform(c, lambda u: sqrt(u[1] * u[1] + u[2] * u[2] + u[3] * u[3])) AS n FROM v), k AS (SELECT *, list_position(n, list_max(n)) AS i FROM w),
+s AS (SELECT *, c[i] AS u, CASE WHEN abs(c[i][1] / n[i]) > 1e-12 THEN sign(c[i][1]) WHEN abs(c[i][2] / n[i]) > 1e-12 THEN sign(c[i][2]) ELSE sign(c[i][3]) END / n[i] AS t FROM k)"""
 ORACLE_SQL = {
+    "principal_axes": f"WITH {AXES_SQL} SELECT grp, axis, round(l, 6) AS variance, round(u[1] * t, 6) AS x, round(u[2] * t, 6) AS y, round(u[3] * t, 6) AS z FROM s",
     "contact_network": f"WITH {CONTACT_SQL} SELECT source, target, id_a, id_b, {_D('distance')}, {_D('weight')} FROM net",
     "contact_degrees": f"WITH {CONTACT_SQL} SELECT node, count(*) AS degree FROM (SELECT source AS node FROM net UNION ALL SELECT target FROM net) GROUP BY node ORDER BY degree DESC, node LIMIT 10",
     "contact_surface": f"""WITH {T.POINTS_SQL}, pairs AS (SELECT a.id AS ia, b.id AS ib, least(a.grp, b.grp) AS source, greatest(a.grp, b.grp) AS target, {DIST} - a.r - b.r AS m FROM points a JOIN points b ON a.id < b.id AND a.grp <> b.grp WHERE {DIST} - a.r - b.r <= 0.03)

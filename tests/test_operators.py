@@ -83,8 +83,17 @@ def test_tracking_moves_splits_merges(spark):
     got = {(r.frame, r.grp): (r.track, r.reason) for r in track(df).collect()}
     assert got[0, 0] == (0, "first_frame") and got[1, 0] == (0, "continued") and got[1, 1] == (2, "split") and got[1, 2] == (1, "continued")
     assert got[2, 0][0] == 0 and got[3, 0] == (3, "birth")
-    events = sorted((r.frame, r.event, r.track) for r in track(df, events=True).collect())
+    events = sorted((r.frame, r.event, r.track) for r in track(df, "events").collect())
     assert (1, "split", 0) in events and (2, "merge", 0) in events and (2, "death", 1) in events and (3, "birth", 3) in events
+    line = {r.track: r for r in track(df, "lineage").collect()}
+    assert (line[2].reason, line[2].parents, line[2].end, line[2].into) == ("split", [0], "merge", 0)
+    assert (line[1].end, line[1].frames, line[1].last) == ("death", 2, 1) and line[3].end == "last_frame" and line[0].end == "death"
+    late = df.where("frame < 3").unionByName(df.where("frame = 3").withColumn("frame", F.lit(6).cast("long")))
+    assert {r.gap for r in track(late, "events").where("frame = 6").collect()} == {3}
+    owned = df.withColumn("owner", F.lit("a")).unionByName(df.where("frame > 0").withColumn("owner", F.lit("b")))
+    each = track(owned, by=["owner"]).collect()
+    assert {(r.frame, r.grp): (r.track, r.reason) for r in each if r.owner == "a"} == got
+    assert {r.reason for r in each if r.owner == "b" and r.frame == 1} == {"first_frame"}
 
 
 def test_components_and_paths(spark):
