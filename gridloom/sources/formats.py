@@ -83,8 +83,31 @@ def tokens(line: str) -> list[str]:
     return [a or b or c for a, b, c in re.findall(r"'((?:[^']|'(?=\S))*)'(?=\s|$)|\"((?:[^\"]|\"(?=\S))*)\"(?=\s|$)|(\S+)", line)]
 
 
+def loop_values(lines: list[str]):
+    """Tokens of a loop's lines in order; what stands between two lines that begin with a semicolon is one token."""
+    held: list[str] | None = None
+    for line in lines:
+        if held is not None:
+            if line.startswith(";"):
+                yield "\n".join(held)
+                held = None
+                yield from tokens(line[1:])
+            else:
+                held.append(line)
+        elif line.startswith(";"):
+            held = [line[1:]]
+        else:
+            yield from tokens(line)
+    if held is not None:
+        raise ValueError("a text block of the loop has no end")
+
+
 def read_loop(spark: SparkSession, path: str, prefix: str = "_atom_site.") -> DataFrame:
-    """Rows of one loop of a token file, as maps by column name; ``.`` and ``?`` are empty."""
+    """Rows of one loop of a token file, as maps by column name; ``.`` and ``?`` are empty.
+
+    A row may go over several lines, a value too if semicolons begin its first line and the one after. Names that occur twice, and
+    values that don't fill the last row, are errors.
+    """
     whole = spark.read.text(path, wholetext=True)
 
     def run(batches):
@@ -92,19 +115,26 @@ def read_loop(spark: SparkSession, path: str, prefix: str = "_atom_site.") -> Da
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                names, rows = [], []
+                names, body, block = [], [], False
                 for line in text.splitlines():
-                    if line.startswith(prefix):
+                    if not block and line.startswith(prefix):
                         names.append(line.strip()[len(prefix) :])
-                    elif names and (not line.strip() or line.startswith(("#", "loop_", "_", "data_"))):
-                        if rows:
+                    elif names and not block and (line.startswith(("#", "loop_", "_", "data_")) or not line.strip()):
+                        if body:
                             break
                     elif names:
-                        got = tokens(line)
-                        if len(got) != len(names):
-                            raise ValueError("a row of the loop has not as many tokens as the loop has names")
-                        rows.append([(n, "" if t in ".?" else t) for n, t in zip(names, got, strict=True)])
-                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.map_(pa.string(), pa.string()))], ["row"])
+                        block ^= line.startswith(";")
+                        body.append(line)
+                if len(set(names)) != len(names):
+                    raise ValueError("the loop has a name twice")
+                values = list(loop_values(body))
+                if names and len(values) % len(names):
+                    raise ValueError("a row of the loop has not as many tokens as the loop has names")
+                width = max(1, len(names))
+                for at in range(0, len(values), 4096 * width):
+                    part = values[at : at + 4096 * width]
+                    rows = [[(n, "" if t in (".", "?") else t) for n, t in zip(names, part[i : i + width], strict=True)] for i in range(0, len(part), width)]
+                    yield pa.RecordBatch.from_arrays([pa.array(rows, pa.map_(pa.string(), pa.string()))], ["row"])
 
     return whole.mapInArrow(run, "row map<string,string>")
 

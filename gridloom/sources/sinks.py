@@ -39,6 +39,51 @@ def atom_record(serial: Column, name: Column, resname: Column, chain: Column, re
     return F.format_string("ATOM  %5d %-4s %3s %1s%4d    %8.3f%8.3f%8.3f  1.00%6.2f", serial, name, resname, chain, resid, x, y, z, b)
 
 
-def manifest(files: DataFrame) -> DataFrame:
-    """Path, size and SHA-256 of files read with the ``binaryFile`` source."""
-    return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
+def manifest(files: DataFrame, root: str | None = None) -> DataFrame:
+    """Path, size and SHA-256 of files read with the ``binaryFile`` source; with ``root`` the path below that folder, with slashes."""
+    path = F.translate("path", "\\", "/")
+    if root is not None:
+        folder = root.replace("\\", "/").removeprefix("file:").rstrip("/") + "/"
+        at = F.locate(folder, path)
+        path = F.when(at > 0, F.substring(path, at + len(folder), F.length(path))).otherwise(F.raise_error(F.concat(F.lit("not below the folder: "), path)))
+    return files.select(path.alias("path"), "length", F.sha2("content", 256).alias("sha256"))
+
+
+def write_bundle(tables: dict[str, DataFrame], folder: str, kind: str) -> DataFrame:
+    """One Parquet dataset for each table below a folder, and a manifest of all their files beside them, which is returned.
+
+    A folder that holds a manifest already is not written to.
+    """
+    some = next(iter(tables.values()))
+    spark, folder = some.sparkSession, folder.rstrip("/")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/manifest")
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        raise ValueError(f"{folder} holds a bundle")
+    for name, df in tables.items():
+        df.write.parquet(f"{folder}/{name}")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load([f"{folder}/{name}" for name in tables])
+    listed = manifest(files, folder).withColumn("kind", F.lit(kind))
+    listed.write.json(f"{folder}/manifest")
+    return spark.read.schema(listed.schema).json(f"{folder}/manifest")
+
+
+def chosen_outputs(analyses: list[str], formats: list[str], defaults: tuple[list[str], list[str]], asked: list[str] = (), everything: bool = False, skipped: list[str] = ()) -> tuple[list[str], list[str]]:
+    """Which analyses to run and which formats to write; ``asked`` names either, and what it doesn't name stays at the default.
+
+    The format ``data`` is always written. Unknown names, all with a choice, and an analysis both asked for and skipped are errors.
+    """
+    asked = list(dict.fromkeys(asked))
+    if everything and asked:
+        raise ValueError("choose outputs or all of them")
+    unknown = [t for t in asked if t not in (*analyses, *formats, "default", "none", "data")]
+    both = [t for t in asked if t in skipped]
+    if unknown or both:
+        raise ValueError("no such output: " + ", ".join(unknown) if unknown else "asked for and skipped: " + ", ".join(both))
+    kinds, wanted = [t for t in asked if t in formats], [t for t in asked if t in analyses]
+    if everything:
+        kinds, wanted = list(formats), list(analyses)
+    if not kinds and "none" not in asked or "default" in asked:
+        kinds += defaults[1]
+    if not wanted or "default" in asked:
+        wanted += defaults[0]
+    return [a for a in analyses if a in wanted and a not in skipped], sorted({*kinds, "data"})

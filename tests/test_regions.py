@@ -86,7 +86,7 @@ def test_small_expressions(spark):
     assert [get(E.entry_code(F.lit(t))) for t in (" 1grm ", "PDB_00001GRM", "xgrm", "1GRMX")] == ["1GRM", "pdb_00001grm", None, None]
     assert tuple(get(E.model_id(F.lit("a/AF-P12345-F1-model_v4.cif")))) == ("P12345", 1, 4, "cif")
     assert get(E.model_id(F.lit("AF-12345-F1"))) is None and tuple(get(E.model_id(F.lit("AF-P12345-F2")))) == ("P12345", 2, None, None)
-    assert get(E.tokens(F.lit(" a, b,,a "))) == ["a", "b"] and get(E.tokens(F.lit("resname NA and x, y"))) == ["resname NA and x, y"]
+    assert get(E.tokens(F.lit(" a,b,,a "))) == ["a", "b"] and get(E.tokens(F.lit("resname NA and x, y"))) == ["resname NA and x, y"]
     assert get(E.charge_overrides(F.lit("na=1, CL = -1"))) == {"NA": 1.0, "CL": -1.0}
     with pytest.raises(Exception, match="NAME=q"):
         get(E.charge_overrides(F.lit("na")))
