@@ -258,13 +258,13 @@ def standard_variants(margin: float | None = None, probe: float | None = None, g
 def tokens(text: Column) -> Column:
     """Different tokens in order: a text with white space within is one, any other is split at commas."""
     bare = F.trim(text)
-    parts = F.when(bare.rlike(r"\s"), F.array(bare)).otherwise(F.transform(F.split(bare, ","), F.trim))
+    parts = F.when(bare.rlike(r"\s"), F.array(bare)).otherwise(F.transform(F.split(bare, ","), lambda t: F.trim(t)))
     return F.array_distinct(F.filter(parts, lambda t: t != ""))
 
 
 def charge_overrides(text: Column) -> Column:
     """A map of upper-case names to charges from ``NAME=q`` items with commas between them; a wrong item is an error."""
-    items = F.filter(F.transform(F.split(text, ","), F.trim), lambda t: t != "")
+    items = F.filter(F.transform(F.split(text, ","), lambda t: F.trim(t)), lambda t: t != "")
     pair = r"^(.*\S)\s*=\s*([^=]+)$"
     number = lambda t: F.trim(F.regexp_extract(t, pair, 2)).try_cast("double")
     entry = lambda t: F.struct(F.upper(F.trim(F.regexp_extract(t, pair, 1))), F.coalesce(number(t), F.raise_error(F.concat(F.lit("a charge is NAME=q, not "), t)).cast("double")))

@@ -64,7 +64,7 @@ def test_crossings_by_the_compartment_rule(spark):
     s = [-9, 0, 0, 9, 9, -9, 0, -9, 0, 9]
     df = spark.createDataFrame([("m", i, float(v)) for i, v in enumerate(s)], "key string, frame long, s double")
     got = sorted(tuple(r) for r in O.crossings(df, ["key"], -5.0, 5.0).collect())
-    assert got == [("m", 1, 3, "up", "complete"), ("m", 5, 5, "down", "unresolved_single_interval"), ("m", 8, 9, "up", "complete")]
+    assert got == [("m", 1, 3, "up", "complete"), ("m", 4, 5, "down", "unresolved_single_interval"), ("m", 8, 9, "up", "complete")]
     inside_first = df.where("frame in (1, 3)")
     assert O.crossings(inside_first, ["key"], -5.0, 5.0).count() == 0
 
