@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.operators.joins import small
+from gridloom.operators.ranks import joined, quantiles
 
 
 def ordered_pairs(edges: DataFrame) -> DataFrame:
@@ -73,20 +74,18 @@ def density(rows: DataFrame, axes: dict[str, tuple[float, float]], frames: int)
 def describe(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     """Rows, observed, missing, coverage, mean, sample deviation, quantiles (linear) and extremes of each series."""
     v = F.col(value)
-    q = lambda p: F.percentile(v, F.lit(p))
-    return rows.groupBy(*by).agg(
+    shares = quantiles(rows, by, value, {"median": 0.5, "q025": 0.025, "q975": 0.975})
+    out = rows.groupBy(*by).agg(
         F.count("*").alias("n"),
         F.count(v).alias("observed"),
         (F.count("*") - F.count(v)).alias("missing"),
         (F.count(v) / F.count("*")).alias("coverage"),
         F.avg(v).alias("mean"),
         F.stddev_samp(v).alias("sd"),
-        q(0.5).alias("median"),
-        q(0.025).alias("q025"),
-        q(0.975).alias("q975"),
         F.min(v).alias("min_value"),
         F.max(v).alias("max_value"),
     )
+    return joined(out, shares, by, "left").select(*by, "n", "observed", "missing", "coverage", "mean", "sd", "median", "q025", "q975", "min_value", "max_value")
 
 
 def halves(rows: DataFrame, by: list[str], order: str, value: str) -> DataFrame:

@@ -326,6 +326,20 @@ def block_mean_bands(columns: np.ndarray, repeats: int = 2000, seed: int = BANDS
     return out | {"status": "estimated", "low": full(mean - np.maximum(highs, student) * se), "high": full(mean - np.minimum(lows, -student) * se), "wide_low": full(mean - both * se), "wide_high": full(mean + both * se)}
 
 
+def series_interval(x: np.ndarray, regular: bool = True) -> dict:
+    """Status and interval of a series' mean from batch means; none without values, for a constant one, with missing frames or uneven times."""
+    x = np.asarray(x, float)
+    seen = x[np.isfinite(x)]
+    reasons = [("no_observations", not len(seen)), ("unavailable_observed_constant", len(seen) == len(x) and float(np.ptp(seen) if len(seen) else 0) == 0), ("unavailable_missing_frames", len(seen) < len(x)), ("unavailable_irregular_timestamps", not regular)]
+    out = {"mean": float(seen.mean()) if len(seen) else None, "batches": None, "low": None, "high": None}
+    for reason, holds in reasons:
+        if holds:
+            return out | {"status": reason}
+    got = block_mean_bands(x[:, None])
+    number = lambda v: float(v) if np.isfinite(v) else None
+    return out | {"status": got["status"], "batches": int(got["batches"]), "low": number(got["low"][0]), "high": number(got["high"][0])}
+
+
 def _spread(fine: np.ndarray, values: np.ndarray) -> np.ndarray:
     out = np.full(len(fine), np.nan)
     out[fine] = values

@@ -9,6 +9,7 @@ from gridloom.operators import estimators as S
 from gridloom.operators import graph as G
 from gridloom.operators import joins as J
 from gridloom.operators import ordered as O
+from gridloom.operators import reduction as R
 from gridloom.operators import tracking as K
 from gridloom.sources import sinks
 from gridloom.sources import tables as T
@@ -148,16 +149,8 @@ def diffusion(spark, d):
 
 def feature_clusters(spark, d):
     """k-means of customers of each segment on balance and nation, first rows as first centres."""
-    import pandas as pd
-
     rows = T.table(spark, d, "customer").select("c_mktsegment", "c_custkey", "c_acctbal", F.col("c_nationkey").cast("double").alias("nation"))
-
-    def run(pdf):
-        pdf = pdf.sort_values("c_custkey")
-        labels, _ = S.kmeans(pdf[["c_acctbal", "nation"]].to_numpy(float), 4)
-        return pd.DataFrame({"c_mktsegment": pdf.c_mktsegment, "c_custkey": pdf.c_custkey, "cluster": labels})
-
-    return rows.groupBy("c_mktsegment").applyInPandas(run, "c_mktsegment string, c_custkey long, cluster int")
+    return R.clusters(rows, "c_mktsegment", "c_custkey", ["c_acctbal", "nation"], 4)
 
 
 def _small_sets(spark, d):

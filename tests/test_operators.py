@@ -11,6 +11,8 @@ from gridloom.operators import estimators as S
 from gridloom.operators import graph as G
 from gridloom.operators import joins as J
 from gridloom.operators import ordered as O
+from gridloom.operators import ranks
+from gridloom.operators import reduction as R
 from gridloom.operators.tracking import track
 from gridloom.sources import sinks
 from gridloom.sources import tables as T
@@ -176,6 +178,26 @@ def test_kmeans_and_diffusion():
     assert S.collective_diffusion(walk[:5], 1.0)["status"] == "insufficient_frames" and S.collective_diffusion(walk[:12], 1.0)["low"] is None
 
 
+def test_clusters_equal_those_of_one_process(spark):
+    rng = np.random.default_rng(8)
+    rows = [(g, i, float(x), float(y)) for g in ("a", "b") for i, (x, y) in enumerate(rng.standard_normal((60, 2)) + rng.integers(0, 3, (60, 1)) * 4)]
+    rows += [("c", i, 1.0, 2.0) for i in range(5)]
+    got = {(r.g, r.i): r.cluster for r in R.clusters(spark.createDataFrame(rows, "g string, i long, x double, y double"), "g", "i", ["x", "y"], 3).collect()}
+    for g in "abc":
+        own = [r for r in rows if r[0] == g]
+        labels, _ = S.kmeans(np.array([r[2:] for r in own]), 3)
+        assert [got[g, r[1]] for r in own] == labels.tolist()
+
+
+def test_quantiles_by_ranges(spark):
+    rng = np.random.default_rng(9)
+    rows = [(k, None if i % 11 == 0 else float(x)) for k, n in (("a", 1000), ("b", 7), ("c", 1)) for i, x in enumerate(rng.standard_normal(n).round(1), 1)]
+    got = {r.k: r for r in ranks.quantiles(spark.createDataFrame(rows, "k string, v double").repartition(5), ["k"], "v", {"low": 0.025, "mid": 0.5, "third": 1 / 3}).collect()}
+    for k in "abc":
+        own = [v for n, v in rows if n == k and v is not None]
+        assert [got[k].low, got[k].mid, got[k].third] == pytest.approx(np.quantile(own, [0.025, 0.5, 1 / 3]).tolist(), abs=1e-12)
+
+
 def test_envelope_has_no_nan(spark):
     df = spark.createDataFrame([(1, float("nan"))], "a int, b double")
     assert sinks.enveloped(df, "k").first()[0] == '{"schema_version":"0.1","kind":"k","data":{"a":1,"b":null}}'
@@ -196,6 +218,8 @@ def test_bands_and_blocks():
     assert (got["wide_low"][:2] <= got["low"][:2]).all() and (got["low"][:2] < x[:, :2].mean(0)).all() and (got["high"][:2] > x[:, :2].mean(0)).all()
     assert S.block_mean_bands(x[:10])["status"] == S.block_mean_bands(x[:30])["status"] == "insufficient_independent_blocks"
     assert S.block_mean_bands(np.full((100, 2), np.nan))["status"] == "no_complete_coverage"
+    assert [S.series_interval(v)["status"] for v in ([], [np.nan], [1.0, 1.0], [1.0, np.nan], [1.0, 2.0])] == ["no_observations", "no_observations", "unavailable_observed_constant", "unavailable_missing_frames", "insufficient_independent_blocks"]
+    assert S.series_interval(x[:, 0], regular=False)["status"] == "unavailable_irregular_timestamps" and S.series_interval(x[:, 0])["low"] == pytest.approx(got["low"][0])
     skew = np.exp(rng.standard_normal((800, 1)))
     one_sided = S.block_mean_bands(skew)  # the two tails of the studentised replicates differ
     assert one_sided["high"][0] - skew.mean() != pytest.approx(skew.mean() - one_sided["low"][0], rel=1e-3)
