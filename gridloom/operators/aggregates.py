@@ -190,6 +190,20 @@ def free_energy(rows: DataFrame, width: float, low: float, high: float, edge: fl
     return out.join(spread, "bin", "left").select("bin", "n", "centre", "energy", (F.col("energy") - half).alias("low"), (F.col("energy") + half).alias("high"))
 
 
+def run_variants(variants: dict[str, dict], compute) -> DataFrame:
+    """What ``compute(**overrides)`` gives (quantity, value) for each named set of overrides, with the variant's name.
+
+    Each is a plan of its own; nothing runs before the whole is asked for.
+    """
+    out = None
+    for name, overrides in variants.items():
+        one = compute(**overrides).select(F.lit(name).alias("variant"), "quantity", F.col("value").cast("double").alias("value"))
+        out = one if out is None else out.unionByName(one)
+    if out is None:
+        raise ValueError("no variant is named")
+    return out
+
+
 def spread(variants: DataFrame, baseline: str) -> DataFrame:
     """Range of each quantity over variants (variant, quantity, value), absolute and relative to the baseline's value."""
     out = variants.groupBy("quantity").agg(F.min("value").alias("least"), F.max("value").alias("greatest"), F.max(F.when(F.col("variant") == baseline, F.col("value"))).alias("base"), F.count("value").alias("runs"))

@@ -16,8 +16,15 @@ def angle(a: E.Vector, b: E.Vector, c: E.Vector) -> Column:
     return F.when(size > 0, F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), E.dot(u, v) / size)))))
 
 
-def hydrogen_bonds(donors: DataFrame, acceptors: DataFrame, reach: float = 3.5, nearest: float = 1.2, h_reach: float = 2.5, least_angle: float = 150.0, keys: list[str] = ()) -> DataFrame:
-    """Bonds donor (id, grp, x, y, z, hydrogen at hx, hy, hz) to acceptor (id, grp, x, y, z) of another group."""
+def hydrogen_bonds(donors: DataFrame, acceptors: DataFrame, reach: float = 3.5, nearest: float = 1.2, h_reach: float = 2.5, least_angle: float = 150.0, keys: list[str] = (), bond: tuple[float, float, float] = (0.4, 1.25, 1.65)) -> DataFrame:
+    """Bonds donor (id, grp, x, y, z, hydrogen at hx, hy, hz) to acceptor (id, grp, x, y, z) of another group.
+
+    A hydrogen counts where it is farther from its donor than the first of ``bond`` and no farther than the second, or the third if
+    the donors have an element and it is sulphur.
+    """
+    own = E.distance(E.xyz(), tuple(F.col(f"h{a}") for a in "xyz"))
+    most = F.when(F.upper("element") == "S", bond[2]).otherwise(bond[1]) if "element" in donors.columns else F.lit(bond[1])
+    donors = donors.where((own > bond[0]) & (own <= most))
     pairs = range_join(donors, acceptors, reach, keys).where((F.col("distance") > nearest) & (F.col("l_grp") != F.col("r_grp")))
     h = tuple(F.col(f"l_h{a}") for a in "xyz")
     pairs = pairs.withColumn("h_distance", E.distance(h, E.xyz("r_"))).withColumn("angle", angle(E.xyz("l_"), h, E.xyz("r_")))
@@ -32,11 +39,14 @@ def charge_pairs(sites: DataFrame, reach: float = 4.0, keys: list[str] = ()) ->
     return best.select(*keys, "positive", "negative", "b.distance", F.col("b.l_id").alias("id_a"), F.col("b.r_id").alias("id_b"))
 
 
-def stacked_rings(rings: DataFrame, near: float = 2.5, far: float = 5.5, keys: list[str] = ()) -> DataFrame:
+def stacked_rings(rings: DataFrame, near: float = 2.5, far: float = 5.5, keys: list[str] = (), flat: float = 0.15) -> DataFrame:
     """Ring pairs (id, grp, centre x, y, z, unit normal nx, ny, nz) that lie parallel or edge to face.
 
     Parallel: planes within 30 degrees and both offsets at most 2; edge to face: at least 60 degrees and the lesser offset at most 2.
+    Rings that have an ``rms``, their atoms' distance from the plane, count only where it is at most ``flat``.
     """
+    if "rms" in rings.columns:
+        rings = rings.where(F.col("rms") <= flat).drop("rms")
     pairs = range_join(rings, rings, far, keys).where((F.col("l_id") < F.col("r_id")) & (F.col("l_grp") != F.col("r_grp")) & (F.col("distance") >= near))
     n, m = (tuple(F.col(f"{s}n{a}") for a in "xyz") for s in ("l_", "r_"))
     d = E.sub(E.xyz("r_"), E.xyz("l_"))

@@ -103,11 +103,14 @@ def distinct_routes(routes: DataFrame, by: list[str], order: list[Column], separ
 # ------------------------------------------------------------------- lattice
 
 
-def lattice(spark, low: tuple, high: tuple, spacing: float, most: int = 16_000_000) -> DataFrame:
-    """Nodes (id, i, j, k, x, y, z) of a regular lattice; more than ``most`` nodes are refused."""
+def lattice(spark, low: tuple, high: tuple, spacing: float, most: int = 16_000_000, cover: bool = False) -> DataFrame:
+    """Nodes (id, i, j, k, x, y, z) of a regular lattice; more than ``most`` nodes are refused.
+
+    The last node of an axis is the last within the box, or with ``cover`` the first at or beyond its end.
+    """
     import math
 
-    n = [max(2, math.floor((b - a) / spacing + 1e-9) + 1) for a, b in zip(low, high, strict=True)]
+    n = [max(2, (math.ceil((b - a) / spacing - 1e-9) if cover else math.floor((b - a) / spacing + 1e-9)) + 1) for a, b in zip(low, high, strict=True)]
     if math.prod(n) > most:
         raise ValueError(f"{math.prod(n)} lattice nodes are more than {most}")
     ids = spark.range(math.prod(n))

@@ -69,6 +69,16 @@ def rejoined(results: DataFrame, source: DataFrame, keys: list[str], time: str)
     return both.where(F.when(wrong.isNotNull(), F.raise_error(wrong).cast("boolean")).otherwise(F.lit(True))).drop("_r", "_s", "_time")
 
 
+def all_frames(rows: DataFrame, frames: DataFrame, frame: str = "frame") -> DataFrame:
+    """``rows``, if their frames are just those of ``frames``; a missing or a further one is an error. Frames are compared, not rows."""
+    have, want = rows.select(frame).distinct(), frames.select(frame).distinct()
+    if not want.join(have, frame, "left_anti").isEmpty():
+        raise ValueError("a frame is missing")
+    if not have.join(want, frame, "left_anti").isEmpty():
+        raise ValueError("there is a frame too many")
+    return rows
+
+
 def looked_up(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
     """``rows`` with the table's columns; a row whose keys the table lacks is an error."""
     out = rows.join(table.withColumn("_found", F.lit(True)), keys, "left")

@@ -27,7 +27,7 @@ SITES_SQL = """sites AS (SELECT vec_id AS id, label AS grp, embedding[1]::DOUBLE
 
 def hydrogen_bonds(spark, d):
     s = _sites(spark, d)
-    return C.hydrogen_bonds(s.where("id % 2 = 0"), s.where("id % 2 = 1").select("id", "grp", "x", "y", "z"), least_angle=120.0).select("donor", "acceptor", _r("distance"), _r("h_distance"), _r("angle", 4))
+    return C.hydrogen_bonds(s.where("id % 2 = 0"), s.where("id % 2 = 1").select("id", "grp", "x", "y", "z")).select("donor", "acceptor", _r("distance"), _r("h_distance"), _r("angle", 4))
 
 
 def charge_pairs(spark, d):
@@ -35,7 +35,7 @@ def charge_pairs(spark, d):
 
 
 def stacked_rings(spark, d):
-    return C.stacked_rings(_sites(spark, d).select("id", "grp", "x", "y", "z", "nx", "ny", "nz")).select("a", "b", "kind", _r("distance"), _r("tilt", 4))
+    return C.stacked_rings(_sites(spark, d).select("id", "grp", "x", "y", "z", "nx", "ny", "nz", (F.col("id") % 10 * 0.02).alias("rms"))).select("a", "b", "kind", _r("distance"), _r("tilt", 4))
 
 
 def water_counts(spark, d):
@@ -88,11 +88,11 @@ QUERIES = {f.__name__: f for f in (hydrogen_bonds, charge_pairs, stacked_rings,
 ORACLE_SQL = {
     "hydrogen_bonds": f"""WITH {SITES_SQL}, p AS (SELECT a.id AS donor, b.id AS acceptor, {DIST} AS distance, sqrt((a.hx-b.x)*(a.hx-b.x)+(a.hy-b.y)*(a.hy-b.y)+(a.hz-b.z)*(a.hz-b.z)) AS h_distance,
       (a.x-a.hx)*(b.x-a.hx)+(a.y-a.hy)*(b.y-a.hy)+(a.z-a.hz)*(b.z-a.hz) AS dot, sqrt((a.x-a.hx)*(a.x-a.hx)+(a.y-a.hy)*(a.y-a.hy)+(a.z-a.hz)*(a.z-a.hz)) AS u FROM sites a JOIN sites b ON a.id % 2 = 0 AND b.id % 2 = 1 AND a.grp <> b.grp WHERE {DIST} <= 3.5 AND {DIST} > 1.2),
-      q AS (SELECT *, degrees(acos(greatest(-1, least(1, dot / (u * h_distance))))) AS angle FROM p) SELECT donor, acceptor, round(distance, 6) AS distance, round(h_distance, 6) AS h_distance, round(angle, 4) AS angle FROM q WHERE h_distance <= 2.5 AND angle >= 120""",
+      q AS (SELECT *, degrees(acos(greatest(-1, least(1, dot / (u * h_distance))))) AS angle FROM p) SELECT donor, acceptor, round(distance, 6) AS distance, round(h_distance, 6) AS h_distance, round(angle, 4) AS angle FROM q WHERE h_distance <= 2.5 AND angle >= 150 AND u > 0.4 AND u <= 1.25""",
     "charge_pairs": f"""WITH {SITES_SQL}, p AS (SELECT a.grp AS positive, b.grp AS negative, a.id AS id_a, b.id AS id_b, {DIST} AS distance FROM sites a JOIN sites b ON a.charge > 0 AND b.charge < 0 AND a.grp <> b.grp WHERE {DIST} <= 1.5)
       SELECT positive, negative, id_a, id_b, round(distance, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY positive, negative ORDER BY distance, id_a, id_b) AS n FROM p) WHERE n = 1""",
     "stacked_rings": f"""WITH {SITES_SQL}, p AS (SELECT a.id AS a, b.id AS b, {DIST} AS distance, degrees(acos(least(1, abs(a.nx*b.nx+a.ny*b.ny+a.nz*b.nz)))) AS tilt, ((b.x-a.x)*a.nx+(b.y-a.y)*a.ny+(b.z-a.z)*a.nz) AS da, ((b.x-a.x)*b.nx+(b.y-a.y)*b.ny+(b.z-a.z)*b.nz) AS db
-      FROM sites a JOIN sites b ON a.id < b.id AND a.grp <> b.grp WHERE {DIST} BETWEEN 2.5 AND 5.5), q AS (SELECT *, sqrt(greatest(0, distance * distance - da * da)) AS oa, sqrt(greatest(0, distance * distance - db * db)) AS ob FROM p),
+      FROM sites a JOIN sites b ON a.id < b.id AND a.grp <> b.grp AND a.id % 10 < 8 AND b.id % 10 < 8 WHERE {DIST} BETWEEN 2.5 AND 5.5), q AS (SELECT *, sqrt(greatest(0, distance * distance - da * da)) AS oa, sqrt(greatest(0, distance * distance - db * db)) AS ob FROM p),
       k AS (SELECT *, CASE WHEN tilt <= 30 AND greatest(oa, ob) <= 2 THEN 'parallel' WHEN tilt >= 60 AND least(oa, ob) <= 2 THEN 'edge_face' END AS kind FROM q) SELECT a, b, kind, round(distance, 6) AS distance, round(tilt, 4) AS tilt FROM k WHERE kind IS NOT NULL""",
     "water_counts": f"""WITH {SITES_SQL} SELECT a.grp, count(DISTINCT b.id) AS waters, count(DISTINCT b.id) FILTER (a.part = 'backbone') AS backbone, count(DISTINCT b.id) FILTER (a.part = 'side') AS side_chain, count(DISTINCT b.id) FILTER (a.polar) AS polar, round(min({DIST}), 6) AS min_distance
       FROM sites a JOIN sites b ON a.grp <> 9 AND b.grp = 9 WHERE {DIST} <= 1.0 GROUP BY a.grp""",

@@ -328,7 +328,7 @@ p AS (SELECT key, turn, min(f) AS f, max(l) AS l, bool_or(state = 'inside') AS p
 e AS (SELECT p.key, p.f AS entry_frame, p.l + 1 AS exit_frame, CASE WHEN b.state = 'above' THEN 'up' ELSE 'down' END AS direction, CASE WHEN passed THEN 'complete' ELSE 'outside_lumen' END AS status
   FROM p JOIN v a ON a.key = p.key AND a.l = p.f - 1 JOIN v b ON b.key = p.key AND b.f = p.l + 1 WHERE a.state IN ('below', 'above') AND b.state IN ('below', 'above') AND a.state <> b.state UNION ALL {STRAIGHT})"""
 _BONDS = f"""{SITES_SQL}, p AS (SELECT a.id AS d, a.grp AS dg, b.id AS c, b.grp AS cg, {DIST} AS distance, sqrt((a.hx-b.x)**2+(a.hy-b.y)**2+(a.hz-b.z)**2) AS h, (a.x-a.hx)*(b.x-a.hx)+(a.y-a.hy)*(b.y-a.hy)+(a.z-a.hz)*(b.z-a.hz) AS dot, sqrt((a.x-a.hx)**2+(a.y-a.hy)**2+(a.z-a.hz)**2) AS u
-  FROM sites a JOIN sites b ON a.grp <> b.grp AND ((a.id % 2 = 0 AND b.grp = 9) OR (a.grp = 9 AND b.id % 2 = 1)) WHERE {DIST} <= 3.5 AND {DIST} > 1.2), q AS (SELECT *, degrees(acos(greatest(-1, least(1, dot / (u * h))))) AS angle FROM p WHERE h <= 2.5),
+  FROM sites a JOIN sites b ON a.grp <> b.grp AND sqrt((a.x-a.hx)**2+(a.y-a.hy)**2+(a.z-a.hz)**2) > 0.4 AND sqrt((a.x-a.hx)**2+(a.y-a.hy)**2+(a.z-a.hz)**2) <= 1.25 AND ((a.id % 2 = 0 AND b.grp = 9) OR (a.grp = 9 AND b.id % 2 = 1)) WHERE {DIST} <= 3.5 AND {DIST} > 1.2), q AS (SELECT *, degrees(acos(greatest(-1, least(1, dot / (u * h))))) AS angle FROM p WHERE h <= 2.5),
 o AS (SELECT water, grp, arg_min(distance, (distance, angle, site)) AS distance, arg_min(angle, (distance, angle, site)) AS angle FROM (SELECT c AS water, dg AS grp, d AS site, distance, angle FROM q WHERE cg = 9 AND angle >= 110 UNION ALL SELECT d, cg, c, distance, angle FROM q WHERE dg = 9 AND angle >= 110) GROUP BY water, grp)"""
 
 

@@ -257,11 +257,12 @@ def axial_energy(spark, d):
 
 def cutoff_sensitivity(spark, d):
     """Numbers of contacts at three cutoffs, as a spread about the middle one."""
-    runs = None
-    for name, cutoff in (("low", 0.04), ("base", 0.05), ("high", 0.06)):
+
+    def compute(cutoff):
         one = J.closest_contacts(_points(spark, d), cutoff).agg(F.count("*").cast("double").alias("edges"), F.avg("distance").alias("mean_distance"))
-        one = one.selectExpr(f"'{name}' AS variant", "stack(2, 'edges', edges, 'mean_distance', mean_distance) AS (quantity, value)")
-        runs = one if runs is None else runs.unionByName(one)
+        return one.selectExpr("stack(2, 'edges', edges, 'mean_distance', mean_distance) AS (quantity, value)")
+
+    runs = A.run_variants({"low": {"cutoff": 0.04}, "base": {"cutoff": 0.05}, "high": {"cutoff": 0.06}}, compute)
     return A.spread(runs, "base").select("quantity", "runs", *[_r(c, 6) for c in ("least", "greatest", "base", "range", "relative_percent")])
 
 

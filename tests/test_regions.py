@@ -60,6 +60,11 @@ def test_refusals(spark):
         S.rejoined(frames, frames.withColumn("t", F.col("t") + 1), ["frame"], "t").collect()
     with pytest.raises(Exception, match="no entry for 1"):
         S.looked_up(frames, frames.where("frame = 0").withColumnRenamed("t", "v"), ["frame"]).collect()
+    for more, few in ((frames, frames.where("frame = 0")), (frames.where("frame = 0"), frames)):
+        with pytest.raises(ValueError, match="frame"):
+            S.all_frames(more, few)
+    assert S.all_frames(frames, frames).count() == 2
+    assert G.lattice(spark, (0, 0, 0), (1, 1, 1), 0.3).count() == 64 and G.lattice(spark, (0, 0, 0), (1, 1, 1), 0.3, cover=True).count() == 125
     records = spark.createDataFrame([(0, "C???", "ALA", 1.7)], "line long, name string, resname string, radius double")
     with pytest.raises(Exception, match="no radius record"):
         S.record_radii(spark.createDataFrame([("OG", "SER")], "name string, resname string"), records).collect()
