@@ -40,6 +40,8 @@ WINDOW, STRIDE = 32, 24
 PAD = 65_535
 #: Neighbouring subwords that are counted at once, and words whose subwords a Python worker remembers.
 PAIRS, REMEMBERED = 2_000_000, 300_000
+#: Partitions whose counts one task adds up.
+MERGED = 64
 #: Windows trained on in one run of Adam; rounds, between which weights are averaged and to which runs are dealt in turn.
 RUN, ROUNDS = 4096, 2
 DIM, VALUES, CLASSES = 16, 16, 32
@@ -243,7 +245,7 @@ def windows_of(x: np.ndarray, offsets: np.ndarray):
 
 
 def gather(train: DataFrame, place: np.ndarray, vocabulary: bytes) -> DataFrame:
-    """Packed counts of neighbouring places (kind 0, by group of rows r) and windows to train on (kind 1, in round r)."""
+    """Packed counts of neighbouring places (kind 0, by group of rows r and part) and windows to train on (kind 1, in round r)."""
     size = int(place.max()) + 1
     per = 128
 
@@ -252,6 +254,7 @@ def gather(train: DataFrame, place: np.ndarray, vocabulary: bytes) -> DataFrame:
         from pyspark import TaskContext
 
         table, turn = subwords(vocabulary), TaskContext.get().partitionId()
+        part_of, names = pa.array([turn], pa.int32()), ["kind", "r", "part", "a", "b"]
         total, pairs, held = np.zeros(size * size, np.int32), [], 0
 
         def add():
@@ -276,34 +279,44 @@ def gather(train: DataFrame, place: np.ndarray, vocabulary: bytes) -> DataFrame:
                 del w, last
                 C.trim()
                 for whole in windows_of(x, offsets):
-                    yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([turn % ROUNDS], pa.int32()), pa.array([whole.tobytes()], pa.binary()), pa.array([b""], pa.binary())], ["kind", "r", "a", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([turn % ROUNDS], pa.int32()), part_of, pa.array([whole.tobytes()], pa.binary()), pa.array([b""], pa.binary())], names)
                     turn += 1
         add()
         some = np.flatnonzero(total)
         edges = np.searchsorted(some, np.arange(0, size + per, per) * size)
         for r, (a, b) in enumerate(zip(edges, edges[1:])):
             if a < b:
-                yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([r], pa.int32()), pa.array([(some[a:b] - r * per * size).astype(np.uint32).tobytes()], pa.binary()), pa.array([total[some[a:b]].tobytes()], pa.binary())], ["kind", "r", "a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([r], pa.int32()), part_of, pa.array([(some[a:b] - r * per * size).astype(np.uint32).tobytes()], pa.binary()), pa.array([total[some[a:b]].astype(np.float32).tobytes()], pa.binary())], names)
 
-    return train.select("text").mapInArrow(run, "kind int, r int, a binary, b binary")
+    return train.select("text").mapInArrow(run, "kind int, r int, part int, a binary, b binary")
 
 
 def neighbour_counts(gathered: DataFrame, size: int) -> np.ndarray:
-    """Counts of (last, next) places, as a matrix of fixed size."""
+    """Counts of (last, next) places, as a matrix of fixed size.
+
+    Partitions' counts are added up MERGED at a time, so that no group holds more than that many of them.
+    """
     per = 128
 
     def add(table):
         import pyarrow as pa
 
-        total = np.zeros(per * size, np.int64)
+        total = np.zeros(per * size, np.float64)
         for a, b in zip(table.column("a").to_pylist(), table.column("b").to_pylist(), strict=True):
-            total[np.frombuffer(a, np.uint32)] += np.frombuffer(b, np.int32)
+            total[np.frombuffer(a, np.uint32)] += np.frombuffer(b, np.float32)
         some = np.flatnonzero(total)
-        row = (table.column("r")[0].as_py(), some.astype(np.uint32).tobytes(), total[some].astype(np.float32).tobytes())
-        return pa.table([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["r", "a", "b"])
+        row = (table.column("r")[0].as_py(), table.column("part")[0].as_py(), some.astype(np.uint32).tobytes(), total[some].astype(np.float32).tobytes())
+        return pa.table([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["r", "part", "a", "b"])
 
     out = np.zeros(size * size, np.float32)
-    for r, a, b in gathered.where("kind = 0").groupBy("r").applyInArrow(add, "r int, a binary, b binary").toLocalIterator():
+    counts = gathered.where("kind = 0").select("r", "part", "a", "b")
+    parts = (counts.agg(F.max("part")).first()[0] or 0) + 1
+    while True:
+        parts = -(-parts // MERGED)
+        counts = counts.withColumn("part", F.floor(F.col("part") / MERGED).cast("int")).groupBy("r", "part").applyInArrow(add, "r int, part int, a binary, b binary")
+        if parts == 1:
+            break
+    for r, _, a, b in counts.toLocalIterator():
         out[np.frombuffer(a, np.uint32).astype(np.int64) + r * per * size] = np.frombuffer(b, np.float32)
     return out.reshape(size, size)
 

@@ -411,7 +411,7 @@ def test_windows_cover_every_text_once():
     assert any((windows[i : i + len(one)] == one).all() for i in range(len(windows) - len(one) + 1))
 
 
-def test_short_texts_in_many_partitions_train_the_attention(spark):
+def test_short_texts_in_many_partitions_train_the_attention(spark, monkeypatch):
     rows = [(f"light house {i % 7} under the river of stone",) for i in range(60)]
     texts = spark.createDataFrame(rows, "text string").repartition(20)
     place = np.ones(lm_score.subwords(open(lm_score.VOCABULARY, "rb").read()).size + 1, np.int32)
@@ -420,6 +420,9 @@ def test_short_texts_in_many_partitions_train_the_attention(spark):
     gathered = lm_score.gather(texts, place, open(lm_score.VOCABULARY, "rb").read())
     start = lm_score.Model(lm_score.neighbour_counts(gathered, 42)).weights
     assert {r.r for r in gathered.where("kind = 1").collect()} == {0, 1}
+    whole = lm_score.neighbour_counts(gathered, 42)
+    monkeypatch.setattr(lm_score, "MERGED", 3)  # 20 partitions in three turns
+    assert (lm_score.neighbour_counts(gathered, 42) == whole).all() and whole.sum() > 400
     after = lm_score.fit(gathered, 42).weights
     assert all((start[k] != after[k]).any() for k in ("query", "key", "value", "out"))
 
