@@ -254,9 +254,12 @@ def _packed_rows(column) -> np.ndarray:
     return np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(np.float32).reshape(len(column), -1)
 
 
+OUTPUTS = ["quality_score", "quality_keep", "text_score", "metadata_score"]
+
+
 def score(docs: DataFrame, model: CoTrained | None) -> DataFrame:
     """``docs`` with quality_score, quality_keep, and the calibrated probabilities text_score and metadata_score."""
-    new = ["quality_score", "quality_keep", "text_score", "metadata_score"]
+    new = OUTPUTS
     if model is None:
         half = F.lit(0.5)
         return docs.withColumns({"quality_score": half, "quality_keep": F.lit(True), "text_score": half, "metadata_score": half})
@@ -278,9 +281,10 @@ def score(docs: DataFrame, model: CoTrained | None) -> DataFrame:
 
 
 def filter_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are kept, with the columns of ``docs``."""
-    scored = score(docs, fit(docs, labels))
-    return scored.where("quality_keep").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of ``docs`` that are kept, with the columns of ``docs``, also those named like the outputs of :func:`score`."""
+    aside = {c: c + "_" * max(1, len(max(docs.columns, key=len))) for c in docs.columns if c in OUTPUTS}
+    scored = score(docs.withColumnsRenamed(aside), fit(docs, labels))
+    return scored.where("quality_keep").select(*[F.col(f"`{aside.get(c, c)}`").alias(c) for c in docs.columns])
 
 
 def op2_quality(spark, sf_dir: str) -> DataFrame:
