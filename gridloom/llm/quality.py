@@ -97,26 +97,36 @@ def metadata_features(source: list, lang: list, n_chars: list) -> np.ndarray:
     return out
 
 
+#: Rows that a fit works on at once.
+BLOCK = 2048
+
+
 class Logistic:
-    """Ridge logistic regression by Newton steps on standardised features."""
+    """Ridge logistic regression by Newton steps on standardised features, block of rows by block: rows are never copied whole."""
 
     def __init__(self, x: np.ndarray, y: np.ndarray, ridge: float = 3.0, rounds: int = 7):
-        self.mean, self.scale = x.mean(0, dtype=np.float64), x.std(0, dtype=np.float64) + 1e-6
-        z = np.concatenate([(x - self.mean) / self.scale, np.ones((len(x), 1))], 1)
-        w = np.zeros(z.shape[1])
-        penalty = np.full(len(w), ridge)
+        n, width = x.shape
+        blocks = [slice(a, a + BLOCK) for a in range(0, n, BLOCK)]
+        self.mean = sum(x[b].sum(0, dtype=np.float64) for b in blocks) / n
+        self.scale = np.sqrt(sum(((x[b] - self.mean) ** 2).sum(0) for b in blocks) / n) + 1e-6
+        w, penalty = np.zeros(width + 1), np.full(width + 1, ridge)
         penalty[-1] = 1e-3
         # both classes weigh alike
         share = np.clip(y.mean(), 1e-3, 1 - 1e-3)
-        weight = np.where(y == 1, 0.5 / share, 0.5 / (1 - share))
         for _ in range(rounds):
-            p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-            h = (z * (weight * p * (1 - p))[:, None]).T @ z + np.diag(penalty)
-            w += np.linalg.solve(h, z.T @ (weight * (y - p)) - penalty * w)
+            h, g = np.diag(penalty), -penalty * w
+            for b in blocks:
+                z = np.concatenate([(x[b] - self.mean) / self.scale, np.ones((len(x[b]), 1))], 1)
+                weight = np.where(y[b] == 1, 0.5 / share, 0.5 / (1 - share))
+                p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+                h += (z * (weight * p * (1 - p))[:, None]).T @ z
+                g += z.T @ (weight * (y[b] - p))
+            w += np.linalg.solve(h, g)
         self.w = w
 
     def odds(self, x: np.ndarray) -> np.ndarray:
-        return np.clip(((x - self.mean) / self.scale) @ self.w[:-1] + self.w[-1], -30, 30)
+        parts = [((x[a : a + BLOCK] - self.mean) / self.scale) @ self.w[:-1] for a in range(0, len(x), BLOCK)]
+        return np.clip(np.concatenate([np.zeros(0), *parts]) + self.w[-1], -30, 30)
 
 
 class CoTrained:
