@@ -32,9 +32,9 @@ from pyspark.sql import functions as F
 from gridloom.llm import common as C
 from gridloom.llm.components import components
 
-SLICE_BYTES = 3 << 20
+SLICE_BYTES = 2 << 20
 #: N-grams of a hash range, and of a group of sets, that one task holds at once.
-RANGE_GRAMS = 1_000_000
+RANGE_GRAMS = 600_000
 #: Sets of a group or block, and of a cluster that one task joins.
 GROUP_SETS, CLUSTER_SETS = 1024, 1500
 #: Numbers of documents to drop up to which they are broadcast, of eight bytes each.
@@ -83,7 +83,7 @@ def _slices(batch):
     sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
     for a, b in C.pieces_of(batch.num_rows, sizes, SLICE_BYTES):
         yield batch.slice(a, b - a)
-    C.trim()
+        C.trim()
 
 
 def document_sets(docs: DataFrame, n: int) -> DataFrame:
