@@ -321,6 +321,17 @@ def neighbour_counts(gathered: DataFrame, size: int) -> np.ndarray:
     return out.reshape(size, size)
 
 
+def _limit(x: np.ndarray) -> None:
+    """Holds logits within LIMIT; nearly always they are."""
+    if x.max() > LIMIT or x.min() < -LIMIT:
+        np.clip(x, np.float32(-LIMIT), np.float32(LIMIT), out=x)
+
+
+def _turn(x: np.ndarray) -> np.ndarray:
+    """The last two axes turned, as a copy: products of many small matrices are faster with it than with a view."""
+    return np.ascontiguousarray(x.transpose(0, 2, 1))
+
+
 class Model:
     """Counts, embeddings and classes, which are fixed, and the attention's weights."""
 
@@ -369,9 +380,9 @@ class Model:
         b, n = x.shape
         turned = (e.reshape(b * n, DIM) @ np.concatenate([w["query"] * np.float32(DIM**-0.5), w["key"], w["value"]], 1)).reshape(b, n, -1)
         q, k, v = turned[:, :, :DIM], turned[:, :, DIM : 2 * DIM], turned[:, :, 2 * DIM :]
-        s = q @ k.transpose(0, 2, 1)
+        s = q @ _turn(k)
         s += w["distance"][np.maximum(_GAP[:n, :n], 0)]
-        np.clip(s, np.float32(-LIMIT), np.float32(LIMIT), out=s)
+        _limit(s)
         s += _LATER[:n, :n]
         np.exp(s, out=s)
         return e, q, k, v, s
@@ -387,41 +398,47 @@ class Model:
         x, target = np.where(x == PAD, 0, x), np.where(some, target, 0)
         b, n = x.shape
         e, q, k, v, s = self._turned(x)
-        total = s.sum(2, keepdims=True)
+        # sums over short axes are products with ones
+        total = (s.reshape(b * n, n) @ np.ones(n, np.float32)).reshape(b, n, 1)
         h = s @ v
         h /= total
         flat = h.reshape(b * n, VALUES)
         p = flat @ w["out"]
         p += w["bias"]
-        np.clip(p, np.float32(-LIMIT), np.float32(LIMIT), out=p)
+        _limit(p)
         p += np.take(self.log_group, x.ravel(), axis=0)
         np.exp(p, out=p)
         each = (some.ravel() / np.float32(max(1, np.count_nonzero(some)))).astype(np.float32)
-        share = each / p.sum(1)
-        goal = np.arange(b * n), self.group[target].ravel()
-        loss = float(-(np.log(p[goal] * share / np.maximum(each, np.float32(1e-30)) + 1e-30) * each).sum()) if with_loss else 0.0
+        share = each / (p @ np.ones(self.classes, np.float32))
+        goal, flat_p = np.arange(b * n) * self.classes + np.take(self.group, target.ravel()), p.reshape(-1)
+        loss = float(-(np.log(flat_p[goal] * share / np.maximum(each, np.float32(1e-30)) + 1e-30) * each).sum()) if with_loss else 0.0
         p *= share[:, None]
-        p[goal] -= each
+        flat_p[goal] -= each
         # what the weights' sum divides is taken from dh at once
         dh = (p @ w["out"].T).reshape(b, n, VALUES)
         dh /= total
-        ds = dh @ v.transpose(0, 2, 1)
-        ds -= np.einsum("bij,bij->bi", dh, h)[:, :, None]
+        ds = dh @ _turn(v)
+        ds -= ((dh * h).reshape(b * n, VALUES) @ np.ones(VALUES, np.float32)).reshape(b, n, 1)
         ds *= s
-        turned = np.concatenate([ds @ k * np.float32(DIM**-0.5), ds.transpose(0, 2, 1) @ q, s.transpose(0, 2, 1) @ dh], 2)
-        weights = e.reshape(b * n, DIM).T @ turned.reshape(b * n, -1)
-        distance = np.bincount(np.maximum(_GAP[:n, :n], 0).ravel(), np.where(_GAP[:n, :n] >= 0, ds.sum(0), 0).ravel(), WINDOW)
+        turned = np.empty((b, n, 2 * DIM + VALUES), np.float32)
+        np.matmul(ds, k, out=turned[:, :, :DIM])
+        np.matmul(ds.transpose(0, 2, 1), q, out=turned[:, :, DIM : 2 * DIM])
+        np.matmul(s.transpose(0, 2, 1), dh, out=turned[:, :, 2 * DIM :])
+        weights = (e.transpose(0, 2, 1) @ turned).sum(0)
+        weights[:, :DIM] *= np.float32(DIM**-0.5)
+        distance = np.bincount(np.maximum(_GAP[:n, :n], 0).ravel(), ds.sum(0).ravel(), WINDOW)  # zero for what comes later
         return loss, {
             "query": weights[:, :DIM],
             "key": weights[:, DIM : 2 * DIM],
             "value": weights[:, 2 * DIM :],
-            "out": flat.T @ p,
-            "bias": p.sum(0),
+            "out": (h.transpose(0, 2, 1) @ p.reshape(b, n, -1)).sum(0),
+            "bias": np.ones(b * n, np.float32) @ p,
             "distance": distance.astype(np.float32),
         }
 
     def train(self, windows: np.ndarray, rate: float, batch: int = 64) -> None:
         """Adam over windows of WINDOW + 1 places, once, in an order that the windows' number fixes."""
+        C.hold()
         order = np.random.default_rng(len(windows)).permutation(len(windows))
         names = list(self.weights)
         shapes = [self.weights[k].shape for k in names]
@@ -441,7 +458,7 @@ class Model:
     def tables(self) -> tuple:
         """What scoring needs: queries, keys and values of the places, the weight of each distance, what turns values into logits, and class chances by counts.
 
-        Logits are held within LIMIT, as in training.
+        A last value of one adds up the weights of what stands before, and then meets the bias. Logits are held within LIMIT, as in training.
         """
         w = self.weights
         q = (self.embed @ w["query"]) * np.float32(DIM**-0.5)
@@ -453,7 +470,8 @@ class Model:
             q, distance = q * np.float32(LIMIT / most), np.maximum(distance * np.float32(LIMIT / most), np.float32(-1e9))
         most = np.linalg.norm(v, axis=1).max() * np.linalg.norm(w["out"], axis=0).max() + np.abs(w["bias"]).max()
         fit = np.float32(min(1.0, LIMIT / max(most, 1e-9)))
-        return q, np.concatenate([k, v], 1), distance, w["out"] * fit, w["bias"] * fit, np.exp(self.log_group)
+        one = np.ones((len(v), 1), np.float32)
+        return q, np.concatenate([k, v, one], 1), distance, np.concatenate([w["out"], w["bias"][None]]) * fit, np.exp(self.log_group)
 
     def log10_scores(self, x: np.ndarray, offsets: np.ndarray, batch: int = 96) -> np.ndarray:
         """For each text the log10 probability of its places (the last one its end), each scored in one window.
@@ -469,34 +487,36 @@ class Model:
         last = np.zeros(len(x) + WINDOW + 1, np.int32)  # what stands before each place
         last[back + 1 : back + 1 + len(x)] = x
         last[back + offsets[:-1]] = 0
-        goal = np.append(x, np.zeros(WINDOW, np.int32))
+        by_counts = np.take(self.log_next.ravel(), last[back : back + len(x)].astype(np.int64) * len(self.log_next) + x)
+        goal = np.append(np.take(self.group, x), np.zeros(WINDOW, np.int32))
         span, ahead = np.arange(WINDOW), np.arange(STRIDE)
-        q, kv, distance, turn, bias, chance = self.tables()
-        first = offsets[text] + begin
+        q, kv, distance, turn, chance = self.tables()
+        first, left = offsets[text] + begin, size[text] - begin
+        row, ones = np.arange(batch * STRIDE) * self.classes, np.ones(self.classes, np.float32)
         out = np.zeros(len(text))
         for a in range(0, len(text), batch):
             at = first[a : a + batch, None]
-            seen = last[at + span]
+            seen = np.take(last, at + span)
             early = np.flatnonzero(begin[a : a + batch] < back)
             if len(early):
-                seen[early[:, None], span] = np.where(begin[a : a + batch][early, None] - back + span < 0, 0, seen[early])
+                seen[early] = np.where(begin[a : a + batch][early, None] - back + span < 0, 0, seen[early])
             here = seen[:, back:]
-            both = kv[seen]
-            s = q[here] @ both[:, :, :DIM].transpose(0, 2, 1)
+            both = np.take(kv, seen, axis=0)
+            s = np.take(q, here, axis=0) @ _turn(both[:, :, :DIM])
             s += distance
             np.exp(s, out=s)
             h = s @ both[:, :, DIM:]
-            h /= s.sum(2, keepdims=True)
-            z = h.reshape(-1, VALUES) @ turn
-            z += bias
-            here, aim = here.ravel(), goal[at + ahead].ravel()
-            own = z[np.arange(len(z)), self.group[aim]]
+            h /= h[:, :, VALUES:].copy()
+            z = h.reshape(-1, VALUES + 1) @ turn
+            own = np.take(z.ravel(), row[: len(z)] + np.take(goal, at + ahead).ravel())
             np.exp(z, out=z)
-            score = self.log_next[here, aim] + own - np.log(np.einsum("ic,ic->i", z, chance[here]))
-            score = score.reshape(-1, STRIDE)
-            score[ahead >= (size[text[a : a + batch]] - begin[a : a + batch])[:, None]] = 0
+            z *= np.take(chance, here.ravel(), axis=0)
+            score = (own - np.log(z @ ones)).reshape(-1, STRIDE)
+            short = np.flatnonzero(left[a : a + batch] < STRIDE)
+            score[short] = np.where(ahead < left[a : a + batch][short, None], score[short], 0)
             out[a : a + batch] = score.sum(1, dtype=np.float64)
-        return np.bincount(text, out, texts) / np.log(10)
+        out = np.bincount(text, out, texts) + np.bincount(np.repeat(np.arange(texts), size), by_counts, texts)
+        return out / np.log(10)
 
 
 def average(models: list[tuple[dict, int]]) -> dict:
