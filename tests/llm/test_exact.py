@@ -125,6 +125,25 @@ def test_repeats_equal_brute_force(spark, monkeypatch):
         assert got[i].text == kept.decode("utf-8", "ignore")
 
 
+@pytest.mark.parametrize("length", [1, 25, 60])
+def test_spans_of_repeats_of_any_length_equal_brute_force(spark, length):
+    rng = random.Random(12)
+    line = lambda n: "".join(rng.choice("abcdeé fgh") for _ in range(n))
+    shared = [line(150), line(70), line(40)]
+    texts = [line(30) + shared[0] + line(90), shared[0][20:] + shared[1], line(80), "ab" * 90, shared[1] + line(30) + shared[1] + shared[2], line(9) + shared[2], "xyz", "0", None, ""]
+    texts += [texts[2], "7" * 59 + "8"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r for r in repeats.remove_repeats(docs, length).collect()}
+    raw = [(t or "").encode() for t in texts]
+    seen = Counter(b[p : p + length] for b in raw for p in range(len(b) - length + 1))
+    for i, b in enumerate(raw):
+        gone = {q for p in range(len(b) - length + 1) if seen[b[p : p + length]] > 1 for q in range(p, p + length)}
+        ends = [p for p in range(len(b) + 1) if (p in gone) != (p - 1 in gone)]
+        assert (got[i].spans, got[i].n_removed) == (",".join(f"{x}:{y}" for x, y in zip(ends[::2], ends[1::2], strict=True)), len(gone))
+        kept = bytes(c for p, c in enumerate(b) if p not in gone)
+        assert (got[i].kept_sha256, got[i].n_spans) == (hashlib.sha256(kept).hexdigest(), len(ends) // 2)
+
+
 def test_repeats_equal_brute_force_on_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id IS NOT NULL")
     raw = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
