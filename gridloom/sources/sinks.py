@@ -34,9 +34,24 @@ def long_statistics(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.select(*keys, F.expr(f"stack({len(values)}, {', '.join(f'{chr(39)}{c}{chr(39)}, CAST(`{c}` AS double)' for c in values)}) AS (statistic, value)"))
 
 
+def fixed_number(number: Column, width: int) -> Column:
+    """A whole number in ``width`` columns: decimal as far as it goes, then in base 36 with a first capital, then a small letter.
+
+    After 99999 comes A0000, after ZZZZZ a0000 (in five columns). A number that has no such place is an error.
+    """
+    from gridloom.sources.tables import base_36_starts
+
+    n = number.cast("long")
+    capital, small, end = base_36_starts(width)
+    lead = 10 * 36 ** (width - 1)
+    letters = lambda start: F.lpad(F.conv((n - start + lead).cast("string"), 10, 36), width, "0")
+    wrong = F.raise_error(F.concat(F.lit(f"no number of {width} columns: "), n.cast("string"))).cast("string")
+    return F.when((n < capital) & (n > -(10 ** (width - 1))), n.cast("string")).when((n >= capital) & (n < small), letters(capital)).when((n >= small) & (n < end), F.lower(letters(small))).when(n.isNotNull(), wrong)
+
+
 def atom_record(serial: Column, name: Column, resname: Column, chain: Column, resid: Column, x: Column, y: Column, z: Column, b: Column) -> Column:
-    """A coordinate record in fixed columns."""
-    return F.format_string("ATOM  %5d %-4s %3s %1s%4d    %8.3f%8.3f%8.3f  1.00%6.2f", serial, name, resname, chain, resid, x, y, z, b)
+    """A coordinate record in fixed columns; numbers too long for theirs are written by :func:`fixed_number`."""
+    return F.format_string("ATOM  %5s %-4s %3s %1s%4s    %8.3f%8.3f%8.3f  1.00%6.2f", fixed_number(serial, 5), name, resname, chain, fixed_number(resid, 4), x, y, z, b)
 
 
 def manifest(files: DataFrame, root: str | None = None) -> DataFrame:

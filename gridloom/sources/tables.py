@@ -75,18 +75,32 @@ PROFILES_SQL = """profiles AS (SELECT l_partkey AS profile, (row_number() OVER w
   WINDOW w AS (PARTITION BY l_partkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_suppkey, l_quantity, l_extendedprice))"""
 
 
+def base_36_starts(width: int) -> tuple[int, int, int]:
+    """The first numbers that ``width`` columns hold with a first capital and with a first small letter, and the first they don't."""
+    step = 26 * 36 ** (width - 1)
+    return 10**width, 10**width + step, 10**width + 2 * step
+
+
+def fixed_number(text: Column, width: int) -> Column:
+    """The whole number of trimmed columns: decimal, or in base 36 by its first letter; null if it is neither."""
+    capital, small, _ = base_36_starts(width)
+    value = F.conv(F.upper(text), 36, 10).cast("long") - 10 * 36 ** (width - 1)
+    plain = text.try_cast("int")
+    return F.when(text.rlike(f"^[A-Z][0-9A-Z]{{{width - 1}}}$"), value + capital).when(text.rlike(f"^[a-z][0-9a-z]{{{width - 1}}}$"), value + small).otherwise(plain).cast("int")
+
+
 def fixed_columns(lines: DataFrame) -> DataFrame:
     """Coordinate records in fixed columns, from a text scan (column ``value``): one row for each atom record."""
     v = F.col("value")
     part = lambda a, n: F.trim(F.substring(v, a, n))
     num = lambda a, n: F.expr(f"try_cast(trim(substring(value, {a}, {n})) AS double)")
     return lines.where(F.substring(v, 1, 6).isin("ATOM  ", "HETATM")).select(
-        F.expr("try_cast(trim(substring(value, 7, 5)) AS int)").alias("serial"),
+        fixed_number(part(7, 5), 5).alias("serial"),
         part(13, 4).alias("name"),
         part(17, 1).alias("altloc"),
         part(18, 3).alias("resname"),
         part(22, 1).alias("chain"),
-        F.expr("try_cast(trim(substring(value, 23, 4)) AS int)").alias("resid"),
+        fixed_number(part(23, 4), 4).alias("resid"),
         part(27, 1).alias("icode"),
         num(31, 8).alias("x"),
         num(39, 8).alias("y"),

@@ -38,3 +38,17 @@ def test_cross_correlation_meets_blocks_not_rows(spark, monkeypatch):
     assert [r[:3] for r in have] == [r[:3] for r in want]
     for g, w in zip(have, want, strict=True):
         assert (g[3] is None) == (w[3] is None or math.isnan(w[3])) and (g[3] is None or g[3] == pytest.approx(w[3], abs=1e-9))
+
+
+def test_atom_records_hold_long_numbers(spark):
+    numbers = [0, 1, 99_999, 100_000, 100_001, 615_000, 43_770_015, 43_770_016, 87_440_031, -12, None]
+    resid = [1, 9_999, 10_000, 1_223_055, 1_223_056, 2_436_111, 7, 8, 9, -5, None]
+    p = spark.createDataFrame(list(zip(numbers, resid, strict=True)), "n int, k int")
+    one = F.lit(1.0)
+    text = p.select("n", "k", sinks.atom_record(F.col("n"), F.lit("CA"), F.lit("ALA"), F.lit("A"), F.col("k"), one, one, one, one).alias("value"))
+    assert {len(r.value) for r in text.where("n IS NOT NULL").collect()} == {66}
+    back = T.fixed_columns(text.where("n IS NOT NULL")).select("serial", "resid", "x")
+    assert sorted(map(tuple, back.collect())) == sorted((n, k, 1.0) for n, k in zip(numbers[:-1], resid[:-1], strict=True))
+    assert text.where("n = 100000").first().value[6:11] == "A0000" and text.where("n = 43770016").first().value[6:11] == "a0000"
+    with pytest.raises(Exception, match="no number of 5 columns"):
+        spark.range(1).select(sinks.fixed_number(F.lit(87_440_032), 5)).collect()
