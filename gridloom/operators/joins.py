@@ -160,10 +160,20 @@ def overlap_links(sets: DataFrame, jaccard: float = 0.2, containment: float = 0.
 
 
 def bridges(contacts: DataFrame, site: str, via: str, keys: list[str] = ()) -> DataFrame:
-    """Pairs of sites that touch the same go-between: a, b, and the number of go-betweens."""
-    one = contacts.select(*keys, F.col(via).alias("_via"), F.col(site).alias("a")).distinct()
-    two = one.withColumnRenamed("a", "b")
-    return one.join(two, [*keys, "_via"]).where("a < b").groupBy(*keys, "a", "b").agg(F.countDistinct("_via").alias("shared"))
+    """Pairs of sites that touch the same go-between: a, b, and the number of go-betweens.
+
+    A go-between's sites are listed once, and each site gets those after it in the list: a row for a pair is only made where both
+    sites' rows are counted, so that pairs themselves are never shuffled.
+    """
+    one = contacts.where(F.col(via).isNotNull() & F.col(site).isNotNull()).select(*keys, F.col(via).alias("_via"), F.col(site).alias("a"))
+    listed = one.groupBy(*keys, "_via").agg(F.sort_array(F.collect_set("a")).alias("_all")).where(F.size("_all") > 1)
+    for k in keys:
+        listed = listed.where(F.col(k).isNotNull())
+    each = listed.select(*keys, "_all", F.posexplode("_all").alias("_i", "a")).where(F.col("_i") + 1 < F.size("_all"))
+    later = each.select(*keys, "a", F.expr("slice(_all, _i + 2, size(_all))").alias("_later"))
+    # what is dealt by the first site is counted where it lies
+    dealt = later.repartition(*keys, "a").select(*keys, "a", F.explode("_later").alias("b"))
+    return dealt.groupBy(*keys, "a", "b").agg(F.count("*").alias("shared"))
 
 
 def as_of(left: DataFrame, right: DataFrame, order: str, keys: list[str], values: list[str]) -> DataFrame:

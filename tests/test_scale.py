@@ -52,3 +52,16 @@ def test_atom_records_hold_long_numbers(spark):
     assert text.where("n = 100000").first().value[6:11] == "A0000" and text.where("n = 43770016").first().value[6:11] == "a0000"
     with pytest.raises(Exception, match="no number of 5 columns"):
         spark.range(1).select(sinks.fixed_number(F.lit(87_440_032), 5)).collect()
+
+
+def test_bridges_shuffle_no_pairs(spark):
+    rows = [(s, v) for v in range(30) for s in range(0, 40, v % 5 + 1)] * 2 + [(None, 1), (3, None)]
+    got = J.bridges(spark.createDataFrame(rows, "site long, via long"), "site", "via")
+    assert "Join" not in plan_of(got)
+    want = {}
+    for v in range(30):
+        held = sorted(set(range(0, 40, v % 5 + 1)))
+        for i, a in enumerate(held):
+            for b in held[i + 1 :]:
+                want[a, b] = want.get((a, b), 0) + 1
+    assert {(r.a, r.b): r.shared for r in got.collect()} == want
