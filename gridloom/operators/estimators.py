@@ -6,6 +6,7 @@ Plain numpy functions of one series, and :func:`by_series`, which runs one of th
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -63,6 +64,8 @@ def _quantile(cdf, p: float, low: float, high: float) -> float:
         high *= 2
     for _ in range(200):
         mid = (low + high) / 2
+        if mid in (low, high):  # no number lies between
+            break
         low, high = (mid, high) if cdf(mid) < p else (low, mid)
     return (low + high) / 2
 
@@ -71,6 +74,7 @@ def chi2_quantile(p: float, k: float) -> float:
     return _quantile(lambda x: _gamma_p(k / 2, x / 2), p, 0.0, max(1.0, 2 * k))
 
 
+@lru_cache(4096)
 def t_quantile(p: float, k: float) -> float:
     if p < 0.5:
         return -t_quantile(1 - p, k)
@@ -261,7 +265,9 @@ def by_series(rows: DataFrame, keys: list[str], order: str, value: str, schema:
         got = tuple(got[n] for n in names) if isinstance(got, dict) else got if isinstance(got, tuple) else (got,)
         return pd.DataFrame([(*key, *got)], columns=[*keys, *names])
 
-    return rows.groupBy(*keys).applyInPandas(run, f"{types}, {schema}")
+    # dealt by number: by their bytes, many series would be put into one task
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.select(*keys, order, value).repartition(parts, *keys).groupBy(*keys).applyInPandas(run, f"{types}, {schema}")
 
 
 def lag_correlation(rows: DataFrame, keys: list[str], order: str, value: str, lags: int) -> DataFrame:
@@ -277,12 +283,28 @@ def lag_correlation(rows: DataFrame, keys: list[str], order: str, value: str, la
     return out.select(*keys, *[(F.coalesce(F.col(f"c{k}"), F.lit(0.0)) / F.col("c0")).alias(f"rho{k}") for k in range(1, lags + 1)])
 
 
-def block_mean_bands(columns: np.ndarray, repeats: int = 2000, seed: int = BANDS_SEED, level: float = 0.95, length: int | None = None, least: int = 8) -> dict:
+def _draws(seed: int, repeats: int, count: int) -> np.ndarray:
+    """The places that are drawn of ``count``: the same for all series of as many batches."""
+    if repeats * count > 1 << 20:
+        return _drawn(seed, repeats, count)
+    return _kept_draws(seed, repeats, count)
+
+
+def _drawn(seed: int, repeats: int, count: int) -> np.ndarray:
+    rng = np.random.default_rng(seed)
+    return np.concatenate([rng.integers(0, count, (min(BANDS_DRAWS, repeats - a), count)) for a in range(0, repeats, BANDS_DRAWS)])
+
+
+_kept_draws = lru_cache(16)(_drawn)
+
+
+def block_mean_bands(columns: np.ndarray, repeats: int = 2000, seed: int = BANDS_SEED, level: float = 0.95, length: int | None = None, least: int = 8, simultaneous: bool = True) -> dict:
     """Pointwise and simultaneous intervals of column means from batch means of a frames-by-columns matrix.
 
     The batch length covers five times the largest inefficiency; the intervals are studentised bootstrap ones, never narrower
     than Student's, simultaneous ones than Bonferroni's. Each column's standard error is widened by the inefficiency of its own
-    batch means; a column with a missing frame, or with fewer than ``least`` effective batches, has no interval.
+    batch means; a column with a missing frame, or with fewer than ``least`` effective batches, has no interval. Simultaneous
+    intervals are left out on demand.
     """
     x = np.asarray(columns, float)
     n, width = x.shape
@@ -304,10 +326,12 @@ def block_mean_bands(columns: np.ndarray, repeats: int = 2000, seed: int = BANDS
         return out | {"status": "insufficient_effective_batches"}
     tiny = TINY * np.maximum(1, np.abs(mean))
     se = means.std(0, ddof=1) / math.sqrt(count)
-    moves, rng = se > tiny, np.random.default_rng(seed)
+    moves = se > tiny
     t, flat = [], np.zeros(len(mean), int)
-    for a in range(0, repeats, BANDS_DRAWS):
-        draw = means[rng.integers(0, count, (min(BANDS_DRAWS, repeats - a), count))]
+    draws = _draws(seed, repeats, count)
+    step = max(1, (1 << 20) // (count * len(mean)))
+    for a in range(0, repeats, step):
+        draw = means[draws[a : a + step]]
         spread = draw.std(1, ddof=1) / math.sqrt(count)
         some = (spread > tiny) & moves
         flat += ((spread <= tiny) & moves).sum(0)
@@ -319,11 +343,14 @@ def block_mean_bands(columns: np.ndarray, repeats: int = 2000, seed: int = BANDS
     student = np.array([t_quantile(1 - tail, k) for k in degrees])
     lows, highs = np.quantile(t, [tail, 1 - tail], axis=0)
     se = se * np.sqrt(g)
+    full = lambda v: _spread(fine, np.where(enough, v, np.nan))
+    out |= {"status": "estimated", "low": full(mean - np.maximum(highs, student) * se), "high": full(mean - np.minimum(lows, -student) * se)}
+    if not simultaneous:
+        return out
     both = float(np.quantile(np.abs(t[:, moves]).max(1), level)) if moves.any() else 0.0
     family = max(1, int((moves & enough).sum()))
     both = max(both, *[t_quantile(1 - tail / family, k) for k in degrees[enough]])
-    full = lambda v: _spread(fine, np.where(enough, v, np.nan))
-    return out | {"status": "estimated", "low": full(mean - np.maximum(highs, student) * se), "high": full(mean - np.minimum(lows, -student) * se), "wide_low": full(mean - both * se), "wide_high": full(mean + both * se)}
+    return out | {"wide_low": full(mean - both * se), "wide_high": full(mean + both * se)}
 
 
 def series_interval(x: np.ndarray, regular: bool = True) -> dict:
@@ -335,7 +362,7 @@ def series_interval(x: np.ndarray, regular: bool = True) -> dict:
     for reason, holds in reasons:
         if holds:
             return out | {"status": reason}
-    got = block_mean_bands(x[:, None])
+    got = block_mean_bands(x[:, None], simultaneous=False)
     number = lambda v: float(v) if np.isfinite(v) else None
     return out | {"status": got["status"], "batches": int(got["batches"]), "low": number(got["low"][0]), "high": number(got["high"][0])}
 

@@ -65,3 +65,15 @@ def test_bridges_shuffle_no_pairs(spark):
             for b in held[i + 1 :]:
                 want[a, b] = want.get((a, b), 0) + 1
     assert {(r.a, r.b): r.shared for r in got.collect()} == want
+
+
+def test_series_intervals_work_out_what_they_give(spark, monkeypatch):
+    x = np.random.default_rng(3).normal(size=80)
+    full = S.block_mean_bands(x[:, None])
+    asked = []
+    monkeypatch.setattr(S, "t_quantile", lambda p, k, f=S.t_quantile: asked.append(p) or f(p, k))
+    got = S.series_interval(x)
+    assert (got["status"], got["low"], got["high"]) == ("estimated", full["low"][0], full["high"][0])
+    assert len(asked) == 1 and S.t_quantile(0.975, 5.0) == pytest.approx(2.570582, abs=1e-6)
+    rows = spark.range(40).selectExpr("id % 4 AS key", "id AS frame", "double(id) AS s")
+    assert "REPARTITION_BY_NUM" in plan_of(S.by_series(rows, ["key"], "frame", "s", "mean double", lambda v: (float(v.mean()),)))
