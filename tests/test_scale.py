@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from gridloom.operators import aggregates as A
 from gridloom.operators import blocks as B
+from gridloom.operators import cast as K
+from gridloom.operators import contacts as C
 from gridloom.operators import estimators as S
+from gridloom.operators import graph as G
 from gridloom.operators import joins as J
 from gridloom.sources import sinks
 from gridloom.sources import tables as T
@@ -77,3 +80,42 @@ def test_series_intervals_work_out_what_they_give(spark, monkeypatch):
     assert len(asked) == 1 and S.t_quantile(0.975, 5.0) == pytest.approx(2.570582, abs=1e-6)
     rows = spark.range(40).selectExpr("id % 4 AS key", "id AS frame", "double(id) AS s")
     assert "REPARTITION_BY_NUM" in plan_of(S.by_series(rows, ["key"], "frame", "s", "mean double", lambda v: (float(v.mean()),)))
+
+
+def cloud(spark, n, seed=0, spread=1.0):
+    """Dense points with groups and radii, and one far off."""
+    rng = np.random.default_rng(seed)
+    p = rng.normal(size=(n, 3)) * spread
+    p[-1] = (40.0, 0.0, 0.0)
+    rows = [(i, i % 4, *map(float, p[i]), 0.1 + 0.1 * (i % 3), i % 3 - 1) for i in range(n)]
+    return spark.createDataFrame(rows, "id long, grp long, x double, y double, z double, r double, charge long").localCheckpoint(), p
+
+
+def reaches(monkeypatch, *modules):
+    """The reaches that joins by distance are asked for."""
+    asked = []
+    true = J.range_join
+    for m in modules:
+        monkeypatch.setattr(m, "range_join", lambda left, right, reach, keys=(): asked.append(reach) or true(left, right, reach, keys))
+    return asked
+
+
+def test_segments_have_their_clearance_however_far(spark):
+    df, p = cloud(spark, 600)
+    ends = [(0, 0, 0, 0, 1, 1, 1), (1, 60, 0, 0, 60, 5, 0), (2, 1, 1, 1, 1, 1, 1), (3, -9, 0, 0, 9, 0, 0)]
+    segments = spark.createDataFrame([(i, *map(float, e)) for i, *e in ends], "id long, ax double, ay double, az double, bx double, by double, bz double")
+    got = {r.id: r.clearance for r in J.segment_clearances(segments, df).collect()}
+    r = 0.1 + 0.1 * (np.arange(600) % 3)
+    for i, *e in ends:
+        a, b = np.array(e[:3], float), np.array(e[3:], float)
+        k = np.clip((p - a) @ (b - a) / max(1e-300, (b - a) @ (b - a)), 0, 1)
+        assert got[i] == pytest.approx((np.linalg.norm(p - a - k[:, None] * (b - a), axis=1) - r).min(), abs=1e-9)
+    assert {r.id for r in J.segment_clearances(segments, df, 0.5).collect()} == {i for i in got if got[i] <= 0.5}
+    narrow = {r.grp: (r.spheres, r.gap) for r in K.constrictions(segments, df, 2.0, 0.2).collect()}
+    gaps = np.full(600, np.inf)
+    for _, *e in ends:
+        a, b = np.array(e[:3], float), np.array(e[3:], float)
+        k = np.clip((p - a) @ (b - a) / max(1e-300, (b - a) @ (b - a)), 0, 1)
+        gaps = np.minimum(gaps, np.linalg.norm(p - a - k[:, None] * (b - a), axis=1) - r)
+    hit = gaps <= gaps.min() + 0.2
+    assert {g: v[0] for g, v in narrow.items()} == {g: int(hit[g::4].sum()) for g in range(4) if hit[g::4].any()}
