@@ -119,3 +119,69 @@ def test_segments_have_their_clearance_however_far(spark):
         gaps = np.minimum(gaps, np.linalg.norm(p - a - k[:, None] * (b - a), axis=1) - r)
     hit = gaps <= gaps.min() + 0.2
     assert {g: v[0] for g, v in narrow.items()} == {g: int(hit[g::4].sum()) for g in range(4) if hit[g::4].any()}
+
+
+def test_closest_pairs_of_groups_are_sought_near_first(spark, monkeypatch):
+    df, p = cloud(spark, 800)
+    asked = reaches(monkeypatch, J)
+    far = np.linalg.norm(p[:, None] - p[None], axis=-1)
+    got = {(r.source, r.target): (r.id_a, r.id_b) for r in J.closest_contacts(df, 3.0).collect()}
+    want = {(g, h): min((far[a, b], min(a, b), max(a, b)) for a in range(g, 800, 4) for b in range(h, 800, 4))[1:] for g in range(4) for h in range(g + 1, 4)}
+    assert got == want and max(asked) < 2.5
+    r = 0.1 + 0.1 * (np.arange(800) % 3)
+    bare = far - r[:, None] - r[None]
+    got = {(x.source, x.target): x.distance for x in J.closest_contacts(df, 3.0, "surface").collect()}
+    assert got == {k: pytest.approx(bare[k[0] :: 4, k[1] :: 4].min(), abs=1e-9) for k in want} and max(asked) < 2.5
+    got = {(x.positive, x.negative): x.distance for x in C.charge_pairs(df, 3.0).collect()}
+    plus, minus = np.arange(800) % 3 == 2, np.arange(800) % 3 == 0
+    side = lambda g, m: (np.arange(800) % 4 == g) & m
+    assert got == {(g, h): pytest.approx(far[np.ix_(side(g, plus), side(h, minus))].min(), abs=1e-9) for g in range(4) for h in range(4) if g != h} and max(asked) < 2.5
+
+
+def test_nearest_ones_are_sought_near_first(spark, monkeypatch):
+    df, p = cloud(spark, 800)
+    asked = reaches(monkeypatch, J, C)
+    samples, spheres = df.where("grp = 0"), df.where("grp <> 0")
+    r = 0.1 + 0.1 * (np.arange(800) % 3)
+    rest = np.arange(800) % 4 != 0
+    bare = np.where(rest, np.linalg.norm(p[:, None] - p[None], axis=-1) - r, np.inf)
+    got = {x.id: x.nearest for x in J.nearest_surface(samples, spheres, 3.0).collect()}
+    assert got == {i: int(bare[i].argmin()) for i in range(0, 800, 4)} and asked[0] < 1.5
+    del asked[:]
+    far = np.where(rest, np.linalg.norm(p[:, None] - p[None], axis=-1), np.inf)
+    wide = spheres.withColumn("r", F.when(F.col("id") == 1, 30.0).otherwise(F.col("r")))
+    got = {x.id: x.centre for x in C.nearest_inside(samples, wide).collect()}
+    r[1] = 30.0
+    assert got == {i: int(far[i].argmin()) for i in range(0, 800, 4) if far[i].min() <= r[far[i].argmin()]} and asked[0] < 15
+
+
+def test_rings_and_counts_meet_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(B, "STRIP_PAIRS", 3000)
+    monkeypatch.setattr(B, "in_blocks", lambda df, by, salt, true=B.in_blocks: true(df, by, salt, 64))
+    df, p = cloud(spark, 300, 5)
+    rng = np.random.default_rng(9)
+    n = rng.normal(size=(300, 3))
+    n /= np.linalg.norm(n, axis=1)[:, None]
+    rings = df.select("id", "grp", "x", "y", "z").join(spark.createDataFrame([(i, *map(float, n[i])) for i in range(300)], "id long, nx double, ny double, nz double"), "id").withColumn("frame", F.col("id") % 2)
+    out = C.stacked_rings(rings, 0.5, 3.0, ["frame"])
+    assert "MapInArrow" in plan_of(out)
+    want = {}
+    for i in range(300):
+        for j in range(i + 1, 300):
+            d = p[j] - p[i]
+            if i % 4 == j % 4 or i % 2 != j % 2 or not 0.5 <= np.linalg.norm(d) <= 3.0:
+                continue
+            tilt = math.degrees(math.acos(min(1.0, abs(n[i] @ n[j]))))
+            off = [math.sqrt(max(0.0, d @ d - (d @ m) ** 2)) for m in (n[i], n[j])]
+            if tilt <= 30 and max(off) <= 2 or tilt >= 60 and min(off) <= 2:
+                want[i % 2, i, j] = "parallel" if tilt <= 30 else "edge_face"
+    assert {(r.frame, r.a, r.b): r.kind for r in out.collect()} == want
+    named = df.withColumn("name", F.concat(F.lit("n"), F.col("id") % 3))
+    counts = {}
+    for i in range(300):
+        for j in range(i + 1, 300):
+            d = np.linalg.norm(p[j] - p[i])
+            if i % 4 != j % 4 and d <= 1.0:
+                k = (*sorted((f"n{i % 3}", f"n{j % 3}")), bool(d <= 0.5))
+                counts[k] = counts.get(k, 0) + 1
+    assert {tuple(r)[:3]: r.n for r in C.near_counts(named, 1.0, 0.5).collect()} == counts
