@@ -185,3 +185,29 @@ def test_rings_and_counts_meet_in_blocks(spark, monkeypatch):
                 k = (*sorted((f"n{i % 3}", f"n{j % 3}")), bool(d <= 0.5))
                 counts[k] = counts.get(k, 0) + 1
     assert {tuple(r)[:3]: r.n for r in C.near_counts(named, 1.0, 0.5).collect()} == counts
+
+
+def test_components_and_widest_paths_take_short_links_first(spark, monkeypatch):
+    from gridloom.operators import reduction as R
+
+    df, p = cloud(spark, 700)
+    far = np.linalg.norm(p[:, None] - p[None], axis=-1)
+    want = np.arange(700)
+    while True:
+        new = np.where(far <= 1.0, want[None, :], 700).min(1)
+        if (new == want).all():
+            break
+        want = new
+    made = []
+    true = G.components
+    monkeypatch.setattr(G, "components", lambda nodes, edges: made.append(edges.count()) or true(nodes, edges))
+    assert {r.node: r.comp for r in G.point_components(df, 1.0).collect()} == dict(enumerate(map(int, want)))
+    assert max(made) < (far <= 1.0).sum() / 4
+    got = {r.state: (r.components, r.largest) for r in R.removed_points(df, df.where("id % 7 = 0").select(F.col("id").alias("node")), 1.0).collect()}
+    assert got["whole"] == (len(set(want)), np.bincount(want).max())
+    source = spark.createDataFrame([(0,)], "node long")
+    pairs = J.range_join(df, df, 1.0).where("l_id < r_id").select(F.col("l_id").alias("a"), F.col("r_id").alias("b"), "distance")
+    near = G.near_edges(df, source, 1.0)
+    assert near.count() < pairs.count() / 4
+    widest = lambda e: sorted(map(tuple, G.widest_paths(e.withColumn("width", 1 - F.col("distance")), source, length="distance").collect()))
+    assert widest(near) == widest(pairs)
