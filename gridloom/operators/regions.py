@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions import expr as E
+from gridloom.functions.store import keep
 from gridloom.operators.contacts import hydrogen_bonds
-from gridloom.operators.joins import annotate_groups, range_join, small
+from gridloom.operators.joins import annotate_groups, first_reach, range_join, small
 
 
 def contact_order(contacts: DataFrame) -> list[Column]:
@@ -22,17 +23,39 @@ def nearest_groups(points: DataFrame, at: tuple[float, float, float], cutoff: fl
     return found.orderBy(*contact_order(found)).limit(limit)
 
 
-def typed_bridges(donors: DataFrame, acceptors: DataFrame, water_donors: DataFrame, water_acceptors: DataFrame, keys: list[str] = (), **rules) -> DataFrame:
+def typed_bridges(donors: DataFrame, acceptors: DataFrame, water_donors: DataFrame, water_acceptors: DataFrame, keys: list[str] = (), reach: float = 3.5, nearest: float = 1.2, **rules) -> DataFrame:
     """Groups joined by a water that each of them has a directional bond with: water, a, b, distance (larger) and angle (lesser).
 
     Sites are those of :func:`~gridloom.operators.contacts.hydrogen_bonds`; a water's group is its own. Of several bonds of one
-    group with a water the closest counts. Each water has few bonds, so pairs at a water are few.
+    group with a water the closest counts, so bonds are sought near each water first; waters that have one with every group are
+    done, the rest look farther, up to ``reach``.
     """
-    give = hydrogen_bonds(donors, water_acceptors, keys=list(keys), **rules).select(*keys, F.col("acceptor").alias("water"), F.col("donor").alias("site"), "distance", "angle")
-    take = hydrogen_bonds(water_donors, acceptors, keys=list(keys), **rules).select(*keys, F.col("donor").alias("water"), F.col("acceptor").alias("site"), "distance", "angle")
+    keys = list(keys)
     sites = donors.select(F.col("id").alias("site"), "grp").unionByName(acceptors.select(F.col("id").alias("site"), "grp")).distinct()
-    owned = give.unionByName(take).join(sites, "site").groupBy(*keys, "water", "grp").agg(F.min(F.struct("distance", "angle", "site")).alias("bond"))
-    a, b = (owned.select(*keys, "water", F.col("grp").alias(n), F.col("bond").alias(f"_{n}")) for n in "ab")
+    groups = keep(sites.select("grp").distinct(), "groups")
+    total = groups.count()
+    waters = water_donors.select(*keys, F.col("id").alias("water"), "grp").unionByName(water_acceptors.select(*keys, F.col("id").alias("water"), "grp")).distinct()
+    # as many groups as a water can have a bond with: its own is none
+    most = waters.join(groups.withColumn("_own", F.lit(1)), "grp", "left").select(*keys, "water", (F.lit(total) - F.coalesce("_own", F.lit(0))).alias("_most"))
+    at, found = first_reach(water_acceptors, donors, reach, keys, 500.0), None
+    while True:
+        far = min(reach, (max(0.0, nearest) ** 3 + at**3) ** (1 / 3)) if at < reach else reach
+        give = hydrogen_bonds(donors, water_acceptors, reach=far, nearest=nearest, keys=keys, **rules).select(*keys, F.col("acceptor").alias("water"), F.col("donor").alias("site"), "distance", "angle")
+        take = hydrogen_bonds(water_donors, acceptors, reach=far, nearest=nearest, keys=keys, **rules).select(*keys, F.col("donor").alias("water"), F.col("acceptor").alias("site"), "distance", "angle")
+        owned = give.unionByName(take).join(sites, "site").groupBy(*keys, "water", "grp").agg(F.min(F.struct("distance", "angle", "site")).alias("bond"))
+        owned = keep(owned, "owned")
+        if far >= reach:
+            found = owned if found is None else found.unionByName(owned)
+            break
+        done = owned.groupBy(*keys, "water").agg(F.count("*").alias("_n")).join(most, [*keys, "water"]).where(F.col("_n") >= F.col("_most")).select(*keys, "water").distinct()
+        done = keep(done, "done")
+        ready = owned.join(done, [*keys, "water"], "left_semi")
+        found = ready if found is None else found.unionByName(ready)
+        water_donors, water_acceptors = (keep(w.join(done.withColumnRenamed("water", "id"), [*keys, "id"], "left_anti"), "waters") for w in (water_donors, water_acceptors))
+        if water_donors.isEmpty() and water_acceptors.isEmpty():
+            break
+        at = min(2 * at, reach)
+    a, b = (found.select(*keys, "water", F.col("grp").alias(n), F.col("bond").alias(f"_{n}")) for n in "ab")
     both = a.join(b, [*keys, "water"]).where("a < b")
     return both.select(*keys, "water", "a", "b", F.greatest("_a.distance", "_b.distance").alias("distance"), F.least("_a.angle", "_b.angle").alias("angle"))
 

@@ -211,3 +211,16 @@ def test_components_and_widest_paths_take_short_links_first(spark, monkeypatch):
     assert near.count() < pairs.count() / 4
     widest = lambda e: sorted(map(tuple, G.widest_paths(e.withColumn("width", 1 - F.col("distance")), source, length="distance").collect()))
     assert widest(near) == widest(pairs)
+
+
+def test_typed_bridges_seek_near_bonds_first(spark, monkeypatch):
+    from gridloom.operators import regions as N
+
+    df, _ = cloud(spark, 600, 2)
+    sites = df.withColumns({f"h{c}": F.col(c) + s for c, s in zip("xyz", (0.6, 0.3, -0.2), strict=True)})
+    dry, wet = sites.where("grp <> 0"), sites.where("grp = 0")
+    ask = lambda: sorted(map(tuple, N.typed_bridges(dry.where("id % 2 = 0"), dry.where("id % 2 = 1"), wet, wet, nearest=0.3, least_angle=100.0).collect()))
+    monkeypatch.setattr(N, "first_reach", lambda left, right, most, *rest: most)
+    plain = ask()
+    monkeypatch.setattr(N, "first_reach", lambda left, right, most, *rest: 0.8)
+    assert plain and ask() == plain
